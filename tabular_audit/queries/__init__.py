@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-from . import basics, keyed
+from . import basics, keyed, portfolio
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "keyed"]
+__all__ = ["ORACLES", "QUERIES", "basics", "keyed", "portfolio"]

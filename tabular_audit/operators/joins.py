@@ -2,15 +2,17 @@
 
 Keys match null with null unless ``match_nulls=False``.  No side is broadcast
 on trust: Spark decides by measured size, and the only forced broadcast is the
-list of hot keys, which cannot exceed ``HOT_SHARE`` rows.
-
-Hot keys.  When one key of the left table is hot, adaptive execution splits its
-partition, as it may for every join used here.  When a key of the *right* table
-is hot, a left join cannot be split, so ``left_join`` takes those keys out and
-joins them with an inner join, which can be split on both sides.  That is exact
-because a key that is hot on the right surely has a match.  The check costs one
-aggregation over the right key columns; ``unique=True`` skips it for right
-tables known to have one row per key.
+list of hot keys, which cannot exceed ``HOT_SHARE`` rows per joined table.
+
+Hot keys.  When one key of the base table is hot, adaptive execution splits its
+partition, as it may for every join used here.  When a key of a *joined* table
+is hot, a left join cannot be split.  ``enrich`` therefore takes hot keys out of
+both sides and joins them with an inner join, which can be split on both sides;
+a joined table that lacks one of these keys gets an empty row for it, so that
+the inner join keeps every base row.  The check costs one aggregation over the
+key columns of the joined table.  If it finds nothing, adaptive execution drops
+the second branch before it starts and plain left joins remain.  ``unique=True``
+skips the check for tables known to have one row per key.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -69,70 +72,14 @@ def _match(left_cols: Iterable[str], right_cols: Iterable[str], match_nulls: boo
     return reduce(and_, [l.eqNullSafe(r) if match_nulls else l == r for l, r in pairs])
 
 
-def left_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Keys,
-    suffixes: tuple[str, str] = ("_left", "_right"),
-    match_nulls: bool = True,
-    unique: bool = False,
-    hot_share: int = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Left equi-join that keeps the left keys and drops the right ones.
-
-    ``on`` maps left key names to right key names.  Other columns present on
-    both sides get the suffixes.  ``unique=True`` states that the right table
-    has one row per key; the result is the same if it has not.
-    """
-    keys = key_pairs(on)
-    right_keys = {r.lower() for r in keys.values()}
-    # Position-based names on the right keep every reference unambiguous, also
-    # when both sides come from the same table.
-    inner = {name: f"__r{i}" for i, name in enumerate(right.columns)}
-    by_lower = {name.lower(): name for name in right.columns}
-    renamed = right.toDF(*inner.values())
-    rkeys = [inner[by_lower[r.lower()]] for r in keys.values()]
-
-    payload = [c for c in right.columns if c.lower() not in right_keys]
-    clash = {c.lower() for c in left.columns} & {c.lower() for c in payload}
-    clash -= {k.lower() for k in keys}
-    lsuf, rsuf = suffixes
-    key_names = {k.lower() for k in keys}
-
-    def named(c: str, suffix: str) -> str:
-        return c + suffix if c.lower() in clash else c
-
-    out = [F.col(quoted(c)).alias(named(c, lsuf)) for c in left.columns]
-    for c in payload:
-        name = c + rsuf if c.lower() in key_names else named(c, rsuf)
-        out.append(F.col(inner[c]).alias(name))
-
-    condition = _match(keys, rkeys, match_nulls)
-    if unique:
-        return left.join(renamed, condition, "left").select(*out)
-
-    if not match_nulls:
-        # Such rows match nothing, so they cannot make a key hot either.
-        renamed = renamed.dropna("any", subset=rkeys)
-    hot = F.broadcast(hot_keys(renamed, rkeys, hot_share, hot_rows))
-    at_left, at_right = key_struct(keys) == F.col(_KEY), key_struct(rkeys) == F.col(_KEY)
-    ordinary = left.join(hot, at_left, "left_anti").join(
-        renamed.join(hot, at_right, "left_anti"), condition, "left"
-    )
-    crowded = left.join(hot, at_left, "left_semi").join(
-        renamed.join(hot, at_right, "left_semi"), condition, "inner"
-    )
-    return ordinary.select(*out).unionByName(crowded.select(*out))
-
-
 @dataclass(frozen=True)
 class Tab:
     """A table to widen a base table with.
 
     ``on`` maps base key names to the tab's key names, ``columns`` narrows the
-    tab before the join, ``renamed`` renames its columns first, ``unique``
-    states that it has one row per key.
+    tab before the join, ``renamed`` renames its columns first, ``suffixes`` are
+    for columns present on both sides, and ``unique`` states that the tab has
+    one row per key (the result is the same if it has not).
     """
 
     df: DataFrame
@@ -142,23 +89,109 @@ class Tab:
     suffixes: tuple[str, str] = ("_left", "_right")
     unique: bool = False
 
+    def prepared(self) -> DataFrame:
+        out = self.df
+        if self.columns is not None:
+            wanted = dict.fromkeys([*key_pairs(self.on).values(), *self.columns])
+            out = out.select(*[quoted(c) for c in wanted])
+        return out.withColumnsRenamed(dict(self.renamed)) if self.renamed else out
+
+
+@dataclass(frozen=True)
+class _Side:
+    """A tab under internal column names, which keep references unambiguous
+    also when base and tab come from the same table."""
+
+    df: DataFrame
+    keys: list[str]
+    unique: bool
 
-def enrich(base: DataFrame, *tabs: Tab, match_nulls: bool = True) -> DataFrame:
-    """Left-join several tabs to a base table, one after the other.  Tabs joined
-    on the same base keys and marked ``unique`` shuffle the base once."""
+
+def enrich(
+    base: DataFrame,
+    *tabs: Tab,
+    match_nulls: bool = True,
+    hot_share: int = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Left-join tabs to a base table, keeping the base keys and dropping the
+    tabs' keys.  A base row with several matches fans out.  Consecutive tabs on
+    the same base keys share one split of hot keys and shuffle the base once."""
     out = base
-    for tab in tabs:
-        right = tab.df
-        if tab.columns is not None:
-            keys = list(key_pairs(tab.on).values())
-            extra = [c for c in tab.columns if c not in keys]
-            right = right.select(*[quoted(c) for c in keys + extra])
-        if tab.renamed:
-            right = right.withColumnsRenamed(dict(tab.renamed))
-        out = left_join(out, right, tab.on, tab.suffixes, match_nulls, tab.unique)
+    for keys, run in groupby(tabs, key=lambda tab: tuple(key_pairs(tab.on))):
+        out = _widen(out, list(keys), list(run), match_nulls, hot_share, hot_rows)
     return out
 
 
+def left_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Keys,
+    suffixes: tuple[str, str] = ("_left", "_right"),
+    unique: bool = False,
+    **options,
+) -> DataFrame:
+    """``enrich`` with a single table."""
+    return enrich(left, Tab(right, on, suffixes=suffixes, unique=unique), **options)
+
+
+def _widen(
+    base: DataFrame, keys: list[str], tabs: list[Tab], match_nulls: bool, share: int, rows: int
+) -> DataFrame:
+    key_names = {k.lower() for k in keys}
+    names = [(c, c) for c in base.columns]  # internal and final column names
+    sides: list[_Side] = []
+    for t, tab in enumerate(tabs):
+        right = tab.prepared()
+        tab_keys = {r.lower() for r in key_pairs(tab.on).values()}
+        inner = {c: f"__r{t}_{i}" for i, c in enumerate(right.columns)}
+        lower = {c.lower(): name for c, name in inner.items()}
+        side = right.toDF(*inner.values())
+        side_keys = [lower[r.lower()] for r in key_pairs(tab.on).values()]
+        if not match_nulls:
+            # Such rows match nothing, so they cannot make a key hot either.
+            side = side.dropna("any", subset=side_keys)
+        sides.append(_Side(side, side_keys, tab.unique))
+        payload = [c for c in right.columns if c.lower() not in tab_keys]
+        clash = {n.lower() for _, n in names} & {c.lower() for c in payload}
+        left_suffix, right_suffix = tab.suffixes
+        names = [
+            (i, n + left_suffix if n.lower() in clash - key_names else n) for i, n in names
+        ] + [(inner[c], c + right_suffix if c.lower() in clash else c) for c in payload]
+    out = [F.col(quoted(i)).alias(n) for i, n in names]
+
+    def chain(start: DataFrame, parts: Iterable[tuple[_Side, DataFrame, str]]) -> DataFrame:
+        joined = start
+        for side, df, how in parts:
+            joined = joined.join(df, _match(keys, side.keys, match_nulls), how)
+        return joined.select(*out)
+
+    checked = [s for s in sides if not s.unique]
+    if not checked:
+        return chain(base, [(s, s.df, "left") for s in sides])
+
+    hot = reduce(DataFrame.union, [hot_keys(s.df, s.keys, share, rows) for s in checked])
+    hot = hot.distinct() if len(checked) > 1 else hot
+
+    def within_hot(df: DataFrame, cols: list[str], how: str) -> DataFrame:
+        return df.join(F.broadcast(hot), key_struct(cols) == F.col(_KEY), how)
+
+    def with_empty_rows(side: _Side) -> DataFrame:
+        present = within_hot(side.df, side.keys, "left_semi")
+        if len(checked) == 1:
+            return present
+        known = distinct_keys(present, side.keys).withColumnRenamed(_KEY, _MARK)
+        absent = hot.join(known, F.col(_KEY) == F.col(_MARK), "left_anti")
+        fields = [F.col(f"{_KEY}.k{i}").alias(k) for i, k in enumerate(side.keys)]
+        return present.unionByName(absent.select(*fields), allowMissingColumns=True)
+
+    ordinary = chain(within_hot(base, keys, "left_anti"), [
+        (s, s.df if s.unique else within_hot(s.df, s.keys, "left_anti"), "left") for s in sides])
+    crowded = chain(within_hot(base, keys, "left_semi"), [
+        (s, s.df, "left") if s.unique else (s, with_empty_rows(s), "inner") for s in sides])
+    return ordinary.unionByName(crowded)
+
+
 def membership(df: DataFrame, other: DataFrame, on: Keys, name: str) -> DataFrame:
     """Add a boolean column: does the key occur in the other table?"""
     keys = key_pairs(on)

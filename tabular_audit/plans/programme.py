@@ -105,22 +105,19 @@ def overview(p: Portfolio) -> DataFrame:
 def wide_report(p: Portfolio) -> DataFrame:
     """All tabs side by side; a project with several rows in a tab fans out."""
     key = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
+    code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
     tabs = enrich(
         overview_raw(p),
         Tab(p.projects_detail, key, renamed={"IsActive": "IsActive_detail"}),
         Tab(p.projects_metric, key, renamed={"IsActive": "IsActive_metric"}),
         Tab(p.finance_detail, key, renamed={"ContractAmount": "ContractAmount_finance"}),
+        Tab(p.project_type, {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"}, columns=(code,)),
     )
     flagged = membership_flag(
-        tabs, p.market_facilitation, {"ProjectNo": "Agreement Number"},
-        "market_facilitation_indicator",
+        tabs, p.market_facilitation, {"ProjectNo": "Agreement Number"}, flag
     )
-    typed = enrich(flagged, Tab(
-        p.project_type, {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"},
-        columns=("PROJECT_TYPE_PROJECT_TYPE_ID",),
-    ))
-    code = "PROJECT_TYPE_PROJECT_TYPE_ID"
-    return typed.withColumn(code, label_codes(code))
+    rest = [c for c in tabs.columns if c != code]
+    return flagged.select(*rest, flag, label_codes(code).alias(code))
 
 
 _BY_PROJECT = {"ProjectId": "Id", "ProjectNo": "ProjectNo"}
@@ -350,6 +347,7 @@ def review(p: Portfolio, keep: bool = True) -> Results:
     mv = metric_view(p.projects_metric, ov)
     wide = wide_report(p)
     if keep:
+        wide = kept(wide, "wide")
         dv, fv, mv = kept(dv, "detail"), kept(fv, "finance"), kept(mv, "metric")
     return {
         "wide_report": wide,

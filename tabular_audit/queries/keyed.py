@@ -98,9 +98,9 @@ def join_with_hot_keys(spark, d):
 def wide_report(spark, d):
     wide = enrich(
         table(spark, d, "orders"),
-        Tab(table(spark, d, "customer"), {"o_custkey": "c_custkey"}),
-        Tab(table(spark, d, "nation"), {"c_nationkey": "n_nationkey"}),
-        Tab(table(spark, d, "region"), {"n_regionkey": "r_regionkey"}),
+        Tab(table(spark, d, "customer"), {"o_custkey": "c_custkey"}, unique=True),
+        Tab(table(spark, d, "nation"), {"c_nationkey": "n_nationkey"}, unique=True),
+        Tab(table(spark, d, "region"), {"n_regionkey": "r_regionkey"}, unique=True),
     )
     flagged = membership_flag(
         wide, table(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"}, "has_lines"
@@ -108,6 +108,28 @@ def wide_report(spark, d):
     return flagged.withColumn("kind", label_codes("n_regionkey"))
 
 
+@query("""
+    WITH s AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders),
+    t AS (SELECT nullif(l_linestatus, 'F') AS status, l_returnflag, count(*) AS lines
+          FROM lineitem GROUP BY ALL),
+    u AS (SELECT nullif(o_orderstatus, 'O') AS status, o_orderpriority, count(*) AS orders
+          FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL)
+    SELECT o_orderkey, s.status, l_returnflag, lines, o_orderpriority, u.orders
+    FROM s LEFT JOIN t ON s.status IS NOT DISTINCT FROM t.status
+    LEFT JOIN u ON s.status IS NOT DISTINCT FROM u.status""")
+def tabs_with_hot_keys(spark, d):
+    orders = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").groupBy(
+        F.nullif("l_linestatus", F.lit("F")).alias("status"), "l_returnflag"
+    ).agg(F.count("*").alias("lines"))
+    kinds = orders.where("o_orderpriority <> '5-LOW'").groupBy(
+        F.nullif("o_orderstatus", F.lit("O")).alias("status"), "o_orderpriority"
+    ).agg(F.count("*").alias("orders"))
+    base = orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+    # Hot in one table, in both, or in one and absent from the other.
+    return enrich(base, Tab(lines, "status"), Tab(kinds, "status"), hot_rows=2)
+
+
 # ---------------------------------------------------------------- key checks
 
 @query("""

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import column, parse_fixed_mdy, populated_nonzero, quoted, weeks_between
+from ..functions import column, parse_fixed_mdy, quoted, weeks_between
 
 
 def mean_by(
@@ -18,17 +18,24 @@ def mean_by(
     extremes: bool = False,
 ) -> DataFrame:
     """average of the populated values, overall or per group; ``nonzero`` leaves
-    zeros out too, ``extremes`` adds minimum and maximum."""
+    zeros out too, ``extremes`` adds minimum and maximum.  Groups without such a
+    value are absent.
+
+    Unwanted values become null inside the aggregate instead of being filtered
+    before it, so a computed value is evaluated once per row.
+    """
     v = column(value)
-    rows = df.where(populated_nonzero(v) if nonzero else v.isNotNull())
+    v = F.when(v != 0, v) if nonzero else v
     groups = [column(b) for b in by]
+    rows = df
     if not keep_null_groups:
         for g in groups:
             rows = rows.where(g.isNotNull())
     aggs = [F.avg(v).alias("average")]
     if extremes:
         aggs += [F.min(v).alias("minimum"), F.max(v).alias("maximum")]
-    return rows.groupBy(*groups).agg(*aggs)
+    out = rows.groupBy(*groups).agg(*aggs)
+    return out.where("average IS NOT NULL") if groups else out
 
 
 def duration_weeks(

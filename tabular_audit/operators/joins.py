@@ -209,12 +209,24 @@ def key_match_flags(
     df: DataFrame, other: DataFrame, on: Keys, whole: str = "key_match"
 ) -> DataFrame:
     """Add one boolean per key column (``<name>_match``: the value occurs in the
-    other table's column) and, for keys of several columns, one for the whole key."""
+    other table's column) and, for keys of several columns, one for the whole key.
+
+    Flags of a key of several columns are worked out on its distinct values, so
+    that the full rows are shuffled once and not once per column.
+    """
     keys = key_pairs(on)
-    out = df
-    for left, right in keys.items():
-        out = membership(out, other, {left: right}, f"{left}_match")
-    return membership(out, other, keys, whole) if len(keys) > 1 else out
+    if len(keys) == 1:
+        (left,) = keys
+        return membership(df, other, keys, f"{left}_match")
+    parts = {f"{_KEY}{i}": pair for i, pair in enumerate(keys.items())}
+    flags = distinct_keys(df, keys).select(
+        *[F.col(f"{_KEY}.k{i}").alias(part) for i, part in enumerate(parts)]
+    )
+    for part, (left, right) in parts.items():
+        flags = membership(flags, other, {part: right}, f"{left}_match")
+    flags = membership(flags, other, {part: right for part, (_, right) in parts.items()}, whole)
+    on_parts = {left: part for part, (left, _) in parts.items()}
+    return left_join(df, flags, on_parts, unique=True)
 
 
 def unmatched(

@@ -351,7 +351,7 @@ def review(p: Portfolio, keep: bool = True) -> Results:
         dv, fv, mv = kept(dv, "detail"), kept(fv, "finance"), kept(mv, "metric")
     return {
         "wide_report": wide,
-        "wide_report_duplicates": duplicate_rows(wide, ["Id", "ProjectNo"]),
+        "wide_report_duplicates": duplicate_rows(wide, ["Id", "ProjectNo"], count_first=keep),
         **overview_results(ov),
         **detail_results(p, ov, dv),
         **finance_results(p, fv),

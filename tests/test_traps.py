@@ -274,7 +274,8 @@ def test_duplicates(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (1, "x", "c"), (2, None, "d")],
                                "i int, j string, v string")
     assert rows(duplicate_keys(df, ["i", "j"])) == [(1, None, 2)]
-    assert rows(duplicate_rows(df, ["i", "j"])) == [(1, None, "a"), (1, None, "b")]
+    for first in (False, True):
+        assert rows(duplicate_rows(df, ["i", "j"], first)) == [(1, None, "a"), (1, None, "b")]
     assert [r[-1] for r in rows(with_group_size(df, ["i", "j"]).select("v", "total"))] == [2, 2, 1, 1]
 
 

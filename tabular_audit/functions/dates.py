@@ -24,7 +24,7 @@ def parse_mdy(col: str | Column) -> Column:
     ``05012020``, ``May 1, 2020`` and ``may 1 2020``; outer blanks are ignored.
     Year-first text, impossible dates and trailing text give null.
     """
-    text = F.trim(column(col))
+    text = F.btrim(column(col), F.lit(" \t\r\n"))
     digits = F.regexp_replace(text, r"^(\d{1,2})[-/.,\s]+(\d{1,2})[-/.,\s]+(\d{2}|\d{4})$", "$1/$2/$3")
     digits = F.regexp_replace(digits, r"^(\d{2})(\d{2})(\d{2}|\d{4})$", "$1/$2/$3")
     short = F.try_to_date(digits, TWO_DIGIT_YEAR)

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions import quoted
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a result, replacing an older one.  The rebalance hint lets adaptive
-    execution put a small report into one file and cut a large one into many of
-    even size."""
-    writer = df.hint("rebalance").write.mode("overwrite")
+
+def write_report(
+    df: DataFrame, path: str, fmt: str = "parquet", order_by: Sequence[str] = ()
+) -> None:
+    """Write a result, replacing an older one.
+
+    With ``order_by`` the files hold the rows in ascending order, null last.
+    Without it a rebalance hint lets adaptive execution put a small report into
+    one file and cut a large one into many of even size.
+    """
+    if order_by:
+        out = df.orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in order_by])
+    else:
+        out = df.hint("rebalance")
+    writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)

@@ -39,6 +39,14 @@ def test_write_then_read(spark, df, tmp_path, fmt):
     assert len(glob.glob(os.path.join(path, "part-*"))) == 1
 
 
+def test_report_in_group_order(spark, df, tmp_path):
+    path = str(tmp_path / "ordered")
+    write_report(df, path, "csv", order_by=["Id"])
+    lines = "".join(open(f).read() for f in sorted(glob.glob(path + "/part-*")))
+    assert [lines.index(text) for text in ("1,", "2,", "1/2/2021")] == sorted(
+        lines.index(text) for text in ("1,", "2,", "1/2/2021"))
+
+
 def test_csv_header_must_fit(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("Id,Other,When\n1,a,b\n")

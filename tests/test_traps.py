@@ -305,6 +305,7 @@ def one(spark, value, expression):
     ("5.1.20", dt.date(2020, 5, 1)), ("05012020", dt.date(2020, 5, 1)),
     ("May 1, 2020", dt.date(2020, 5, 1)), ("september 30 2021", dt.date(2021, 9, 30)),
     ("SEP 30, 2021", dt.date(2021, 9, 30)), (" 5/1/2020 ", dt.date(2020, 5, 1)),
+    ("\t5/1/2020\n", dt.date(2020, 5, 1)), ("5/1/202", None), ("5/1/12020", None),
     ("2020-05-01", None), ("13/40/2020", None), ("2/30/2020", None), ("05/01/2020 00:00", None),
     ("soon", None), ("", None), (None, None),
 ])

@@ -1,5 +1,5 @@
 """Operators put together into the whole review."""
 
-from .programme import Portfolio, review
+from .programme import RESULTS, Portfolio, Review, review
 
-__all__ = ["Portfolio", "review"]
+__all__ = ["RESULTS", "Portfolio", "Review", "review"]

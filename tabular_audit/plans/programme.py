@@ -1,15 +1,17 @@
 """The whole review as named result tables.
 
-Each section is a function from the tables it needs to ``{name: DataFrame}``.
-Nothing runs until a result is written or shown.  Results that differ only in
-the measured column or in the grouping level come from one aggregate, so the
-widened tables are read a few times rather than once per field.
+``RESULTS`` maps result names to functions of a ``Review``, which holds the
+input tables and widens them on first use.  Nothing runs until a result is
+written or shown.  Results that differ only in the measured column or in the
+grouping level come from one aggregate, so the widened tables are read a few
+times rather than once per field.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,6 +43,7 @@ from ..operators import (
     first_values,
     flag_any_populated,
     frequency_table,
+    group_sizes,
     key_match_flags,
     literal_rate_by,
     mean_by,
@@ -71,7 +74,6 @@ from ..sources.tables import kept
 
 ADMIN = "ProgramAdminName"
 START, END = "ProjectStartDate", "ProjectEndDate"
-Results = dict[str, DataFrame]
 
 
 @dataclass(frozen=True)
@@ -92,22 +94,24 @@ class Portfolio:
 
 # ---------------------------------------------------------------- tables derived from the input
 
-def overview_raw(p: Portfolio) -> DataFrame:
-    """Distinct projects, coordinates aside, lead names as entered."""
-    return distinct_without(p.projects, *COORDINATES)
+_BY_PROJECT = {"ProjectId": "Id", "ProjectNo": "ProjectNo"}
+_PROJECT_KEY = ["ProjectId", "ProjectNo"]
+_IDENTITY = ["Id", "ProjectNo", "ProjectName"]
 
 
 def overview(p: Portfolio) -> DataFrame:
-    """Distinct projects with short lead names."""
-    return overview_raw(p).withColumn("ProjectLead", recode("ProjectLead"))
+    """Distinct projects, coordinates aside, with short lead names."""
+    return distinct_without(p.projects, *COORDINATES).withColumn(
+        "ProjectLead", recode("ProjectLead"))
 
 
 def wide_report(p: Portfolio) -> DataFrame:
-    """All tabs side by side; a project with several rows in a tab fans out."""
+    """All tabs side by side, lead names as entered; a project with several rows
+    in a tab fans out."""
     key = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
     code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
     tabs = enrich(
-        overview_raw(p),
+        distinct_without(p.projects, *COORDINATES),
         Tab(p.projects_detail, key, renamed={"IsActive": "IsActive_detail"}),
         Tab(p.projects_metric, key, renamed={"IsActive": "IsActive_metric"}),
         Tab(p.finance_detail, key, renamed={"ContractAmount": "ContractAmount_finance"}),
@@ -120,9 +124,6 @@ def wide_report(p: Portfolio) -> DataFrame:
     return flagged.select(*rest, flag, label_codes(code).alias(code))
 
 
-_BY_PROJECT = {"ProjectId": "Id", "ProjectNo": "ProjectNo"}
-
-
 def detail_view(detail: DataFrame, ov: DataFrame) -> DataFrame:
     """Detail tab with name, administrator, activity and dates of its project."""
     return enrich(detail, Tab(
@@ -142,220 +143,285 @@ def metric_view(metric: DataFrame, ov: DataFrame) -> DataFrame:
     return enrich(metric, Tab(ov, _BY_PROJECT, suffixes=("_metric", "_overview")))
 
 
-# ---------------------------------------------------------------- overview
+def with_any_flag(df: DataFrame, cols: tuple[str, ...], flag: str, *carried: str) -> DataFrame:
+    """Narrow table with placeholders blanked out and a 0/1 flag for any value."""
+    rows = df.select("ProjectId", "ProjectName", *carried, ADMIN, *cols, START, END)
+    return flag_any_populated(placeholder_to_null(rows, cols), cols, flag)
+
+
+@dataclass(frozen=True)
+class Review:
+    """The input tables and what is derived from them, each built on first use.
+
+    With ``keep`` the de-duplicated overview, the widened tabs and the wide
+    report, which dozens of results read, are written to the shared checkpoint
+    folder on first use and read back from there.
+    """
+
+    p: Portfolio
+    keep: bool = False
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return kept(df, name) if self.keep else df
 
-def _rate(name: str, df: DataFrame, test: Column, base: Column | None = None) -> Results:
+    @cached_property
+    def ov(self) -> DataFrame:
+        return self._kept(overview(self.p), "overview")
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        return self._kept(detail_view(self.p.projects_detail, self.ov), "detail")
+
+    @cached_property
+    def finance(self) -> DataFrame:
+        return self._kept(finance_view(self.p.finance_detail, self.ov), "finance")
+
+    @cached_property
+    def metric(self) -> DataFrame:
+        return self._kept(metric_view(self.p.projects_metric, self.ov), "metric")
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return self._kept(wide_report(self.p), "wide")
+
+    @cached_property
+    def barriers(self) -> DataFrame:
+        return with_any_flag(self.detail, BARRIERS, "one_or_more_barrier",
+                             "DetailedProjectDescription")
+
+    @cached_property
+    def impacts(self) -> DataFrame:
+        return with_any_flag(self.metric, IMPACTS, "one_or_more_impact")
+
+    def result(self, name: str) -> DataFrame:
+        return RESULTS[name](self)
+
+
+Results = dict[str, Callable[[Review], DataFrame]]
+
+
+def _rate(
+    name: str, table: Callable[[Review], DataFrame], test: Callable[[], Column],
+    base: Callable[[], Column] | None = None,
+) -> Results:
     """Overall rate and rate per administrator.  ``base`` limits the rows of the
     rate per administrator only."""
     return {
-        name: predicate_rate(df, test),
-        f"{name}_by_admin": predicate_rate_by(df, test, [ADMIN], base=base),
+        name: lambda r: predicate_rate(table(r), test()),
+        f"{name}_by_admin": lambda r: predicate_rate_by(
+            table(r), test(), [ADMIN], base=base() if base else None),
     }
 
 
-def project_dates(ov: DataFrame) -> DataFrame:
+# ---------------------------------------------------------------- overview
+
+def _funded(r: Review) -> DataFrame:
+    return pull(r.ov, populated_nonzero("ContractAmount"))
+
+
+def _status_known() -> Column:
+    return all_populated("ProjectStatus", "IsActive")
+
+
+def _active_but_closed() -> Column:
+    return _status_known() & F.col("IsActive") & (F.col("ProjectStatus") == STATUS_CLOSED)
+
+
+def _project_dates(r: Review) -> DataFrame:
     """Projects with both dates, parsed, with their years."""
-    rows = pull(ov, all_populated(START, END), "ProjectName", ADMIN, START, END)
+    rows = pull(r.ov, all_populated(START, END), "ProjectName", ADMIN, START, END)
     dated = rows.withColumns({"start_date": parse_mdy(START), "end_date": parse_mdy(END)})
     return dated.withColumns({"start_year": F.year("start_date"), "end_year": F.year("end_date")})
 
 
-def overview_results(ov: DataFrame) -> Results:
-    status_known = all_populated("ProjectStatus", "IsActive")
-    contradiction = status_known & F.col("IsActive") & (F.col("ProjectStatus") == STATUS_CLOSED)
-    funded = pull(ov, populated_nonzero("ContractAmount"))
-    dates = project_dates(ov)
-    lasting = duration_weeks(ov, START, END)
-    without_contact = pull(ov, any_blank(*CONTACT))
-    identity = ["Id", "ProjectNo", "ProjectName"]
-    return {
-        "overview_distinct_populated": distinct_counts(ov, identity),
-        "overview_distinct": distinct_counts(ov, identity, count_null=True),
-        "phase_families": families(ov, "ProjectNo", "BaseProjectNo"),
-        "contract_amount_mean": mean_by(ov, "ContractAmount", nonzero=True),
-        "contract_amount_summary": describe_numeric(funded, "ContractAmount"),
-        "contract_amount_by_admin": mean_by(funded, "ContractAmount", [ADMIN], extremes=True),
-        "contract_amount_by_named_admin": mean_by(
-            funded, "ContractAmount", [ADMIN], keep_null_groups=False),
-        "projects_by_lead": frequency_table(ov, "ProjectLead"),
-        "projects_by_admin": share(ov, [ADMIN], drop_null=True),
-        "projects_by_status": share(ov, ["ProjectStatus"], drop_null=True),
-        "status_within_admin": share(ov, ["ProjectStatus"], within=[ADMIN], drop_null=True),
-        "unfinished_projects": pull(ov, one_of("ProjectStatus", STATUSES_NOT_FINISHED))
-        .withColumns({"start_date": parse_mdy(START), "start_year": mdy_year(START)}),
-        **_rate("active_but_closed", ov, contradiction, base=status_known),
-        **_rate("dates_populated", ov, all_populated(START, END)),
-        "project_dates": dates,
-        "projects_by_start_year": share(dates, ["start_year"]),
-        "start_year_within_admin": share(dates, ["start_year"], within=[ADMIN], with_total=True),
-        "end_year_within_admin": share(dates, ["end_year"], within=[ADMIN], with_total=True),
-        "first_start_dates": first_values(ov, START, order_by=["Id", "ProjectNo", START]),
-        "first_end_dates": first_values(ov, END, order_by=["Id", "ProjectNo", END]),
-        "project_durations": lasting,
-        "duration_by_admin": mean_by(lasting, "duration_weeks", [ADMIN], keep_null_groups=False),
-        **_rate("contact_populated", ov, all_populated(*CONTACT)),
-        "contact_missing": without_contact,
-        "contact_missing_by_status": frequency_table(without_contact, "ProjectStatus"),
-        **_rate("manager_contact_populated", ov, all_populated(*MANAGER_CONTACT)),
-    }
+def _unfinished(r: Review) -> DataFrame:
+    rows = pull(r.ov, one_of("ProjectStatus", STATUSES_NOT_FINISHED))
+    return rows.withColumns({"start_date": parse_mdy(START), "start_year": mdy_year(START)})
+
+
+def _durations(r: Review) -> DataFrame:
+    return duration_weeks(r.ov, START, END)
+
+
+def _without_contact(r: Review) -> DataFrame:
+    return pull(r.ov, any_blank(*CONTACT))
+
+
+OVERVIEW: Results = {
+    "overview_distinct_populated": lambda r: distinct_counts(r.ov, _IDENTITY),
+    "overview_distinct": lambda r: distinct_counts(r.ov, _IDENTITY, count_null=True),
+    "phase_families": lambda r: families(r.ov, "ProjectNo", "BaseProjectNo"),
+    "contract_amount_mean": lambda r: mean_by(r.ov, "ContractAmount", nonzero=True),
+    "contract_amount_summary": lambda r: describe_numeric(_funded(r), "ContractAmount"),
+    "contract_amount_by_admin": lambda r: mean_by(
+        _funded(r), "ContractAmount", [ADMIN], extremes=True),
+    "contract_amount_by_named_admin": lambda r: mean_by(
+        _funded(r), "ContractAmount", [ADMIN], keep_null_groups=False),
+    "projects_by_lead": lambda r: frequency_table(r.ov, "ProjectLead"),
+    "projects_by_admin": lambda r: share(r.ov, [ADMIN], drop_null=True),
+    "projects_by_status": lambda r: share(r.ov, ["ProjectStatus"], drop_null=True),
+    "status_within_admin": lambda r: share(
+        r.ov, ["ProjectStatus"], within=[ADMIN], drop_null=True),
+    "unfinished_projects": _unfinished,
+    **_rate("active_but_closed", lambda r: r.ov, _active_but_closed, base=_status_known),
+    **_rate("dates_populated", lambda r: r.ov, lambda: all_populated(START, END)),
+    "project_dates": _project_dates,
+    "projects_by_start_year": lambda r: share(_project_dates(r), ["start_year"]),
+    "start_year_within_admin": lambda r: share(
+        _project_dates(r), ["start_year"], within=[ADMIN], with_total=True),
+    "end_year_within_admin": lambda r: share(
+        _project_dates(r), ["end_year"], within=[ADMIN], with_total=True),
+    "first_start_dates": lambda r: first_values(r.ov, START, order_by=["Id", "ProjectNo", START]),
+    "first_end_dates": lambda r: first_values(r.ov, END, order_by=["Id", "ProjectNo", END]),
+    "project_durations": _durations,
+    "duration_by_admin": lambda r: mean_by(
+        _durations(r), "duration_weeks", [ADMIN], keep_null_groups=False),
+    **_rate("contact_populated", lambda r: r.ov, lambda: all_populated(*CONTACT)),
+    "contact_missing": _without_contact,
+    "contact_missing_by_status": lambda r: frequency_table(_without_contact(r), "ProjectStatus"),
+    **_rate("manager_contact_populated", lambda r: r.ov, lambda: all_populated(*MANAGER_CONTACT)),
+}
 
 
 # ---------------------------------------------------------------- detail
 
-def detail_results(p: Portfolio, ov: DataFrame, dv: DataFrame) -> Results:
-    activity = reconcile(dv, "IsActive_overview", "IsActive_details", ["ProjectId", "ProjectNo"],
-                         "IsActive_Match")
-    return {
-        "detail_duplicate_ids": duplicate_keys(dv, ["ProjectId"]),
-        "detail_key_matches": key_match_flags(p.projects_detail, ov, _BY_PROJECT),
-        "detail_distinct_populated": distinct_counts(p.projects_detail, ["ProjectId", "ProjectNo"]),
-        "detail_distinct": distinct_counts(
-            p.projects_detail, ["ProjectId", "ProjectNo", "ProjectDetailId"], count_null=True),
-        "missing_from_detail": unmatched(ov, p.projects_detail, {"Id": "ProjectId"}, "nomatch"),
-        "detail_completeness": completeness_levels(dv, DETAIL_TEXTS, [(), (ADMIN,)]),
-        "solicitation_word_by_admin": literal_rate_by(
-            dv, "DetailedProjectDescription", SOLICITATION_WORD, [ADMIN]),
-        "detail_blanks": breakdown(
-            dv, [c for c in DETAIL_TEXTS if c != "DetailedProjectDescription"],
-            [ADMIN, "IsActive_details"], with_pct=True),
-        "scale_statements": pull(dv, all_populated("GettingToScale")),
-        "detail_activity": activity,
-        "detail_activity_summary": verdict_summary(activity, "IsActive_Match"),
-    }
+def _detail_activity(r: Review) -> DataFrame:
+    return reconcile(r.detail, "IsActive_overview", "IsActive_details", _PROJECT_KEY,
+                     "IsActive_Match")
+
+
+DETAIL: Results = {
+    "detail_duplicate_ids": lambda r: duplicate_keys(r.detail, ["ProjectId"]),
+    "detail_key_matches": lambda r: key_match_flags(r.p.projects_detail, r.ov, _BY_PROJECT),
+    "detail_distinct_populated": lambda r: distinct_counts(r.p.projects_detail, _PROJECT_KEY),
+    "detail_distinct": lambda r: distinct_counts(
+        r.p.projects_detail, [*_PROJECT_KEY, "ProjectDetailId"], count_null=True),
+    "missing_from_detail": lambda r: unmatched(
+        r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch"),
+    "detail_completeness": lambda r: completeness_levels(r.detail, DETAIL_TEXTS, [(), (ADMIN,)]),
+    "solicitation_word_by_admin": lambda r: literal_rate_by(
+        r.detail, "DetailedProjectDescription", SOLICITATION_WORD, [ADMIN]),
+    "detail_blanks": lambda r: breakdown(
+        r.detail, [c for c in DETAIL_TEXTS if c != "DetailedProjectDescription"],
+        [ADMIN, "IsActive_details"], with_pct=True),
+    "scale_statements": lambda r: pull(r.detail, all_populated("GettingToScale")),
+    "detail_activity": _detail_activity,
+    "detail_activity_summary": lambda r: verdict_summary(_detail_activity(r), "IsActive_Match"),
+}
 
 
 # ---------------------------------------------------------------- finance
 
-_FUNDS = ["CommitedFundingAmount", "FundsExpendedToDate", "EncumberedFundingAmount"]
-_PROJECT_KEY = ["ProjectId", "ProjectNo"]
+_COMMITTED, _EXPENDED = "CommitedFundingAmount", "FundsExpendedToDate"
+_FUNDS = [_COMMITTED, _EXPENDED, "EncumberedFundingAmount"]
 
 
-def budget_check(fv: DataFrame) -> DataFrame:
+def _budget_check(r: Review) -> DataFrame:
     """Is less spent than committed and encumbered together?"""
-    return rule_check(
-        fv, _FUNDS,
-        within_budget("FundsExpendedToDate", "CommitedFundingAmount", "EncumberedFundingAmount"),
-        _PROJECT_KEY)
+    rule = within_budget(_EXPENDED, _COMMITTED, "EncumberedFundingAmount")
+    return rule_check(r.finance, _FUNDS, rule, _PROJECT_KEY)
 
 
-def match_funding_check(fv: DataFrame) -> DataFrame:
+def _match_funding_check(r: Review) -> DataFrame:
     """Do match funding and committed funds exceed what is encumbered and spent?"""
-    return rule_check(
-        fv, [*_FUNDS, "MatchFunding"],
-        covers(["MatchFunding", "CommitedFundingAmount"], "EncumberedFundingAmount",
-               "FundsExpendedToDate"),
-        _PROJECT_KEY, shown=_FUNDS)
-
-
-def finance_results(p: Portfolio, fv: DataFrame) -> Results:
-    amounts = reconcile(fv, "ContractAmount_overview", "ContractAmount_details", _PROJECT_KEY,
-                        "Matched_Amounts")
-    budget, matched = budget_check(fv), match_funding_check(fv)
-    committed, expended = "CommitedFundingAmount", "FundsExpendedToDate"
-    nothing_spent = F.col(expended) == 0
-    return {
-        "finance_distinct": distinct_counts(p.finance_detail, _PROJECT_KEY, count_null=True),
-        "committed_mean": mean_by(fv, committed, nonzero=True),
-        "committed_mean_by_admin": mean_by(fv, committed, [ADMIN], nonzero=True),
-        "committed_zero": zero_rate(fv, committed),
-        "committed_zero_by_admin": zero_rate(fv, committed, [ADMIN]),
-        "budget_check": budget,
-        "budget_check_summary": verdict_summary(budget, "check"),
-        "expended_mean": mean_by(fv, expended, nonzero=True),
-        "expended_mean_by_admin": mean_by(fv, expended, [ADMIN], nonzero=True),
-        "expended_zero": zero_rate(fv, expended, drop_null=False),
-        "expended_zero_by_admin": zero_rate(fv, expended, [ADMIN], drop_null=False),
-        "nothing_expended": pull(fv, nothing_spent),
-        "committed_but_nothing_expended": pull(fv, nothing_spent & (F.col(committed) > 0)),
-        "contract_amounts": amounts,
-        "contract_amounts_summary": verdict_summary(amounts, "Matched_Amounts"),
-        "match_funding_check": matched,
-        "match_funding_check_summary": verdict_summary(matched, "check"),
-    }
+    rule = covers(["MatchFunding", _COMMITTED], "EncumberedFundingAmount", _EXPENDED)
+    return rule_check(r.finance, [*_FUNDS, "MatchFunding"], rule, _PROJECT_KEY, shown=_FUNDS)
+
+
+def _contract_amounts(r: Review) -> DataFrame:
+    return reconcile(r.finance, "ContractAmount_overview", "ContractAmount_details", _PROJECT_KEY,
+                     "Matched_Amounts")
+
+
+def _nothing_spent() -> Column:
+    return F.col(_EXPENDED) == 0
+
+
+FINANCE: Results = {
+    "finance_distinct": lambda r: distinct_counts(
+        r.p.finance_detail, _PROJECT_KEY, count_null=True),
+    "committed_mean": lambda r: mean_by(r.finance, _COMMITTED, nonzero=True),
+    "committed_mean_by_admin": lambda r: mean_by(r.finance, _COMMITTED, [ADMIN], nonzero=True),
+    "committed_zero": lambda r: zero_rate(r.finance, _COMMITTED),
+    "committed_zero_by_admin": lambda r: zero_rate(r.finance, _COMMITTED, [ADMIN]),
+    "budget_check": _budget_check,
+    "budget_check_summary": lambda r: verdict_summary(_budget_check(r), "check"),
+    "expended_mean": lambda r: mean_by(r.finance, _EXPENDED, nonzero=True),
+    "expended_mean_by_admin": lambda r: mean_by(r.finance, _EXPENDED, [ADMIN], nonzero=True),
+    "expended_zero": lambda r: zero_rate(r.finance, _EXPENDED, drop_null=False),
+    "expended_zero_by_admin": lambda r: zero_rate(
+        r.finance, _EXPENDED, [ADMIN], drop_null=False),
+    "nothing_expended": lambda r: pull(r.finance, _nothing_spent()),
+    "committed_but_nothing_expended": lambda r: pull(
+        r.finance, _nothing_spent() & (F.col(_COMMITTED) > 0)),
+    "contract_amounts": _contract_amounts,
+    "contract_amounts_summary": lambda r: verdict_summary(_contract_amounts(r), "Matched_Amounts"),
+    "match_funding_check": _match_funding_check,
+    "match_funding_check_summary": lambda r: verdict_summary(_match_funding_check(r), "check"),
+}
 
 
 # ---------------------------------------------------------------- metric
 
-def metric_completeness(mv: DataFrame) -> DataFrame:
+def _metric_completeness(r: Review) -> DataFrame:
     """Overall, per administrator, and per administrator and start year."""
-    dated = mv.withColumn("start_year", mdy_year(START))
+    dated = r.metric.withColumn("start_year", mdy_year(START))
     out = completeness_levels(dated, METRIC_TEXTS, [(), (ADMIN,), (ADMIN, "start_year")])
     return out.where((F.col("level") < 2) | F.col("column").isin(list(METRIC_TEXTS_BY_YEAR)))
 
 
-def metric_results(p: Portfolio, ov: DataFrame, mv: DataFrame) -> Results:
-    activity = reconcile(mv, "IsActive_overview", "IsActive_metric", _PROJECT_KEY, "IsActive_Match")
-    return {
-        "metric_distinct": distinct_counts(p.projects_metric, _PROJECT_KEY, count_null=True),
-        "missing_from_metric": unmatched(ov, p.projects_metric, {"Id": "ProjectId"}, "nomatch"),
-        "all_impacts": pull(mv, all_populated(*IMPACTS)),
-        "metric_completeness": metric_completeness(mv),
-        "metric_populated": breakdown(mv, METRIC_TEXTS, [ADMIN, "IsActive_metric"], blank=False,
-                                      with_pct=True),
-        "metric_activity": activity,
-        "metric_activity_summary": verdict_summary(activity, "IsActive_Match"),
-    }
+def _metric_activity(r: Review) -> DataFrame:
+    return reconcile(r.metric, "IsActive_overview", "IsActive_metric", _PROJECT_KEY,
+                     "IsActive_Match")
 
 
-# ---------------------------------------------------------------- at least one of several fields
+METRIC: Results = {
+    "metric_distinct": lambda r: distinct_counts(
+        r.p.projects_metric, _PROJECT_KEY, count_null=True),
+    "missing_from_metric": lambda r: unmatched(
+        r.ov, r.p.projects_metric, {"Id": "ProjectId"}, "nomatch"),
+    "all_impacts": lambda r: pull(r.metric, all_populated(*IMPACTS)),
+    "metric_completeness": _metric_completeness,
+    "metric_populated": lambda r: breakdown(
+        r.metric, METRIC_TEXTS, [ADMIN, "IsActive_metric"], blank=False, with_pct=True),
+    "metric_activity": _metric_activity,
+    "metric_activity_summary": lambda r: verdict_summary(_metric_activity(r), "IsActive_Match"),
+}
 
-def with_any_flag(df: DataFrame, cols: tuple[str, ...], flag: str, *carried: str) -> DataFrame:
-    """Narrow table with placeholders blanked out and a 0/1 flag for any value."""
-    rows = df.select("ProjectId", "ProjectName", *carried, ADMIN, *cols, START, END)
-    return flag_any_populated(placeholder_to_null(rows, cols), cols, flag)
 
+# ---------------------------------------------------------------- at least one of several fields
+
+def _cohorts(name: str, table: Callable[[Review], DataFrame], flag: str) -> Results:
+    def none() -> Column:
+        return F.col(flag) == 0
 
-def _cohort_results(name: str, rows: DataFrame, flag: str) -> Results:
-    some, none = F.col(flag) == 1, F.col(flag) == 0
     return {
-        f"{name}_by_start_year": cohort_by_year(rows, flag, [ADMIN], START, "start_year"),
-        f"{name}_by_end_year": cohort_by_year(rows, flag, [ADMIN], END, "end_year"),
-        **_rate(f"with_{name}", rows, some),
-        **_rate(f"without_{name}", rows, none),
-        f"without_{name}_rows": pull(rows, none),
-        f"{name}_rows_by_admin": rows.groupBy(ADMIN).agg(F.count("*").alias("total")),
+        f"{name}_by_start_year": lambda r: cohort_by_year(
+            table(r), flag, [ADMIN], START, "start_year"),
+        f"{name}_by_end_year": lambda r: cohort_by_year(table(r), flag, [ADMIN], END, "end_year"),
+        **_rate(f"with_{name}", table, lambda: F.col(flag) == 1),
+        **_rate(f"without_{name}", table, none),
+        f"without_{name}_rows": lambda r: pull(table(r), none()),
+        f"{name}_rows_by_admin": lambda r: group_sizes(table(r), [ADMIN], "total"),
     }
 
 
-def barrier_rows(dv: DataFrame) -> DataFrame:
-    return with_any_flag(dv, BARRIERS, "one_or_more_barrier", "DetailedProjectDescription")
-
-
-def impact_rows(mv: DataFrame) -> DataFrame:
-    return with_any_flag(mv, IMPACTS, "one_or_more_impact")
-
-
-def barrier_results(dv: DataFrame) -> Results:
-    return _cohort_results("barrier", barrier_rows(dv), "one_or_more_barrier")
-
-
-def impact_results(mv: DataFrame) -> Results:
-    return _cohort_results("impact", impact_rows(mv), "one_or_more_impact")
-
-
 # ---------------------------------------------------------------- everything
 
-def review(p: Portfolio, keep: bool = True) -> Results:
-    """All results.  With ``keep`` the de-duplicated overview and the widened
-    tabs, which dozens of results read, are first written to the shared
-    checkpoint folder."""
-    ov = overview(p)
-    if keep:
-        ov = kept(ov, "overview")
-    dv = detail_view(p.projects_detail, ov)
-    fv = finance_view(p.finance_detail, ov)
-    mv = metric_view(p.projects_metric, ov)
-    wide = wide_report(p)
-    if keep:
-        wide = kept(wide, "wide")
-        dv, fv, mv = kept(dv, "detail"), kept(fv, "finance"), kept(mv, "metric")
-    return {
-        "wide_report": wide,
-        "wide_report_duplicates": duplicate_rows(wide, ["Id", "ProjectNo"], count_first=keep),
-        **overview_results(ov),
-        **detail_results(p, ov, dv),
-        **finance_results(p, fv),
-        **metric_results(p, ov, mv),
-        **barrier_results(dv),
-        **impact_results(mv),
-    }
+RESULTS: Results = {
+    "wide_report": lambda r: r.wide,
+    "wide_report_duplicates": lambda r: duplicate_rows(
+        r.wide, ["Id", "ProjectNo"], count_first=r.keep),
+    **OVERVIEW,
+    **DETAIL,
+    **FINANCE,
+    **METRIC,
+    **_cohorts("barrier", lambda r: r.barriers, "one_or_more_barrier"),
+    **_cohorts("impact", lambda r: r.impacts, "one_or_more_impact"),
+}
+
+
+def review(p: Portfolio, keep: bool = True) -> dict[str, DataFrame]:
+    """All results; ``keep`` as in ``Review``."""
+    r = Review(p, keep)
+    return {name: build(r) for name, build in RESULTS.items()}

@@ -7,11 +7,13 @@ Gaps and placeholders come from the values of the tables.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import distinct_counts, duplicate_rows, pull
-from ..plans import programme as plan
-from ..plans.programme import ADMIN, Portfolio
+from ..operators import duplicate_rows
+from ..plans import Review
+from ..plans.programme import ADMIN
 from ..sources.schemas import (
     BARRIERS,
     DETAIL_TEXTS,
@@ -124,64 +126,86 @@ PCT = "round({} * 100.0 / {}, 6)"
 
 # ---------------------------------------------------------------- the derived tables in Spark
 
-def derived(spark: SparkSession, d: str) -> Portfolio:
-    """The six input tables, made from the supplied ones."""
-    col = F.col
-    priority, status = col("o_orderpriority"), col("o_orderstatus")
-
-    def unless(test: Column, value: Column) -> Column:
-        return F.when(~test, value)
-
-    ends = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended"))
-    customers = table(spark, d, "customer")
-    base = (
-        table(spark, d, "orders")
-        .join(customers, col("o_custkey") == col("c_custkey"), "left")
-        .join(ends, col("l_orderkey") == col("o_orderkey"), "left")
-    )
-    phase = F.when(status == "O", " Module A").when(status == "P", " Project B").otherwise("")
-    projects = base.select(
-        col("o_orderkey").alias("Id"),
-        unless(priority == "5-LOW", F.concat(F.lit("P-"), col("o_custkey").cast("string"), phase))
-        .alias("ProjectNo"),
-        col("c_name").alias("ProjectName"),
-        F.nullif("c_mktsegment", F.lit("FURNITURE")).alias(ADMIN),
-        F.when(status == "O", "Southern California Edison").when(status == "P", "CEC")
-        .otherwise(col("c_name")).alias("ProjectLead"),
-        F.when(status == "O", "Active").when(status == "P", "Pending").otherwise("Closed")
-        .alias("ProjectStatus"),
-        unless(priority == "2-HIGH", (status != "F") | (col("o_totalprice") > 250000))
-        .alias("IsActive"),
-        unless(priority == "3-MEDIUM", F.date_format("o_orderdate", "MM/dd/yyyy"))
-        .alias("ProjectStartDate"),
-        F.date_format("ended", "MM/dd/yyyy").alias("ProjectEndDate"),
-        F.when(col("o_totalprice") > 20000, col("o_totalprice"))
-        .when(col("o_totalprice") > 10000, F.lit(0.0)).alias("ContractAmount"),
-        col("c_name").alias("PersonContactFirstName"),
-        F.nullif(priority, F.lit("1-URGENT")).alias("PersonContactLastName"),
-        F.nullif(status, F.lit("P")).alias("PersonContactEmail"),
-        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("CecMgrContactFirstName"),
-        col("c_name").alias("CecMgrContactLastName"),
-        F.nullif(priority, F.lit("4-NOT SPECIFIED")).alias("CecMgrEmail"),
-        col("c_acctbal").alias("LongitudeX"),
-        col("o_totalprice").alias("LatitudeY"),
-    )
-    numbers = projects.select("Id", "ProjectNo", "ContractAmount")
-
-    lang, source, quality, toxic = col("lang"), col("source"), col("quality"), col("toxic")
-    text = col("text")
-    detail = (
-        table(spark, d, "documents")
-        .join(table(spark, d, "labels"), "doc_id", "left")
-        .join(numbers, col("doc_id") == col("Id"), "left")
-        .select(
+def _unless(test: Column, value: Column) -> Column:
+    return F.when(~test, value)
+
+
+class Derived:
+    """The six input tables, made from the supplied ones when asked for."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self._table = lambda name: table(spark, d, name)
+
+    @property
+    def _number(self) -> Column:
+        status = F.col("o_orderstatus")
+        phase = F.when(status == "O", " Module A").when(status == "P", " Project B").otherwise("")
+        number = F.concat(F.lit("P-"), F.col("o_custkey").cast("string"), phase)
+        return _unless(F.col("o_orderpriority") == "5-LOW", number).alias("ProjectNo")
+
+    @property
+    def _amount(self) -> Column:
+        price = F.col("o_totalprice")
+        return F.when(price > 20000, price).when(price > 10000, F.lit(0.0)).alias("ContractAmount")
+
+    @cached_property
+    def _numbers(self) -> DataFrame:
+        return self._table("orders").select(
+            F.col("o_orderkey").alias("Id"), self._number, self._amount)
+
+    @cached_property
+    def projects(self) -> DataFrame:
+        col = F.col
+        priority, status = col("o_orderpriority"), col("o_orderstatus")
+        ends = self._table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended"))
+        base = (
+            self._table("orders")
+            .join(self._table("customer"), col("o_custkey") == col("c_custkey"), "left")
+            .join(ends, col("l_orderkey") == col("o_orderkey"), "left")
+        )
+        return base.select(
+            col("o_orderkey").alias("Id"),
+            self._number,
+            col("c_name").alias("ProjectName"),
+            F.nullif("c_mktsegment", F.lit("FURNITURE")).alias(ADMIN),
+            F.when(status == "O", "Southern California Edison").when(status == "P", "CEC")
+            .otherwise(col("c_name")).alias("ProjectLead"),
+            F.when(status == "O", "Active").when(status == "P", "Pending").otherwise("Closed")
+            .alias("ProjectStatus"),
+            _unless(priority == "2-HIGH", (status != "F") | (col("o_totalprice") > 250000))
+            .alias("IsActive"),
+            _unless(priority == "3-MEDIUM", F.date_format("o_orderdate", "MM/dd/yyyy"))
+            .alias("ProjectStartDate"),
+            F.date_format("ended", "MM/dd/yyyy").alias("ProjectEndDate"),
+            self._amount,
+            col("c_name").alias("PersonContactFirstName"),
+            F.nullif(priority, F.lit("1-URGENT")).alias("PersonContactLastName"),
+            F.nullif(status, F.lit("P")).alias("PersonContactEmail"),
+            F.nullif("c_mktsegment", F.lit("BUILDING")).alias("CecMgrContactFirstName"),
+            col("c_name").alias("CecMgrContactLastName"),
+            F.nullif(priority, F.lit("4-NOT SPECIFIED")).alias("CecMgrEmail"),
+            col("c_acctbal").alias("LongitudeX"),
+            col("o_totalprice").alias("LatitudeY"),
+        )
+
+    @cached_property
+    def projects_detail(self) -> DataFrame:
+        col = F.col
+        lang, source, quality, toxic = col("lang"), col("source"), col("quality"), col("toxic")
+        text = col("text")
+        rows = (
+            self._table("documents")
+            .join(self._table("labels"), "doc_id", "left")
+            .join(self._numbers, col("doc_id") == col("Id"), "left")
+        )
+        return rows.select(
             col("doc_id").alias("ProjectId"),
             col("doc_id").alias("ProjectDetailId"),
             "ProjectNo",
-            unless(lang == "de", lang == "en").alias("IsActive"),
+            _unless(lang == "de", lang == "en").alias("IsActive"),
             F.when(source.isin("src0", "src1"), "Competitive").when(lang == "en", text)
             .alias("DetailedProjectDescription"),
-            unless(lang == "fr", text).alias("ProjectSummary"),
+            _unless(lang == "fr", text).alias("ProjectSummary"),
             F.when(col("n_chars") > 500, text).alias("ProjectUpdate"),
             F.when(quality == 1, source).alias("Deliverables"),
             F.nullif(source, F.lit("src2")).alias("StatePolicySupportText"),
@@ -194,33 +218,33 @@ def derived(spark: SparkSession, d: str) -> Portfolio:
             F.nullif(lang, F.lit("en")).alias("KeyLeanings"),
             F.nullif(lang, F.lit("es")).alias("Scalability"),
         )
-    )
 
-    flag, line = col("l_returnflag"), col("l_linenumber")
-    finance = (
-        table(spark, d, "lineitem")
-        .join(numbers, col("l_orderkey") == col("Id"), "left")
-        .select(
+    @cached_property
+    def finance_detail(self) -> DataFrame:
+        col = F.col
+        flag, line = col("l_returnflag"), col("l_linenumber")
+        rows = self._table("lineitem").join(self._numbers, col("l_orderkey") == col("Id"), "left")
+        return rows.select(
             col("l_orderkey").alias("ProjectId"),
             "ProjectNo",
             F.when(flag == "A", col("ContractAmount")).otherwise(col("l_extendedprice"))
             .alias("ContractAmount"),
-            unless(line == 7, col("l_discount") * 1000).alias("CommitedFundingAmount"),
+            _unless(line == 7, col("l_discount") * 1000).alias("CommitedFundingAmount"),
             (col("l_tax") * 1000).alias("EncumberedFundingAmount"),
             F.when(flag != "R", col("l_quantity") * 2).when(line > 2, F.lit(0.0))
             .alias("FundsExpendedToDate"),
             F.nullif("l_quantity", F.lit(10.0)).alias("MatchFunding"),
         )
-    )
 
-    role, turn = col("role"), col("turn")
-    metric = (
-        table(spark, d, "conversations")
-        .join(numbers, col("conv_id") == col("Id"), "left")
-        .select(
+    @cached_property
+    def projects_metric(self) -> DataFrame:
+        col = F.col
+        role, turn, text = col("role"), col("turn"), col("text")
+        rows = self._table("conversations").join(self._numbers, col("conv_id") == col("Id"), "left")
+        return rows.select(
             col("conv_id").alias("ProjectId"),
             "ProjectNo",
-            unless(role == "system", turn < 3).alias("IsActive"),
+            _unless(role == "system", turn < 3).alias("IsActive"),
             F.when(role == "user", text).alias("ElectricitySystemReliabilityImpacts"),
             F.when(turn == 1, "n/a").when(turn == 2, text).alias("ElectricitySystemSafetyImpacts"),
             F.when(role == "system", "TBD.").when(role == "assistant", "NA")
@@ -233,39 +257,26 @@ def derived(spark: SparkSession, d: str) -> Portfolio:
             F.when(role == "user", "none").alias("OtherImpacts"),
             F.nullif(role, F.lit("assistant")).alias("InformationDissemination"),
         )
-    )
-    market = numbers.where((col("ContractAmount") > 300000) | col("ContractAmount").isNull()).select(
-        col("ProjectNo").alias("Agreement Number")
-    )
-    types = table(spark, d, "part").join(numbers, col("p_partkey") == col("Id"), "left").select(
-        col("p_partkey").alias("PROJECT_ID"),
-        col("ProjectNo").alias("PROJECT_NUMBER"),
-        F.nullif("p_size", F.lit(2)).alias("PROJECT_TYPE_PROJECT_TYPE_ID"),
-    )
-    return Portfolio(projects, detail, finance, metric, market, types)
-
-
-def _overview(spark: SparkSession, d: str) -> DataFrame:
-    return plan.overview(derived(spark, d))
-
 
-def _results(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return plan.overview_results(_overview(spark, d))
-
-
-def _detail(spark: SparkSession, d: str) -> DataFrame:
-    p = derived(spark, d)
-    return plan.detail_view(p.projects_detail, plan.overview(p))
-
-
-def _finance(spark: SparkSession, d: str) -> DataFrame:
-    p = derived(spark, d)
-    return plan.finance_view(p.finance_detail, plan.overview(p))
+    @cached_property
+    def market_facilitation(self) -> DataFrame:
+        amount = F.col("ContractAmount")
+        return self._numbers.where((amount > 300000) | amount.isNull()).select(
+            F.col("ProjectNo").alias("Agreement Number"))
+
+    @cached_property
+    def project_type(self) -> DataFrame:
+        rows = self._table("part").join(self._numbers, F.col("p_partkey") == F.col("Id"), "left")
+        return rows.select(
+            F.col("p_partkey").alias("PROJECT_ID"),
+            F.col("ProjectNo").alias("PROJECT_NUMBER"),
+            F.nullif("p_size", F.lit(2)).alias("PROJECT_TYPE_PROJECT_TYPE_ID"),
+        )
 
 
-def _metric(spark: SparkSession, d: str) -> DataFrame:
-    p = derived(spark, d)
-    return plan.metric_view(p.projects_metric, plan.overview(p))
+def result(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """One result of the review of the derived portfolio."""
+    return Review(Derived(spark, d)).result(name)
 
 
 # ---------------------------------------------------------------- wide report
@@ -291,7 +302,7 @@ _WIDE_COLUMNS = [
 
 @query(WIDE)
 def portfolio_wide(spark, d):
-    return plan.wide_report(derived(spark, d)).select(*_WIDE_COLUMNS)
+    return result(spark, d, "wide_report").select(*_WIDE_COLUMNS)
 
 
 @query(f"SELECT * FROM ({WIDE}) QUALIFY count(*) OVER (PARTITION BY Id, ProjectNo) > 1")
@@ -309,12 +320,12 @@ def _distinct_sql(extra: str) -> str:
 
 @query(_distinct_sql(""))
 def portfolio_distinct_populated(spark, d):
-    return _results(spark, d)["overview_distinct_populated"]
+    return result(spark, d, "overview_distinct_populated")
 
 
 @query(_distinct_sql(" + CAST(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT)"))
 def portfolio_distinct(spark, d):
-    return distinct_counts(_overview(spark, d), ["Id", "ProjectNo", "ProjectName"], count_null=True)
+    return result(spark, d, "overview_distinct")
 
 
 @query(_with() + """, x AS (SELECT ProjectNo,
@@ -323,7 +334,7 @@ def portfolio_distinct(spark, d):
     (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY BaseProjectNo) > 1)
   WHERE ProjectNo IS NOT NULL""")
 def portfolio_families(spark, d):
-    return _results(spark, d)["phase_families"]
+    return result(spark, d, "phase_families")
 
 
 @query(_with() + """SELECT ProgramAdminName, round(avg(ContractAmount), 6) AS average,
@@ -331,7 +342,7 @@ def portfolio_families(spark, d):
   FROM projects WHERE ContractAmount IS NOT NULL AND ContractAmount <> 0
   GROUP BY ProgramAdminName""")
 def portfolio_amounts_by_admin(spark, d):
-    return rounded(_results(spark, d)["contract_amount_by_admin"], "average")
+    return rounded(result(spark, d, "contract_amount_by_admin"), "average")
 
 
 @query(_with() + """SELECT min(ContractAmount) AS minimum,
@@ -341,21 +352,21 @@ def portfolio_amounts_by_admin(spark, d):
     round(quantile_cont(ContractAmount, 0.75), 6) AS q3, max(ContractAmount) AS maximum
   FROM projects WHERE ContractAmount <> 0""")
 def portfolio_amount_summary(spark, d):
-    return rounded(_results(spark, d)["contract_amount_summary"], "q1", "median", "mean", "q3")
+    return rounded(result(spark, d, "contract_amount_summary"), "q1", "median", "mean", "q3")
 
 
 @query(_with() + """SELECT CASE ProjectLead WHEN 'Southern California Edison' THEN 'SCE'
     ELSE ProjectLead END AS ProjectLead, count(*) AS n
   FROM projects WHERE ProjectLead IS NOT NULL GROUP BY 1""")
 def portfolio_leads(spark, d):
-    return _results(spark, d)["projects_by_lead"]
+    return result(spark, d, "projects_by_lead")
 
 
 @query(_with() + f"""SELECT ProgramAdminName, count(*) AS n,
     {PCT.format('count(*)', 'sum(count(*)) OVER ()')} AS pct
   FROM projects WHERE ProgramAdminName IS NOT NULL GROUP BY ProgramAdminName""")
 def portfolio_admins(spark, d):
-    return rounded(_results(spark, d)["projects_by_admin"], "pct")
+    return rounded(result(spark, d, "projects_by_admin"), "pct")
 
 
 @query(_with() + f"""SELECT ProgramAdminName, ProjectStatus, count(*) AS n,
@@ -363,7 +374,7 @@ def portfolio_admins(spark, d):
   FROM projects WHERE ProgramAdminName IS NOT NULL AND ProjectStatus IS NOT NULL
   GROUP BY ProgramAdminName, ProjectStatus""")
 def portfolio_status_within_admin(spark, d):
-    return rounded(_results(spark, d)["status_within_admin"], "pct")
+    return rounded(result(spark, d, "status_within_admin"), "pct")
 
 
 def _rate_sql(source: str, test: str, by: str = "", base: str = "TRUE") -> str:
@@ -378,19 +389,19 @@ _CONTRADICTION = "IsActive AND ProjectStatus = 'Closed'"
 
 @query(_with() + _rate_sql("projects", _CONTRADICTION))
 def portfolio_active_but_closed(spark, d):
-    return rounded(_results(spark, d)["active_but_closed"], "percentage")
+    return rounded(result(spark, d, "active_but_closed"), "percentage")
 
 
 @query(_with() + _rate_sql("projects", _CONTRADICTION, ADMIN,
                            "IsActive IS NOT NULL AND ProjectStatus IS NOT NULL"))
 def portfolio_active_but_closed_by_admin(spark, d):
-    return rounded(_results(spark, d)["active_but_closed_by_admin"], "percentage")
+    return rounded(result(spark, d, "active_but_closed_by_admin"), "percentage")
 
 
 @query(_with() + _rate_sql("projects",
                            "ProjectStartDate IS NOT NULL AND ProjectEndDate IS NOT NULL", ADMIN))
 def portfolio_dates_by_admin(spark, d):
-    return rounded(_results(spark, d)["dates_populated_by_admin"], "percentage")
+    return rounded(result(spark, d, "dates_populated_by_admin"), "percentage")
 
 
 _DATED = """dated AS (SELECT ProgramAdminName,
@@ -402,7 +413,7 @@ _DATED = """dated AS (SELECT ProgramAdminName,
 @query(_with(_DATED) + f"""SELECT CAST(year(s) AS INTEGER) AS start_year, count(*) AS n,
     {PCT.format('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM dated GROUP BY year(s)""")
 def portfolio_start_years(spark, d):
-    return rounded(_results(spark, d)["projects_by_start_year"], "pct")
+    return rounded(result(spark, d, "projects_by_start_year"), "pct")
 
 
 def _year_within_sql(name: str, date: str) -> str:
@@ -414,46 +425,46 @@ def _year_within_sql(name: str, date: str) -> str:
 
 @query(_year_within_sql("start_year", "s"))
 def portfolio_start_years_by_admin(spark, d):
-    return rounded(_results(spark, d)["start_year_within_admin"], "pct")
+    return rounded(result(spark, d, "start_year_within_admin"), "pct")
 
 
 @query(_year_within_sql("end_year", "e"))
 def portfolio_end_years_by_admin(spark, d):
-    return rounded(_results(spark, d)["end_year_within_admin"], "pct")
+    return rounded(result(spark, d, "end_year_within_admin"), "pct")
 
 
 @query(_with(_DATED) + """SELECT ProgramAdminName,
     round(avg(date_diff('day', s, e) / 7.0), 6) AS average
   FROM dated WHERE ProgramAdminName IS NOT NULL GROUP BY ProgramAdminName""")
 def portfolio_durations(spark, d):
-    return rounded(_results(spark, d)["duration_by_admin"], "average")
+    return rounded(result(spark, d, "duration_by_admin"), "average")
 
 
 @query(_with() + _rate_sql("projects", "PersonContactFirstName IS NOT NULL AND "
                            "PersonContactLastName IS NOT NULL AND PersonContactEmail IS NOT NULL",
                            ADMIN))
 def portfolio_contacts_by_admin(spark, d):
-    return rounded(_results(spark, d)["contact_populated_by_admin"], "percentage")
+    return rounded(result(spark, d, "contact_populated_by_admin"), "percentage")
 
 
 @query(_with() + """SELECT ProjectStatus, count(*) AS n FROM projects
   WHERE (PersonContactFirstName IS NULL OR PersonContactLastName IS NULL
          OR PersonContactEmail IS NULL) AND ProjectStatus IS NOT NULL GROUP BY ProjectStatus""")
 def portfolio_contact_gaps(spark, d):
-    return _results(spark, d)["contact_missing_by_status"]
+    return result(spark, d, "contact_missing_by_status")
 
 
 @query(_with() + _rate_sql("projects", "CecMgrContactFirstName IS NOT NULL AND "
                            "CecMgrContactLastName IS NOT NULL AND CecMgrEmail IS NOT NULL"))
 def portfolio_manager_contacts(spark, d):
-    return rounded(_results(spark, d)["manager_contact_populated"], "percentage")
+    return rounded(result(spark, d, "manager_contact_populated"), "percentage")
 
 
 @query(_with() + """SELECT Id, ProjectStatus, CAST(try_strptime(ProjectStartDate, '%m/%d/%Y') AS DATE)
     AS start_date, CAST(year(try_strptime(ProjectStartDate, '%m/%d/%Y')) AS INTEGER) AS start_year
   FROM projects WHERE ProjectStatus IN ('Pending', 'Active')""")
 def portfolio_unfinished(spark, d):
-    rows = _results(spark, d)["unfinished_projects"]
+    rows = result(spark, d, "unfinished_projects")
     return rows.select("Id", "ProjectStatus", "start_date", "start_year")
 
 
@@ -472,10 +483,7 @@ def _complete_sql(source: str, level: int, keys: dict[str, str], cols) -> str:
     _complete_sql("detail_view", 0, {ADMIN: "NULL"}, DETAIL_TEXTS),
     _complete_sql("detail_view", 1, {ADMIN: ADMIN}, DETAIL_TEXTS)]))
 def portfolio_detail_completeness(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.detail_results(p, ov, plan.detail_view(p.projects_detail, ov))
-    return rounded(out["detail_completeness"], "percentage")
+    return rounded(result(spark, d, "detail_completeness"), "percentage")
 
 
 def _parts_sql(view: str, flag: str, test: str, cols) -> str:
@@ -486,10 +494,7 @@ def _parts_sql(view: str, flag: str, test: str, cols) -> str:
 
 @query(_with(DETAIL) + _parts_sql("detail_view", "IsActive_details", "IS NULL", DETAIL_TEXTS[1:]))
 def portfolio_detail_blanks(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.detail_results(p, ov, plan.detail_view(p.projects_detail, ov))
-    return rounded(out["detail_blanks"], "pct")
+    return rounded(result(spark, d, "detail_blanks"), "pct")
 
 
 @query(_with(DETAIL) + f"""SELECT ProgramAdminName,
@@ -498,19 +503,13 @@ def portfolio_detail_blanks(spark, d):
       AS percentage
   FROM detail_view WHERE DetailedProjectDescription IS NOT NULL GROUP BY ProgramAdminName""")
 def portfolio_solicitation_word(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.detail_results(p, ov, plan.detail_view(p.projects_detail, ov))
-    return rounded(out["solicitation_word_by_admin"], "percentage")
+    return rounded(result(spark, d, "solicitation_word_by_admin"), "percentage")
 
 
 @query(_with(DETAIL) + """SELECT Id FROM projects
   WHERE NOT EXISTS (SELECT 1 FROM detail WHERE ProjectId = Id)""")
 def portfolio_missing_from_detail(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.detail_results(p, ov, plan.detail_view(p.projects_detail, ov))
-    return out["missing_from_detail"].select("Id")
+    return result(spark, d, "missing_from_detail").select("Id")
 
 
 def _summary_sql(view: str, left: str, right: str) -> str:
@@ -522,19 +521,11 @@ def _summary_sql(view: str, left: str, right: str) -> str:
 
 @query(_with(DETAIL) + _summary_sql("detail_view", "IsActive_overview", "IsActive_details"))
 def portfolio_detail_activity(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.detail_results(p, ov, plan.detail_view(p.projects_detail, ov))
-    return rounded(out["detail_activity_summary"], "percentage_match")
+    return rounded(result(spark, d, "detail_activity_summary"), "percentage_match")
 
 
 # ---------------------------------------------------------------- finance
 
-def _finance_results(spark, d):
-    p = derived(spark, d)
-    return plan.finance_results(p, plan.finance_view(p.finance_detail, plan.overview(p)))
-
-
 def _zero_sql(col: str, where: str) -> str:
     zero = f"count(*) FILTER ({col} = 0)"
     return _with(FINANCE) + f"""SELECT ProgramAdminName, count(*) AS total_entries,
@@ -544,18 +535,18 @@ def _zero_sql(col: str, where: str) -> str:
 
 @query(_zero_sql("CommitedFundingAmount", "CommitedFundingAmount IS NOT NULL"))
 def portfolio_committed_zero(spark, d):
-    return rounded(_finance_results(spark, d)["committed_zero_by_admin"], "percentage_zero")
+    return rounded(result(spark, d, "committed_zero_by_admin"), "percentage_zero")
 
 
 @query(_zero_sql("FundsExpendedToDate", "TRUE"))
 def portfolio_expended_zero(spark, d):
-    return rounded(_finance_results(spark, d)["expended_zero_by_admin"], "percentage_zero")
+    return rounded(result(spark, d, "expended_zero_by_admin"), "percentage_zero")
 
 
 @query(_with(FINANCE) + """SELECT ProgramAdminName, round(avg(FundsExpendedToDate), 6) AS average
   FROM finance_view WHERE FundsExpendedToDate <> 0 GROUP BY ProgramAdminName""")
 def portfolio_expended_mean(spark, d):
-    return rounded(_finance_results(spark, d)["expended_mean_by_admin"], "average")
+    return rounded(result(spark, d, "expended_mean_by_admin"), "average")
 
 
 def _rule_sql(guards: list[str], rule: str) -> str:
@@ -571,26 +562,26 @@ _FUNDS = ["CommitedFundingAmount", "FundsExpendedToDate", "EncumberedFundingAmou
 
 @query(_rule_sql(_FUNDS, "FundsExpendedToDate < CommitedFundingAmount + EncumberedFundingAmount"))
 def portfolio_budget(spark, d):
-    return rounded(_finance_results(spark, d)["budget_check_summary"], "percentage_match")
+    return rounded(result(spark, d, "budget_check_summary"), "percentage_match")
 
 
 @query(_rule_sql([*_FUNDS, "MatchFunding"],
                  "MatchFunding + CommitedFundingAmount > EncumberedFundingAmount AND "
                  "MatchFunding + CommitedFundingAmount > FundsExpendedToDate"))
 def portfolio_match_funding(spark, d):
-    return rounded(_finance_results(spark, d)["match_funding_check_summary"], "percentage_match")
+    return rounded(result(spark, d, "match_funding_check_summary"), "percentage_match")
 
 
 @query(_with(FINANCE) + _summary_sql("finance_view", "ContractAmount_overview",
                                      "ContractAmount_details"))
 def portfolio_contract_amounts(spark, d):
-    return rounded(_finance_results(spark, d)["contract_amounts_summary"], "percentage_match")
+    return rounded(result(spark, d, "contract_amounts_summary"), "percentage_match")
 
 
 @query(_with(FINANCE) + """SELECT ProjectId, ProjectNo, ProgramAdminName, CommitedFundingAmount
   FROM finance_view WHERE FundsExpendedToDate = 0 AND CommitedFundingAmount > 0""")
 def portfolio_nothing_expended(spark, d):
-    rows = _finance_results(spark, d)["committed_but_nothing_expended"]
+    rows = result(spark, d, "committed_but_nothing_expended")
     return rows.select("ProjectId", "ProjectNo", ADMIN, "CommitedFundingAmount")
 
 
@@ -602,15 +593,12 @@ def portfolio_nothing_expended(spark, d):
     _complete_sql("metric_view", 2, {ADMIN: ADMIN, "start_year": "start_year"},
                   METRIC_TEXTS_BY_YEAR)]))
 def portfolio_metric_completeness(spark, d):
-    return rounded(plan.metric_completeness(_metric(spark, d)), "percentage")
+    return rounded(result(spark, d, "metric_completeness"), "percentage")
 
 
 @query(_with(METRIC) + _parts_sql("metric_view", "IsActive_metric", "IS NOT NULL", METRIC_TEXTS))
 def portfolio_metric_populated(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.metric_results(p, ov, plan.metric_view(p.projects_metric, ov))
-    return rounded(out["metric_populated"], "pct")
+    return rounded(result(spark, d, "metric_populated"), "pct")
 
 
 @query(_with(METRIC) + """SELECT ProjectId, ProjectNo FROM metric_view
@@ -618,10 +606,7 @@ def portfolio_metric_populated(spark, d):
     AND EnviromentalImpactsNonGHG IS NOT NULL AND EnergyImpacts IS NOT NULL
     AND OtherImpacts IS NOT NULL""")
 def portfolio_all_impacts(spark, d):
-    p = derived(spark, d)
-    ov = plan.overview(p)
-    out = plan.metric_results(p, ov, plan.metric_view(p.projects_metric, ov))
-    return out["all_impacts"].select("ProjectId", "ProjectNo")
+    return result(spark, d, "all_impacts").select("ProjectId", "ProjectNo")
 
 
 # ---------------------------------------------------------------- at least one of several fields
@@ -649,47 +634,43 @@ def _cohort_sql(year: str, name: str) -> str:
 
 @query(_with(DETAIL, _BARRIERS) + _cohort_sql("y0", "start_year"))
 def portfolio_barriers_by_start_year(spark, d):
-    out = plan.barrier_results(_detail(spark, d))
-    return rounded(out["barrier_by_start_year"], "percentage")
+    return rounded(result(spark, d, "barrier_by_start_year"), "percentage")
 
 
 @query(_with(DETAIL, _BARRIERS) + _rate_sql("flagged", "flag = 1", ADMIN))
 def portfolio_with_barrier_by_admin(spark, d):
-    out = plan.barrier_results(_detail(spark, d))
-    return rounded(out["with_barrier_by_admin"], "percentage")
+    return rounded(result(spark, d, "with_barrier_by_admin"), "percentage")
 
 
 @query(_with(DETAIL, _BARRIERS) + _rate_sql("flagged", "flag = 0"))
 def portfolio_without_barrier(spark, d):
-    return rounded(plan.barrier_results(_detail(spark, d))["without_barrier"], "percentage")
+    return rounded(result(spark, d, "without_barrier"), "percentage")
 
 
 @query(_with(DETAIL, _BARRIERS) + """SELECT ProjectId, ProjectName, ProgramAdminName,
     DetailedProjectDescription FROM flagged WHERE flag = 0""")
 def portfolio_without_barrier_rows(spark, d):
-    rows = plan.barrier_results(_detail(spark, d))["without_barrier_rows"]
+    rows = result(spark, d, "without_barrier_rows")
     return rows.select("ProjectId", "ProjectName", ADMIN, "DetailedProjectDescription")
 
 
 @query(_with(METRIC, _IMPACTS) + _cohort_sql("y1", "end_year"))
 def portfolio_impacts_by_end_year(spark, d):
-    out = plan.impact_results(_metric(spark, d))
-    return rounded(out["impact_by_end_year"], "percentage")
+    return rounded(result(spark, d, "impact_by_end_year"), "percentage")
 
 
 @query(_with(METRIC, _IMPACTS) + _rate_sql("flagged", "flag = 1"))
 def portfolio_with_impact(spark, d):
-    return rounded(plan.impact_results(_metric(spark, d))["with_impact"], "percentage")
+    return rounded(result(spark, d, "with_impact"), "percentage")
 
 
 @query(_with(METRIC, _IMPACTS) + _rate_sql("flagged", "flag = 0", ADMIN))
 def portfolio_without_impact_by_admin(spark, d):
-    out = plan.impact_results(_metric(spark, d))
-    return rounded(out["without_impact_by_admin"], "percentage")
+    return rounded(result(spark, d, "without_impact_by_admin"), "percentage")
 
 
 @query(_with(METRIC, _IMPACTS) + """SELECT ProjectId, ProjectName, ElectricitySystemReliabilityImpacts
   FROM flagged WHERE flag = 0""")
 def portfolio_without_impact_rows(spark, d):
-    rows = pull(plan.impact_rows(_metric(spark, d)), F.col("one_or_more_impact") == 0)
+    rows = result(spark, d, "without_impact_rows")
     return rows.select("ProjectId", "ProjectName", "ElectricitySystemReliabilityImpacts")

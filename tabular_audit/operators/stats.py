@@ -60,8 +60,10 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
         .groupBy("v")
         .agg(F.count("*").alias("c"))
     )
+    # A stated number keeps small inputs from ending up in a single slice.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = (
-        values.repartitionByRange("v")
+        values.repartitionByRange(parts, "v")
         .groupBy(F.spark_partition_id().alias("slice"))
         .agg(
             F.min("v").alias("lo"),
@@ -77,49 +79,47 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
         "lo", "hi", "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"),
         F.sum("n").over(overall).alias("total"),
+        F.sum("s").over(overall).alias("sum"),
+        F.min("lo").over(overall).alias("minimum"),
+        F.max("hi").over(overall).alias("maximum"),
     )
     # Zero-based ranks on both sides of each quartile, at most six of them.
     position = (F.col("total") - 1) * F.col("p")
-    wanted = (
+    summary = (
         placed.withColumn("p", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         .select("*", F.explode(F.array(F.floor(position), F.ceil(position))).alias("rank"))
         .where("rank >= below AND rank < below + n")
-        .select("rank", "lo", "hi", "below")
-        .distinct()
+        .agg(F.struct(
+            F.collect_set(F.struct("rank", "lo", "hi", "below")).alias("ranges"),
+            *[F.max(c).alias(c) for c in ("total", "sum", "minimum", "maximum")],
+        ).alias("summary"))
+        .scalar()
     )
-    ranges = wanted.agg(F.collect_list(F.struct("rank", "lo", "hi", "below")).alias("r")).scalar()
     ordered = Window.partitionBy("w.rank").orderBy("v")
     hits = (
-        values.withColumn("r", ranges)
+        values.withColumn("summary", summary)
         .select(
             "v", "c",
-            F.explode(F.filter("r", lambda x: F.col("v").between(x["lo"], x["hi"]))).alias("w"),
+            F.explode(F.filter(
+                "summary.ranges", lambda x: F.col("v").between(x["lo"], x["hi"]))).alias("w"),
         )
         .withColumn("upto", F.col("w.below") + F.sum("c").over(
             ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .where("w.rank < upto AND w.rank >= upto - c")
     )
     found = hits.agg(F.map_from_entries(F.collect_list(F.struct("w.rank", "v"))).alias("at"))
-    whole = slices.agg(
-        F.struct(
-            F.min("lo").alias("minimum"),
-            F.max("hi").alias("maximum"),
-            F.sum("n").alias("n"),
-            F.sum("s").alias("s"),
-        ).alias("w")
-    ).scalar()
 
     def quartile(p: float) -> Column:
-        position = (F.col("whole.n") - 1) * F.lit(p)
+        position = (F.col("summary.total") - 1) * F.lit(p)
         low, high = F.floor(position), F.ceil(position)
         a, b = F.try_element_at("at", low), F.try_element_at("at", high)
         return a + (b - a) * (position - low)
 
-    return found.withColumn("whole", whole).select(
-        F.col("whole.minimum").alias("minimum"),
+    return found.withColumn("summary", summary).select(
+        "summary.minimum",
         quartile(0.25).alias("q1"),
         quartile(0.5).alias("median"),
-        F.try_divide("whole.s", "whole.n").alias("mean"),
+        F.try_divide("summary.sum", "summary.total").alias("mean"),
         quartile(0.75).alias("q3"),
-        F.col("whole.maximum").alias("maximum"),
+        "summary.maximum",
     )

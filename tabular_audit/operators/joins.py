@@ -76,10 +76,11 @@ def _match(left_cols: Iterable[str], right_cols: Iterable[str], match_nulls: boo
 class Tab:
     """A table to widen a base table with.
 
-    ``on`` maps base key names to the tab's key names, ``columns`` narrows the
-    tab before the join, ``renamed`` renames its columns first, ``suffixes`` are
-    for columns present on both sides, and ``unique`` states that the tab has
-    one row per key (the result is the same if it has not).
+    ``renamed`` renames the tab's columns before anything else.  ``on`` maps base
+    key names to the tab's key names, ``columns`` narrows the tab before the
+    join, ``suffixes`` are for columns present on both sides, and ``unique``
+    states that the tab has one row per key (the result is the same if it has
+    not).
     """
 
     df: DataFrame
@@ -90,11 +91,11 @@ class Tab:
     unique: bool = False
 
     def prepared(self) -> DataFrame:
-        out = self.df
-        if self.columns is not None:
-            wanted = dict.fromkeys([*key_pairs(self.on).values(), *self.columns])
-            out = out.select(*[quoted(c) for c in wanted])
-        return out.withColumnsRenamed(dict(self.renamed)) if self.renamed else out
+        out = self.df.withColumnsRenamed(dict(self.renamed)) if self.renamed else self.df
+        if self.columns is None:
+            return out
+        wanted = dict.fromkeys([*key_pairs(self.on).values(), *self.columns])
+        return out.select(*[quoted(c) for c in wanted])
 
 
 @dataclass(frozen=True)

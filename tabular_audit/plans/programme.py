@@ -421,6 +421,14 @@ RESULTS: Results = {
 }
 
 
+# Results with about as many rows as their input tables.
+ROW_RESULTS = (
+    "wide_report", "project_dates", "project_durations", "contact_missing", "detail_key_matches",
+    "scale_statements", "detail_activity", "budget_check", "contract_amounts",
+    "match_funding_check", "metric_activity", "without_barrier_rows", "without_impact_rows",
+)
+
+
 def review(p: Portfolio, keep: bool = True) -> dict[str, DataFrame]:
     """All results; ``keep`` as in ``Review``."""
     r = Review(p, keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,25 +10,36 @@ from ..functions import quoted
 
 
 def write_report(
-    df: DataFrame, path: str, fmt: str = "parquet", order_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    order_by: Sequence[str] = (),
+    compact: bool = True,
 ) -> None:
     """Write a result, replacing an older one.
 
     With ``order_by`` the files hold the rows in ascending order, null last.
-    Without it a rebalance hint lets adaptive execution put a small report into
-    one file and cut a large one into many of even size.
+    Otherwise ``compact`` lets adaptive execution put a small report into one
+    file and cut a large one into many of even size, at the price of shuffling
+    the result; ``compact=False`` writes it as it is partitioned.
     """
     if order_by:
-        out = df.orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in order_by])
-    else:
-        out = df.hint("rebalance")
-    writer = out.write.mode("overwrite")
+        df = df.orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in order_by])
+    elif compact:
+        df = df.hint("rebalance")
+    writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(fmt).save(path)
 
 
-def write_reports(results: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """Write each result to a sub-folder of its name."""
+def write_reports(
+    results: Mapping[str, DataFrame],
+    folder: str,
+    fmt: str = "parquet",
+    large: Collection[str] = (),
+) -> None:
+    """Write each result to a sub-folder of its name; those named in ``large``
+    are not compacted."""
     for name, df in results.items():
-        write_report(df, f"{folder.rstrip('/')}/{name}", fmt)
+        write_report(df, f"{folder.rstrip('/')}/{name}", fmt, compact=name not in large)

@@ -12,11 +12,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or isinstance(value, (bool, str)):
-        return value
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else value
-    return value
+    return "nan" if isinstance(value, float) and math.isnan(value) else value
 
 
 def oracle_rows(sql: str, folder: str):
@@ -36,9 +32,8 @@ def bag(names, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def differences(spark, fn, sql, folder):
+def differences(df, sql, folder):
     """None when equal, otherwise a short report."""
-    df = fn(spark, folder)
     names, types, want = oracle_rows(sql, folder)
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"

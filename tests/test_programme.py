@@ -2,8 +2,8 @@
 
 import pytest
 
-from tabular_audit.plans import Portfolio, review
-from tabular_audit.sources import SCHEMAS
+from tabular_audit.plans import RESULTS, ROW_RESULTS, Portfolio, review
+from tabular_audit.sources import SCHEMAS, write_reports
 
 P = "projects"
 BLANK_CONTACT = (None,) * 3
@@ -241,3 +241,11 @@ def test_every_result_can_be_computed(results):
     for name, df in results.items():
         df.write.format("noop").mode("overwrite").save()
         assert len(set(c.lower() for c in df.columns)) == len(df.columns), name
+
+
+def test_results_are_written_by_name(spark, results, tmp_path):
+    some = {n: results[n] for n in ("projects_by_admin", "budget_check", "contact_missing")}
+    write_reports(some, str(tmp_path), large=ROW_RESULTS)
+    for name, df in some.items():
+        assert spark.read.parquet(str(tmp_path / name)).count() == df.count()
+    assert set(ROW_RESULTS) <= set(RESULTS) == set(results)

@@ -40,11 +40,11 @@ def parse_mdy(col: str | Column) -> Column:
 def parse_fixed_mdy(col: str | Column) -> Column:
     """Date from strictly ``month/day/year`` text.
 
-    Leading blanks and anything after the year are ignored, and the year is
-    taken as written: ``5/1/20`` is the year 20.
+    Blanks before a number and anything after the year are ignored, and the
+    year is taken as written: ``5/1/20`` is the year 20.
     """
-    head = F.regexp_extract(column(col), r"^\s*(\d{1,2}/\d{1,2}/\d{1,4})", 1)
-    return F.try_to_date(head, "M/d/y")
+    head = F.regexp_extract(column(col), r"^ *(\d{1,2}/ *\d{1,2}/ *\d{1,4})", 1)
+    return F.try_to_date(F.translate(head, " ", ""), "M/d/y")
 
 
 def mdy_year(col: str | Column) -> Column:

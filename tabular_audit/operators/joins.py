@@ -32,6 +32,9 @@ from ..functions import indicator, quoted
 HOT_SHARE = 10_000
 HOT_ROWS = 1_000_000
 
+# Keys that may be broadcast after they have been counted.
+BROADCAST_KEYS = 100_000
+
 _KEY = "__key"
 _MARK = "__mark"
 
@@ -57,6 +60,12 @@ def distinct_keys(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.select(key_struct(cols).alias(_KEY)).distinct()
 
 
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """Run a job that counts the keys, and broadcast them if there are at most
+    ``BROADCAST_KEYS`` of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def hot_keys(
     df: DataFrame, cols: Iterable[str], share: int = HOT_SHARE, rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -231,12 +240,22 @@ def key_match_flags(
 
 
 def unmatched(
-    df: DataFrame, other: DataFrame, on: Keys, flag: str | None = None
+    df: DataFrame, other: DataFrame, on: Keys, flag: str | None = None, count_first: bool = False
 ) -> DataFrame:
     """Rows whose key does not occur in the other table; ``flag`` adds a column
-    that is always true."""
+    that is always true.
+
+    ``count_first`` works out the missing keys on the distinct keys of both
+    tables and runs a job that counts them.  If they are few they are broadcast,
+    and the full rows need not be shuffled.
+    """
     keys = key_pairs(on)
-    rows = df.join(
-        distinct_keys(other, keys.values()), key_struct(keys) == F.col(_KEY), "left_anti"
-    )
+    at_key = key_struct(keys) == F.col(_KEY)
+    known = distinct_keys(other, keys.values())
+    if count_first:
+        known = known.withColumnRenamed(_KEY, _MARK)
+        missing = distinct_keys(df, keys).join(known, F.col(_KEY) == F.col(_MARK), "left_anti")
+        rows = df.join(broadcast_if_few(missing), at_key, "left_semi")
+    else:
+        rows = df.join(known, at_key, "left_anti")
     return rows.withColumn(flag, F.lit(True)) if flag else rows

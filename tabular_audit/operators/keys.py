@@ -14,10 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cut_at, quoted
 from ..functions.fixed_values import PHASE_MARKERS
-from .joins import _KEY, key_struct
-
-# Repeated keys that may be broadcast after they have been counted.
-BROADCAST_KEYS = 100_000
+from .joins import _KEY, broadcast_if_few, key_struct
 
 # Distinct counts of several columns in one aggregate expand every row once per
 # column; above this many columns the work is split into several aggregates.
@@ -37,14 +34,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "nrows") -> D
 def duplicate_rows(df: DataFrame, keys: Sequence[str], count_first: bool = False) -> DataFrame:
     """All rows whose key is held by more than one row.
 
-    ``count_first`` runs a job that counts the repeated keys.  If there are at
-    most ``BROADCAST_KEYS`` of them they are broadcast, and the full rows need
-    not be shuffled; otherwise, as without the count, both sides are shuffled.
+    ``count_first`` runs a job that counts the repeated keys.  If they are few
+    they are broadcast, and the full rows need not be shuffled.
     """
     repeated = df.groupBy(key_struct(keys).alias(_KEY)).agg(F.count("*").alias("n"))
     repeated = repeated.where("n > 1").select(_KEY)
-    if count_first and repeated.count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
+    if count_first:
+        repeated = broadcast_if_few(repeated)
     return df.join(repeated, key_struct(keys) == F.col(_KEY), "left_semi")
 
 

@@ -297,7 +297,7 @@ DETAIL: Results = {
     "detail_distinct": lambda r: distinct_counts(
         r.p.projects_detail, [*_PROJECT_KEY, "ProjectDetailId"], count_null=True),
     "missing_from_detail": lambda r: unmatched(
-        r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch"),
+        r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch", count_first=r.keep),
     "detail_completeness": lambda r: completeness_levels(r.detail, DETAIL_TEXTS, [(), (ADMIN,)]),
     "solicitation_word_by_admin": lambda r: literal_rate_by(
         r.detail, "DetailedProjectDescription", SOLICITATION_WORD, [ADMIN]),
@@ -379,7 +379,7 @@ METRIC: Results = {
     "metric_distinct": lambda r: distinct_counts(
         r.p.projects_metric, _PROJECT_KEY, count_null=True),
     "missing_from_metric": lambda r: unmatched(
-        r.ov, r.p.projects_metric, {"Id": "ProjectId"}, "nomatch"),
+        r.ov, r.p.projects_metric, {"Id": "ProjectId"}, "nomatch", count_first=r.keep),
     "all_impacts": lambda r: pull(r.metric, all_populated(*IMPACTS)),
     "metric_completeness": _metric_completeness,
     "metric_populated": lambda r: breakdown(

@@ -126,12 +126,15 @@ def test_odd_column_names(spark, left):
     assert rows(out.select("Id", "`in.market`")) == [(1, 1), (2, 1), (3, 0), (None, 1)]
 
 
-def test_unmatched_is_null_safe_and_complete(left, right):
-    out = unmatched(left, right, KEY, flag="nomatch")
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("limit", [0, 100])
+def test_unmatched_is_null_safe_and_complete(left, right, first, limit, monkeypatch):
+    monkeypatch.setattr("tabular_audit.operators.joins.BROADCAST_KEYS", limit)
+    out = unmatched(left, right, KEY, flag="nomatch", count_first=first)
     assert rows(out.select("Id", "nomatch")) == [(3, True), (None, True)]
     matched = left.count() - out.count()
     assert matched == 2
-    assert unmatched(left, right.limit(0), KEY).count() == left.count()
+    assert unmatched(left, right.limit(0), KEY, count_first=first).count() == left.count()
 
 
 def test_key_match_flags(left, right):
@@ -317,7 +320,8 @@ def test_parse_mdy(spark, text, want):
 @pytest.mark.parametrize("text, want", [
     ("05/01/2020", dt.date(2020, 5, 1)), ("5/1/2020", dt.date(2020, 5, 1)),
     ("5/1/20", dt.date(20, 5, 1)), ("05/01/2020 00:00", dt.date(2020, 5, 1)),
-    (" 5/1/2020 ", dt.date(2020, 5, 1)), ("2020-05-01", None), ("13/40/2020", None),
+    (" 5/1/2020 ", dt.date(2020, 5, 1)), ("5/ 1/ 2020", dt.date(2020, 5, 1)), ("5 /1/2020", None),
+    ("5/1/20201", dt.date(2020, 5, 1)), ("2020-05-01", None), ("13/40/2020", None),
     ("2/30/2020", None), ("5-1-2020", None), (None, None),
 ])
 def test_parse_fixed_mdy(spark, text, want):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,8 +39,15 @@ def write_reports(
     folder: str,
     fmt: str = "parquet",
     large: Collection[str] = (),
+    parallel: int = 1,
 ) -> None:
     """Write each result to a sub-folder of its name; those named in ``large``
-    are not compacted."""
-    for name, df in results.items():
-        write_report(df, f"{folder.rstrip('/')}/{name}", fmt, compact=name not in large)
+    are not compacted.  ``parallel`` results are written at the same time, so
+    that small jobs share the cluster."""
+
+    def write(name: str) -> None:
+        write_report(results[name], f"{folder.rstrip('/')}/{name}", fmt, compact=name not in large)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for done in [pool.submit(write, name) for name in results]:
+            done.result()

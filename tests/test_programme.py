@@ -245,7 +245,26 @@ def test_every_result_can_be_computed(results):
 
 def test_results_are_written_by_name(spark, results, tmp_path):
     some = {n: results[n] for n in ("projects_by_admin", "budget_check", "contact_missing")}
-    write_reports(some, str(tmp_path), large=ROW_RESULTS)
+    write_reports(some, str(tmp_path), large=ROW_RESULTS, parallel=3)
     for name, df in some.items():
         assert spark.read.parquet(str(tmp_path / name)).count() == df.count()
     assert set(ROW_RESULTS) <= set(RESULTS) == set(results)
+
+
+def test_job_from_csv_to_reports(spark, tmp_path):
+    import run_review
+
+    args = ["--format", "csv", "--out", str(tmp_path / "out"), "--no-keep",
+            "--only", "projects_by_lead", "active_but_closed", "budget_check_summary"]
+    for name, schema in SCHEMAS.items():
+        table = spark.createDataFrame(DATA[name], schema)
+        table.coalesce(1).write.option("header", True).csv(str(tmp_path / name))
+        args += ["--table", f"{name}={tmp_path / name}"]
+    run_review.main(args)
+
+    def read(name):
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / name)).collect()))
+
+    assert read("projects_by_lead") == [("SCE", 2), ("Someone", 2)]
+    assert read("active_but_closed") == [(2, 5, 40.0)]
+    assert read("budget_check_summary") == [(2, 1, 1, 50.0)]

@@ -342,9 +342,9 @@ def describe_repeated_amounts(spark, d):
 # ---------------------------------------------------------------- dates
 
 @query("""
-    SELECT o_orderkey, o_orderdate AS parsed_from, CAST(o_orderdate AS DATE) AS parsed,
-           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN CAST(o_orderdate AS DATE) END
-             AS parsed_fixed
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed,
+           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
+             THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed_fixed
     FROM orders""")
 def parse_date_spellings(spark, d):
     spelling = (
@@ -357,9 +357,8 @@ def parse_date_spellings(spark, d):
     rows = table(spark, d, "orders").withColumn("written", spelling)
     return rows.select(
         "o_orderkey",
-        F.col("o_orderdate").alias("parsed_from"),
-        parse_mdy("written").alias("parsed"),
-        parse_fixed_mdy("written").alias("parsed_fixed"),
+        parse_mdy("written").cast("string").alias("parsed"),
+        parse_fixed_mdy("written").cast("string").alias("parsed_fixed"),
     )
 
 

@@ -460,12 +460,12 @@ def portfolio_manager_contacts(spark, d):
     return rounded(result(spark, d, "manager_contact_populated"), "percentage")
 
 
-@query(_with() + """SELECT Id, ProjectStatus, CAST(try_strptime(ProjectStartDate, '%m/%d/%Y') AS DATE)
-    AS start_date, CAST(year(try_strptime(ProjectStartDate, '%m/%d/%Y')) AS INTEGER) AS start_year
+@query(_with() + """SELECT Id, ProjectStatus,
+    strftime(try_strptime(ProjectStartDate, '%m/%d/%Y'), '%Y-%m-%d') AS start_date, CAST(year(try_strptime(ProjectStartDate, '%m/%d/%Y')) AS INTEGER) AS start_year
   FROM projects WHERE ProjectStatus IN ('Pending', 'Active')""")
 def portfolio_unfinished(spark, d):
     rows = result(spark, d, "unfinished_projects")
-    return rows.select("Id", "ProjectStatus", "start_date", "start_year")
+    return rows.select("Id", "ProjectStatus", F.col("start_date").cast("string"), "start_year")
 
 
 # ---------------------------------------------------------------- detail

@@ -9,7 +9,7 @@ times rather than once per field.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import (
     all_populated,
     any_blank,
+    any_populated,
+    indicator,
     label_codes,
     mdy_year,
+    null_if_placeholder,
     one_of,
     parse_mdy,
     populated_nonzero,
@@ -41,7 +44,6 @@ from ..operators import (
     enrich,
     families,
     first_values,
-    flag_any_populated,
     frequency_table,
     group_sizes,
     key_match_flags,
@@ -143,10 +145,39 @@ def metric_view(metric: DataFrame, ov: DataFrame) -> DataFrame:
     return enrich(metric, Tab(ov, _BY_PROJECT, suffixes=("_metric", "_overview")))
 
 
-def with_any_flag(df: DataFrame, cols: tuple[str, ...], flag: str, *carried: str) -> DataFrame:
-    """Narrow table with placeholders blanked out and a 0/1 flag for any value."""
-    rows = df.select("ProjectId", "ProjectName", *carried, ADMIN, *cols, START, END)
-    return flag_any_populated(placeholder_to_null(rows, cols), cols, flag)
+_FILLED = "__filled"
+
+
+def with_marks(
+    view: DataFrame, texts: Sequence[str], flag: str, flag_cols: Sequence[str]
+) -> DataFrame:
+    """Add what most results ask about the text columns: per column a mark that
+    is true or null, and a 0/1 flag for any text other than a placeholder in
+    ``flag_cols``.  Written with the view, they spare later results the texts."""
+    marks = {c + _FILLED: F.when(F.col(c).isNotNull(), True) for c in texts}
+    some = indicator(any_populated(*[null_if_placeholder(c) for c in flag_cols]))
+    return view.withColumns({**marks, flag: some})
+
+
+def _without_marks(table: DataFrame, texts: Sequence[str], flag: str) -> DataFrame:
+    return table.drop(flag, *[c + _FILLED for c in texts])
+
+
+def _only_marks(table: DataFrame, texts: Sequence[str], active: str) -> DataFrame:
+    """The marks under the names of their columns, with what rows are grouped by."""
+    marks = [F.col(c + _FILLED).alias(c) for c in texts]
+    return table.select(ADMIN, active, START, END, *marks)
+
+
+def _flagged(
+    table: DataFrame, cols: Sequence[str], flag: str, *carried: str
+) -> DataFrame:
+    """Narrow table with placeholders blanked out, and the flag."""
+    rows = table.select("ProjectId", "ProjectName", *carried, ADMIN, *cols, START, END, flag)
+    return placeholder_to_null(rows, cols)
+
+
+_BARRIER, _IMPACT = "one_or_more_barrier", "one_or_more_impact"
 
 
 @dataclass(frozen=True)
@@ -168,30 +199,47 @@ class Review:
     def ov(self) -> DataFrame:
         return self._kept(overview(self.p), "overview")
 
+    @cached_property
+    def _detail_table(self) -> DataFrame:
+        view = detail_view(self.p.projects_detail, self.ov)
+        return self._kept(with_marks(view, DETAIL_TEXTS, _BARRIER, BARRIERS), "detail")
+
     @cached_property
     def detail(self) -> DataFrame:
-        return self._kept(detail_view(self.p.projects_detail, self.ov), "detail")
+        return _without_marks(self._detail_table, DETAIL_TEXTS, _BARRIER)
+
+    @cached_property
+    def detail_marks(self) -> DataFrame:
+        return _only_marks(self._detail_table, DETAIL_TEXTS, "IsActive_details")
+
+    @cached_property
+    def barriers(self) -> DataFrame:
+        return _flagged(self._detail_table, BARRIERS, _BARRIER, "DetailedProjectDescription")
 
     @cached_property
     def finance(self) -> DataFrame:
         return self._kept(finance_view(self.p.finance_detail, self.ov), "finance")
 
     @cached_property
-    def metric(self) -> DataFrame:
-        return self._kept(metric_view(self.p.projects_metric, self.ov), "metric")
+    def _metric_table(self) -> DataFrame:
+        view = metric_view(self.p.projects_metric, self.ov)
+        return self._kept(with_marks(view, METRIC_TEXTS, _IMPACT, IMPACTS), "metric")
 
     @cached_property
-    def wide(self) -> DataFrame:
-        return self._kept(wide_report(self.p), "wide")
+    def metric(self) -> DataFrame:
+        return _without_marks(self._metric_table, METRIC_TEXTS, _IMPACT)
 
     @cached_property
-    def barriers(self) -> DataFrame:
-        return with_any_flag(self.detail, BARRIERS, "one_or_more_barrier",
-                             "DetailedProjectDescription")
+    def metric_marks(self) -> DataFrame:
+        return _only_marks(self._metric_table, METRIC_TEXTS, "IsActive_metric")
 
     @cached_property
     def impacts(self) -> DataFrame:
-        return with_any_flag(self.metric, IMPACTS, "one_or_more_impact")
+        return _flagged(self._metric_table, IMPACTS, _IMPACT)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return self._kept(wide_report(self.p), "wide")
 
     def result(self, name: str) -> DataFrame:
         return RESULTS[name](self)
@@ -298,11 +346,12 @@ DETAIL: Results = {
         r.p.projects_detail, [*_PROJECT_KEY, "ProjectDetailId"], count_null=True),
     "missing_from_detail": lambda r: unmatched(
         r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch", count_first=r.keep),
-    "detail_completeness": lambda r: completeness_levels(r.detail, DETAIL_TEXTS, [(), (ADMIN,)]),
+    "detail_completeness": lambda r: completeness_levels(
+        r.detail_marks, DETAIL_TEXTS, [(), (ADMIN,)]),
     "solicitation_word_by_admin": lambda r: literal_rate_by(
         r.detail, "DetailedProjectDescription", SOLICITATION_WORD, [ADMIN]),
     "detail_blanks": lambda r: breakdown(
-        r.detail, [c for c in DETAIL_TEXTS if c != "DetailedProjectDescription"],
+        r.detail_marks, [c for c in DETAIL_TEXTS if c != "DetailedProjectDescription"],
         [ADMIN, "IsActive_details"], with_pct=True),
     "scale_statements": lambda r: pull(r.detail, all_populated("GettingToScale")),
     "detail_activity": _detail_activity,
@@ -365,7 +414,7 @@ FINANCE: Results = {
 
 def _metric_completeness(r: Review) -> DataFrame:
     """Overall, per administrator, and per administrator and start year."""
-    dated = r.metric.withColumn("start_year", mdy_year(START))
+    dated = r.metric_marks.withColumn("start_year", mdy_year(START))
     out = completeness_levels(dated, METRIC_TEXTS, [(), (ADMIN,), (ADMIN, "start_year")])
     return out.where((F.col("level") < 2) | F.col("column").isin(list(METRIC_TEXTS_BY_YEAR)))
 
@@ -383,7 +432,7 @@ METRIC: Results = {
     "all_impacts": lambda r: pull(r.metric, all_populated(*IMPACTS)),
     "metric_completeness": _metric_completeness,
     "metric_populated": lambda r: breakdown(
-        r.metric, METRIC_TEXTS, [ADMIN, "IsActive_metric"], blank=False, with_pct=True),
+        r.metric_marks, METRIC_TEXTS, [ADMIN, "IsActive_metric"], blank=False, with_pct=True),
     "metric_activity": _metric_activity,
     "metric_activity_summary": lambda r: verdict_summary(_metric_activity(r), "IsActive_Match"),
 }
@@ -416,8 +465,8 @@ RESULTS: Results = {
     **DETAIL,
     **FINANCE,
     **METRIC,
-    **_cohorts("barrier", lambda r: r.barriers, "one_or_more_barrier"),
-    **_cohorts("impact", lambda r: r.impacts, "one_or_more_impact"),
+    **_cohorts("barrier", lambda r: r.barriers, _BARRIER),
+    **_cohorts("impact", lambda r: r.impacts, _IMPACT),
 }
 
 

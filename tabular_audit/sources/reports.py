@@ -19,8 +19,8 @@ def write_report(
 ) -> None:
     """Write a result, replacing an older one.
 
-    With ``order_by`` the files hold the rows in ascending order, null last.
-    Otherwise ``compact`` lets adaptive execution put a small report into one
+    With ``order_by``, meant for grouped reports, the files hold the rows in
+    ascending order, null last.  Otherwise ``compact`` lets adaptive execution put a small report into one
     file and cut a large one into many of even size, at the price of shuffling
     the result; ``compact=False`` writes it as it is partitioned.
     """

@@ -1,5 +1,7 @@
 """The whole review on a small hand-made portfolio."""
 
+import re
+
 import pytest
 
 from tabular_audit.plans import RESULTS, ROW_RESULTS, Portfolio, review
@@ -268,3 +270,23 @@ def test_job_from_csv_to_reports(spark, tmp_path):
     assert read("projects_by_lead") == [("SCE", 2), ("Someone", 2)]
     assert read("active_but_closed") == [(2, 5, 40.0)]
     assert read("budget_check_summary") == [(2, 1, 1, 50.0)]
+
+
+def scanned(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    columns = re.findall(r"FileScan parquet \[(.*?)\]", plan)
+    return {frozenset(c.split("#")[0] for c in scan.split(",")) for scan in columns}
+
+
+def test_kept_marks_spare_the_texts(results):
+    if not scanned(results["detail_blanks"]):
+        pytest.skip("nothing is kept")
+    assert scanned(results["barrier_by_start_year"]) == {
+        frozenset({"ProgramAdminName", "ProjectStartDate", "one_or_more_barrier"})}
+    assert scanned(results["with_impact"]) == {frozenset({"one_or_more_impact"})}
+    for name in ("detail_completeness", "detail_blanks", "metric_completeness", "metric_populated"):
+        (columns,) = scanned(results[name])
+        assert all(c.endswith("__filled") or c in KEYS for c in columns), columns
+
+
+KEYS = {"ProgramAdminName", "IsActive_details", "IsActive_metric", "ProjectStartDate"}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
 from .common import ship
+from .language_id import language_id
+from .mixing import MIX_SQL, mix
 from .packing import pack
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -29,11 +31,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fold(parts: int) -> Column:
+    """The fold of a document, by a checksum of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op1_language_id(spark, folder):
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    docs = table(spark, folder, "documents")
+    found = language_id(docs, train=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_letter")
+
+
 @query
 def op5_simhash_dedup(spark, folder):
     return simhash_components(table(spark, folder, "documents"), words=3, bits=3)
 
 
+@query
+def op7_mixing(spark, folder):
+    return mix(table(spark, folder, "documents")).drop("repetitions")
+
+
+ORACLES["op7_mixing"] = MIX_SQL
+
+
 @query
 def op8_packing(spark, folder):
     return pack(table(spark, folder, "documents"), VOCABULARY, window=1024)

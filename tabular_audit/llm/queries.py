@@ -13,6 +13,7 @@ from .language_id import language_id
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .pseudonyms import pseudonymize
+from .quality import quality_scores
 from .simhash import simhash_components
 from .token_counts import token_counts
 
@@ -55,6 +56,14 @@ def op3_pseudonyms(spark, folder):
     return pseudonymize(docs, KEY, count_col="n_replaced")
 
 
+@query
+def op4_quality(spark, folder):
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    scored = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels").where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op5_simhash_dedup(spark, folder):
     return simhash_components(table(spark, folder, "documents"), words=3, bits=3)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from .common import ship
+from .cover_search import TOP_K_SQL, exact_top_k
 from .language_id import language_id
 from .mixing import MIX_SQL, mix
 from .packing import pack
@@ -16,6 +17,7 @@ from .pseudonyms import pseudonymize
 from .quality import quality_scores
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .vantage_search import nearest_neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,11 @@ def op1_language_id(spark, folder):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_letter")
 
 
+@query
+def op2_nearest_neighbours(spark, folder):
+    return nearest_neighbours(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query
 def op3_pseudonyms(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -85,3 +92,11 @@ def op8_packing(spark, folder):
 @query
 def op9_token_counts(spark, folder):
     return token_counts(table(spark, folder, "documents"), VOCABULARY, limit=512)
+
+
+@query
+def op10_exact_top_k(spark, folder):
+    return exact_top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+ORACLES["op10_exact_top_k"] = TOP_K_SQL

@@ -189,6 +189,7 @@ def sample_texts(
 def language_id(
     docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "lang", documents: int = 120, letters: int = 24_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Language of every whole text: id, lang_pred, score (0 to 1), bits_per_letter.
 
@@ -197,7 +198,8 @@ def language_id(
     ``letters`` letters per label are used.  Both bounds are the same at every size.
     Texts that are null or hold no letter are ``und`` with score 0, and so is every text
     if there is nothing to learn from.  Ties go to the first label in order.  Rows stay as
-    they are, repeated or with null ids; other columns are not read.  No shuffle.
+    they are, repeated or with null ids; of the other columns only those in ``carry`` are
+    read, and returned.  No shuffle.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     if train is not None:
@@ -214,10 +216,13 @@ def language_id(
             else:
                 found, score, bits = own.predict(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.string()), pa.array(score), pa.array(bits)],
-                ["id", "lang_pred", "score", "bits_per_letter"])
-
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_letter double"
-                           ).withColumnRenamed("id", id_col)
+                [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(score), pa.array(bits)],
+                ["id", "carried", "lang_pred", "score", "bits_per_letter"])
+
+    read = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
+                       F.col(text_col).alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in read.schema}
+    found = read.mapInArrow(run, f"id {kinds['id']}, carried {kinds['carried']}, lang_pred string, "
+                                 "score double, bits_per_letter double")
+    return found.select(F.col("id").alias(id_col), "lang_pred", "score", "bits_per_letter",
+                        *(F.col("carried")[c].alias(c) for c in carry))

@@ -16,6 +16,7 @@ from .packing import pack
 from .pseudonyms import pseudonymize
 from .quality import quality_scores
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .vantage_search import nearest_neighbours
 
@@ -76,6 +77,11 @@ def op5_simhash_dedup(spark, folder):
     return simhash_components(table(spark, folder, "documents"), words=3, bits=3)
 
 
+@query
+def op6_suffix_dedup(spark, folder):
+    return remove_repeats(table(spark, folder, "documents"), length=200)
+
+
 @query
 def op7_mixing(spark, folder):
     return mix(table(spark, folder, "documents")).drop("repetitions")

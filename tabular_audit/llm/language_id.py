@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import text_slices
 
@@ -221,8 +221,8 @@ def language_id(
 
     read = docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
                        F.col(text_col).alias("text"))
-    kinds = {f.name: f.dataType.simpleString() for f in read.schema}
-    found = read.mapInArrow(run, f"id {kinds['id']}, carried {kinds['carried']}, lang_pred string, "
-                                 "score double, bits_per_letter double")
+    form = T.StructType([*read.schema.fields[:2], T.StructField("lang_pred", T.StringType()),
+                         T.StructField("score", T.DoubleType()), T.StructField("bits_per_letter", T.DoubleType())])
+    found = read.mapInArrow(run, form)
     return found.select(F.col("id").alias(id_col), "lang_pred", "score", "bits_per_letter",
                         *(F.col("carried")[c].alias(c) for c in carry))

@@ -81,7 +81,7 @@ def mix(
     read = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col(source_col).alias("source"), *carry)
+        F.col(source_col).alias("source"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     sizes = kept(read.select("id", "size", "source", (draw(seed, "id") % BUCKETS).alias("bucket")), "sizes")
     cells = kept(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "cells")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)),
@@ -112,7 +112,8 @@ def mix(
     return rows.join(
         plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("range"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("size") * F.col("repetitions")).alias("taken"), "repetitions", *carry)
+        (F.col("size") * F.col("repetitions")).alias("taken"), "repetitions",
+        *(F.col("carried")[c].alias(c) for c in carry))
 
 
 def _passes_sql() -> str:

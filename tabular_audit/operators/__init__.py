@@ -9,6 +9,7 @@ from .joins import (
     key_match_flags,
     left_join,
     membership_flag,
+    settled,
     unmatched,
 )
 from .keys import (
@@ -31,6 +32,6 @@ __all__ = [
     "duplicate_rows", "duration_weeks", "enrich", "families", "first_values",
     "flag_any_populated", "frequency_table", "group_sizes", "hot_keys", "key_match_flags",
     "left_join", "literal_rate_by", "mean_by", "membership_flag", "placeholder_to_null",
-    "predicate_rate", "predicate_rate_by", "pull", "reconcile", "rule_check", "share",
+    "predicate_rate", "predicate_rate_by", "pull", "reconcile", "rule_check", "settled", "share",
     "unmatched", "verdict_summary", "with_group_size", "within_budget", "zero_rate",
 ]

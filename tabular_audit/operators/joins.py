@@ -2,17 +2,20 @@
 
 Keys match null with null unless ``match_nulls=False``.  No side is broadcast
 on trust: Spark decides by measured size, and the only forced broadcast is the
-list of hot keys, which cannot exceed ``HOT_SHARE`` rows per joined table.
+list of hot keys, of which a joined table has fewer than shuffle partitions.
 
 Hot keys.  When one key of the base table is hot, adaptive execution splits its
-partition, as it may for every join used here.  When a key of a *joined* table
-is hot, a left join cannot be split.  ``enrich`` therefore takes hot keys out of
-both sides and joins them with an inner join, which can be split on both sides;
-a joined table that lacks one of these keys gets an empty row for it, so that
-the inner join keeps every base row.  The check costs one aggregation over the
-key columns of the joined table.  If it finds nothing, adaptive execution drops
-the second branch before it starts and plain left joins remain.  ``unique=True``
-skips the check for tables known to have one row per key.
+partition, provided that both sides of the join are plain shuffles.  So joins
+with an aggregate (semi, anti and left) compare column by column, null-safe:
+the aggregate then gets a shuffle of its own, one row per key, instead of
+sharing the one it was made with, which could not be split.  When a key of a
+*joined* table is hot, a left join cannot be split.  ``enrich`` therefore takes
+hot keys out of both sides and joins them with an inner join, which can be split
+on both sides; a joined table that lacks one of these keys gets an empty row for
+it, so that the inner join keeps every base row.  The check is one aggregation
+over the key columns of the joined tables, run when ``enrich`` is called; if it
+finds nothing, plain left joins are planned.  ``unique=True`` skips the check
+for tables known to have one row per key, and ``hot=`` hands in an earlier one.
 """
 
 from __future__ import annotations
@@ -27,14 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import indicator, quoted
 
-# A right key is hot when it holds more than one row in HOT_SHARE of the right
-# table and more than HOT_ROWS rows, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 10_000
-HOT_ROWS = 1_000_000
-
-# Keys that may be broadcast after they have been counted.
-BROADCAST_KEYS = 100_000
-
 _KEY = "__key"
 _MARK = "__mark"
 
@@ -55,25 +50,39 @@ def key_struct(cols: Iterable[str]) -> Column:
     return F.struct(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(cols)])
 
 
+def named_keys(cols: Iterable[str]) -> list[Column]:
+    """The key columns under names of their own, to join an aggregate on."""
+    return [F.col(quoted(c)).alias(f"{_KEY}{i}") for i, c in enumerate(cols)]
+
+
+def at_key(cols: Iterable[str]) -> Column:
+    """Null-safe match of the columns with ``named_keys``, one by one."""
+    return reduce(and_, [F.col(quoted(c)).eqNullSafe(F.col(f"{_KEY}{i}")) for i, c in enumerate(cols)])
+
+
 def distinct_keys(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """One row per key; copies collapse before the shuffle."""
-    return df.select(key_struct(cols).alias(_KEY)).distinct()
+    return df.select(*named_keys(cols)).distinct()
 
 
-def broadcast_if_few(keys: DataFrame) -> DataFrame:
-    """Run a job that counts the keys, and broadcast them if there are at most
-    ``BROADCAST_KEYS`` of them."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def partitions(df: DataFrame) -> int:
+    """The number of shuffle partitions of the session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(
-    df: DataFrame, cols: Iterable[str], share: int = HOT_SHARE, rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys holding more than ``rows`` rows and more than 1/share of the table;
-    there are always fewer than ``share`` of them."""
+def hot_keys(df: DataFrame, cols: Iterable[str], share: int | None = None) -> DataFrame:
+    """Keys holding more than 1/share of the table's rows; there are always fewer
+    than ``share`` of them.  By default that is the number of shuffle partitions,
+    so a key is hot when it has more rows than a partition has on average."""
     counts = df.groupBy(key_struct(cols).alias(_KEY)).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("n")).scalar()
-    return counts.where((F.col("n") > rows) & (F.col("n") * share > total)).select(_KEY)
+    return counts.where(F.col("n") * (share or partitions(df)) > total).select(_KEY)
+
+
+def settled(hot: DataFrame) -> DataFrame:
+    """Hot keys found now and held as a small local table, at most as many rows
+    as ``hot_keys`` can give, so that no plan that uses them repeats the search."""
+    return hot.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def _match(left_cols: Iterable[str], right_cols: Iterable[str], match_nulls: bool) -> Column:
@@ -89,7 +98,7 @@ class Tab:
     key names to the tab's key names, ``columns`` narrows the tab before the
     join, ``suffixes`` are for columns present on both sides, and ``unique``
     states that the tab has one row per key (the result is the same if it has
-    not).
+    not).  ``hot`` hands in the tab's hot keys, as ``settled`` gives them.
     """
 
     df: DataFrame
@@ -98,6 +107,7 @@ class Tab:
     renamed: Mapping[str, str] | None = None
     suffixes: tuple[str, str] = ("_left", "_right")
     unique: bool = False
+    hot: DataFrame | None = None
 
     def prepared(self) -> DataFrame:
         out = self.df.withColumnsRenamed(dict(self.renamed)) if self.renamed else self.df
@@ -115,21 +125,21 @@ class _Side:
     df: DataFrame
     keys: list[str]
     unique: bool
+    hot: DataFrame | None
 
 
 def enrich(
     base: DataFrame,
     *tabs: Tab,
     match_nulls: bool = True,
-    hot_share: int = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
+    hot_share: int | None = None,
 ) -> DataFrame:
     """Left-join tabs to a base table, keeping the base keys and dropping the
     tabs' keys.  A base row with several matches fans out.  Consecutive tabs on
     the same base keys share one split of hot keys and shuffle the base once."""
     out = base
     for keys, run in groupby(tabs, key=lambda tab: tuple(key_pairs(tab.on))):
-        out = _widen(out, list(keys), list(run), match_nulls, hot_share, hot_rows)
+        out = _widen(out, list(keys), list(run), match_nulls, hot_share)
     return out
 
 
@@ -146,7 +156,7 @@ def left_join(
 
 
 def _widen(
-    base: DataFrame, keys: list[str], tabs: list[Tab], match_nulls: bool, share: int, rows: int
+    base: DataFrame, keys: list[str], tabs: list[Tab], match_nulls: bool, share: int | None
 ) -> DataFrame:
     key_names = {k.lower() for k in keys}
     names = [(c, c) for c in base.columns]  # internal and final column names
@@ -161,7 +171,7 @@ def _widen(
         if not match_nulls:
             # Such rows match nothing, so they cannot make a key hot either.
             side = side.dropna("any", subset=side_keys)
-        sides.append(_Side(side, side_keys, tab.unique))
+        sides.append(_Side(side, side_keys, tab.unique, tab.hot))
         payload = [c for c in right.columns if c.lower() not in tab_keys]
         clash = {n.lower() for _, n in names} & {c.lower() for c in payload}
         left_suffix, right_suffix = tab.suffixes
@@ -177,11 +187,11 @@ def _widen(
         return joined.select(*out)
 
     checked = [s for s in sides if not s.unique]
-    if not checked:
+    found = [hot_keys(s.df, s.keys, share) if s.hot is None else s.hot for s in checked]
+    keys_found = reduce(DataFrame.union, found).distinct().collect() if found else []
+    if not keys_found:
         return chain(base, [(s, s.df, "left") for s in sides])
-
-    hot = reduce(DataFrame.union, [hot_keys(s.df, s.keys, share, rows) for s in checked])
-    hot = hot.distinct() if len(checked) > 1 else hot
+    hot = base.sparkSession.createDataFrame(keys_found, found[0].schema)
 
     def within_hot(df: DataFrame, cols: list[str], how: str) -> DataFrame:
         return df.join(F.broadcast(hot), key_struct(cols) == F.col(_KEY), how)
@@ -190,7 +200,7 @@ def _widen(
         present = within_hot(side.df, side.keys, "left_semi")
         if len(checked) == 1:
             return present
-        known = distinct_keys(present, side.keys).withColumnRenamed(_KEY, _MARK)
+        known = present.select(key_struct(side.keys).alias(_MARK)).distinct()
         absent = hot.join(known, F.col(_KEY) == F.col(_MARK), "left_anti")
         fields = [F.col(f"{_KEY}.k{i}").alias(k) for i, k in enumerate(side.keys)]
         return present.unionByName(absent.select(*fields), allowMissingColumns=True)
@@ -206,8 +216,8 @@ def membership(df: DataFrame, other: DataFrame, on: Keys, name: str) -> DataFram
     """Add a boolean column: does the key occur in the other table?"""
     keys = key_pairs(on)
     marked = distinct_keys(other, keys.values()).withColumn(_MARK, F.lit(True))
-    joined = df.join(marked, key_struct(keys) == F.col(_KEY), "left")
-    return joined.withColumn(name, F.col(_MARK).isNotNull()).drop(_KEY, _MARK)
+    joined = df.join(marked, at_key(keys), "left")
+    return joined.withColumn(name, F.col(_MARK).isNotNull()).select(*[quoted(c) for c in df.columns], quoted(name))
 
 
 def membership_flag(df: DataFrame, other: DataFrame, on: Keys, name: str) -> DataFrame:
@@ -228,34 +238,21 @@ def key_match_flags(
     if len(keys) == 1:
         (left,) = keys
         return membership(df, other, keys, f"{left}_match")
-    parts = {f"{_KEY}{i}": pair for i, pair in enumerate(keys.items())}
-    flags = distinct_keys(df, keys).select(
-        *[F.col(f"{_KEY}.k{i}").alias(part) for i, part in enumerate(parts)]
-    )
+    parts = {f"__part{i}": pair for i, pair in enumerate(keys.items())}
+    flags = distinct_keys(df, keys).toDF(*parts)
+    # The whole key first: else the last join could leave the flags dealt by it, and the
+    # join below would have no plain shuffle of its own to split against.
+    flags = membership(flags, other, {part: right for part, (_, right) in parts.items()}, whole)
     for part, (left, right) in parts.items():
         flags = membership(flags, other, {part: right}, f"{left}_match")
-    flags = membership(flags, other, {part: right for part, (_, right) in parts.items()}, whole)
+    flags = flags.select(*parts, *[quoted(f"{left}_match") for left in keys], quoted(whole))
     on_parts = {left: part for part, (left, _) in parts.items()}
     return left_join(df, flags, on_parts, unique=True)
 
 
-def unmatched(
-    df: DataFrame, other: DataFrame, on: Keys, flag: str | None = None, count_first: bool = False
-) -> DataFrame:
+def unmatched(df: DataFrame, other: DataFrame, on: Keys, flag: str | None = None) -> DataFrame:
     """Rows whose key does not occur in the other table; ``flag`` adds a column
-    that is always true.
-
-    ``count_first`` works out the missing keys on the distinct keys of both
-    tables and runs a job that counts them.  If they are few they are broadcast,
-    and the full rows need not be shuffled.
-    """
+    that is always true."""
     keys = key_pairs(on)
-    at_key = key_struct(keys) == F.col(_KEY)
-    known = distinct_keys(other, keys.values())
-    if count_first:
-        known = known.withColumnRenamed(_KEY, _MARK)
-        missing = distinct_keys(df, keys).join(known, F.col(_KEY) == F.col(_MARK), "left_anti")
-        rows = df.join(broadcast_if_few(missing), at_key, "left_semi")
-    else:
-        rows = df.join(known, at_key, "left_anti")
+    rows = df.join(distinct_keys(other, keys.values()), at_key(keys), "left_anti")
     return rows.withColumn(flag, F.lit(True)) if flag else rows

@@ -1,8 +1,9 @@
 """Duplicate keys, group sizes and distinct counts.
 
 Group sizes come from an aggregation joined back rather than from a window: the
-aggregation combines copies before the shuffle and the join can be split, while
-a window would hold a whole group in one task.
+aggregation combines copies before the shuffle, and the join compares null-safe
+column by column, so that it can be split (see ``joins``), while a window would
+hold a whole group in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cut_at, quoted
 from ..functions.fixed_values import PHASE_MARKERS
-from .joins import _KEY, broadcast_if_few, key_struct
+from .joins import at_key, named_keys
 
 # Distinct counts of several columns in one aggregate expand every row once per
 # column; above this many columns the work is split into several aggregates.
@@ -31,23 +32,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "nrows") -> D
     return group_sizes(df, keys, name).where(F.col(quoted(name)) > 1)
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str], count_first: bool = False) -> DataFrame:
-    """All rows whose key is held by more than one row.
-
-    ``count_first`` runs a job that counts the repeated keys.  If they are few
-    they are broadcast, and the full rows need not be shuffled.
-    """
-    repeated = df.groupBy(key_struct(keys).alias(_KEY)).agg(F.count("*").alias("n"))
-    repeated = repeated.where("n > 1").select(_KEY)
-    if count_first:
-        repeated = broadcast_if_few(repeated)
-    return df.join(repeated, key_struct(keys) == F.col(_KEY), "left_semi")
+def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows whose key is held by more than one row."""
+    repeated = df.groupBy(*named_keys(keys)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return df.join(repeated, at_key(keys), "left_semi")
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "total") -> DataFrame:
     """Attach the number of rows of its group to each row."""
-    sizes = df.groupBy(key_struct(keys).alias(_KEY)).agg(F.count("*").alias(name))
-    return df.join(sizes, key_struct(keys) == F.col(_KEY), "left").drop(_KEY)
+    sizes = df.groupBy(*named_keys(keys)).agg(F.count("*").alias(name))
+    joined = df.join(sizes, at_key(keys), "left")
+    return joined.select(*[quoted(c) for c in df.columns], quoted(name))
 
 
 def distinct_counts(
@@ -86,7 +81,6 @@ def families(
         .agg(F.count("*").alias("n"))
     )
     shared = (
-        pairs.groupBy(F.col(quoted(base_col)).alias(_KEY))
-        .agg(F.sum("n").alias("n")).where("n > 1").select(_KEY)
+        pairs.groupBy(*named_keys([base_col])).agg(F.sum("n").alias("n")).where("n > 1").drop("n")
     )
-    return pairs.join(shared, F.col(quoted(base_col)) == F.col(_KEY), "left_semi").drop("n")
+    return pairs.join(shared, at_key([base_col]), "left_semi").drop("n")

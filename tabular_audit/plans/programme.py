@@ -1,8 +1,9 @@
 """The whole review as named result tables.
 
 ``RESULTS`` maps result names to functions of a ``Review``, which holds the
-input tables and widens them on first use.  Nothing runs until a result is
-written or shown.  Results that differ only in the measured column or in the
+input tables and widens them on first use.  Building results that join tabs runs
+a search for hot keys; with ``keep`` the shared tables are written then.  All
+else runs when a result is written or shown.  Results that differ only in the measured column or in the
 grouping level come from one aggregate, so the widened tables are read a few
 times rather than once per field.
 """
@@ -46,6 +47,7 @@ from ..operators import (
     first_values,
     frequency_table,
     group_sizes,
+    hot_keys,
     key_match_flags,
     literal_rate_by,
     mean_by,
@@ -56,6 +58,7 @@ from ..operators import (
     pull,
     reconcile,
     rule_check,
+    settled,
     share,
     unmatched,
     verdict_summary,
@@ -112,37 +115,39 @@ def wide_report(p: Portfolio) -> DataFrame:
     in a tab fans out."""
     key = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
     code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
+    # The flag depends on the number alone, so it is set before tabs multiply the rows.
+    flagged = membership_flag(
+        distinct_without(p.projects, *COORDINATES), p.market_facilitation,
+        {"ProjectNo": "Agreement Number"}, flag,
+    )
     tabs = enrich(
-        distinct_without(p.projects, *COORDINATES),
+        flagged,
         Tab(p.projects_detail, key, renamed={"IsActive": "IsActive_detail"}),
         Tab(p.projects_metric, key, renamed={"IsActive": "IsActive_metric"}),
         Tab(p.finance_detail, key, renamed={"ContractAmount": "ContractAmount_finance"}),
         Tab(p.project_type, {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"}, columns=(code,)),
     )
-    flagged = membership_flag(
-        tabs, p.market_facilitation, {"ProjectNo": "Agreement Number"}, flag
-    )
-    rest = [c for c in tabs.columns if c != code]
-    return flagged.select(*rest, flag, label_codes(code).alias(code))
+    rest = [c for c in tabs.columns if c not in (code, flag)]
+    return tabs.select(*rest, flag, label_codes(code).alias(code))
 
 
-def detail_view(detail: DataFrame, ov: DataFrame) -> DataFrame:
+def detail_view(detail: DataFrame, ov: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Detail tab with name, administrator, activity and dates of its project."""
     return enrich(detail, Tab(
         ov, _BY_PROJECT,
         columns=("ProjectName", ADMIN, "IsActive", START, END),
-        suffixes=("_details", "_overview"),
+        suffixes=("_details", "_overview"), hot=hot,
     ))
 
 
-def finance_view(finance: DataFrame, ov: DataFrame) -> DataFrame:
+def finance_view(finance: DataFrame, ov: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Finance tab with all columns of its project."""
-    return enrich(finance, Tab(ov, _BY_PROJECT, suffixes=("_details", "_overview")))
+    return enrich(finance, Tab(ov, _BY_PROJECT, suffixes=("_details", "_overview"), hot=hot))
 
 
-def metric_view(metric: DataFrame, ov: DataFrame) -> DataFrame:
+def metric_view(metric: DataFrame, ov: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Metric tab with all columns of its project."""
-    return enrich(metric, Tab(ov, _BY_PROJECT, suffixes=("_metric", "_overview")))
+    return enrich(metric, Tab(ov, _BY_PROJECT, suffixes=("_metric", "_overview"), hot=hot))
 
 
 _FILLED = "__filled"
@@ -199,9 +204,14 @@ class Review:
     def ov(self) -> DataFrame:
         return self._kept(overview(self.p), "overview")
 
+    @cached_property
+    def _hot(self) -> DataFrame:
+        """Hot keys of the overview, looked for once for all tabs."""
+        return settled(hot_keys(self.ov, _BY_PROJECT.values()))
+
     @cached_property
     def _detail_table(self) -> DataFrame:
-        view = detail_view(self.p.projects_detail, self.ov)
+        view = detail_view(self.p.projects_detail, self.ov, self._hot)
         return self._kept(with_marks(view, DETAIL_TEXTS, _BARRIER, BARRIERS), "detail")
 
     @cached_property
@@ -218,11 +228,11 @@ class Review:
 
     @cached_property
     def finance(self) -> DataFrame:
-        return self._kept(finance_view(self.p.finance_detail, self.ov), "finance")
+        return self._kept(finance_view(self.p.finance_detail, self.ov, self._hot), "finance")
 
     @cached_property
     def _metric_table(self) -> DataFrame:
-        view = metric_view(self.p.projects_metric, self.ov)
+        view = metric_view(self.p.projects_metric, self.ov, self._hot)
         return self._kept(with_marks(view, METRIC_TEXTS, _IMPACT, IMPACTS), "metric")
 
     @cached_property
@@ -345,7 +355,7 @@ DETAIL: Results = {
     "detail_distinct": lambda r: distinct_counts(
         r.p.projects_detail, [*_PROJECT_KEY, "ProjectDetailId"], count_null=True),
     "missing_from_detail": lambda r: unmatched(
-        r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch", count_first=r.keep),
+        r.ov, r.p.projects_detail, {"Id": "ProjectId"}, "nomatch"),
     "detail_completeness": lambda r: completeness_levels(
         r.detail_marks, DETAIL_TEXTS, [(), (ADMIN,)]),
     "solicitation_word_by_admin": lambda r: literal_rate_by(
@@ -428,7 +438,7 @@ METRIC: Results = {
     "metric_distinct": lambda r: distinct_counts(
         r.p.projects_metric, _PROJECT_KEY, count_null=True),
     "missing_from_metric": lambda r: unmatched(
-        r.ov, r.p.projects_metric, {"Id": "ProjectId"}, "nomatch", count_first=r.keep),
+        r.ov, r.p.projects_metric, {"Id": "ProjectId"}, "nomatch"),
     "all_impacts": lambda r: pull(r.metric, all_populated(*IMPACTS)),
     "metric_completeness": _metric_completeness,
     "metric_populated": lambda r: breakdown(
@@ -460,7 +470,7 @@ def _cohorts(name: str, table: Callable[[Review], DataFrame], flag: str) -> Resu
 RESULTS: Results = {
     "wide_report": lambda r: r.wide,
     "wide_report_duplicates": lambda r: duplicate_rows(
-        r.wide, ["Id", "ProjectNo"], count_first=r.keep),
+        r.wide, ["Id", "ProjectNo"]),
     **OVERVIEW,
     **DETAIL,
     **FINANCE,

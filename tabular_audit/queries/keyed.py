@@ -81,7 +81,7 @@ def join_with_hot_keys(spark, d):
     parts = table(spark, d, "part")
     kinds = parts.groupBy(brand, "p_type").agg(F.count("*").alias("n"))
     # Every brand with six kinds counts as hot here, the others do not.
-    return left_join(parts.select("p_partkey", brand), kinds, "brand", hot_rows=5)
+    return left_join(parts.select("p_partkey", brand), kinds, "brand", hot_share=100)
 
 
 @query("""
@@ -127,7 +127,7 @@ def tabs_with_hot_keys(spark, d):
     ).agg(F.count("*").alias("orders"))
     base = orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
     # Hot in one table, in both, or in one and absent from the other.
-    return enrich(base, Tab(lines, "status"), Tab(kinds, "status"), hot_rows=2)
+    return enrich(base, Tab(lines, "status"), Tab(kinds, "status"), hot_share=100)
 
 
 # ---------------------------------------------------------------- key checks

@@ -77,7 +77,6 @@ def test_duplicates_by_two_routes(lines):
     keys = ["l_orderkey", "l_linenumber"]
     n = duplicate_keys(lines, keys).agg(F.sum("nrows")).first()[0]
     assert duplicate_rows(lines, keys).count() == n
-    assert duplicate_rows(lines, keys, count_first=True).count() == n
     assert with_group_size(lines, keys).where("total > 1").count() == n
 
 

@@ -3,7 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabular_audit.operators import Tab, enrich, hot_keys, left_join, membership_flag
+from tabular_audit.operators import (
+    Tab,
+    duplicate_rows,
+    enrich,
+    families,
+    hot_keys,
+    key_match_flags,
+    left_join,
+    membership_flag,
+    unmatched,
+    with_group_size,
+)
 
 LINEITEM = "/root/testdata/sf0.01/lineitem.parquet"
 SMALL = {
@@ -11,6 +22,7 @@ SMALL = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k",
+    "spark.sql.files.openCostInBytes": "64m",  # a task per file
 }
 
 
@@ -24,12 +36,15 @@ def small_partitions(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.fixture()
-def crowded(spark):
-    """Order lines of which a third carries one key, spread over several files' worth of tasks."""
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Order lines of which a third carries one key, in several files: what one task
+    writes cannot be split."""
     key = F.when(F.col("l_returnflag") == "A", F.lit(-1)).otherwise(F.col("l_orderkey"))
-    return (spark.read.parquet(LINEITEM).withColumn("k", key)
-            .select("k", "l_orderkey", "l_linenumber", "l_extendedprice").repartition(8))
+    path = str(tmp_path_factory.mktemp("skew") / "crowded")
+    (spark.read.parquet(LINEITEM).withColumn("k", key)
+     .select("k", "l_orderkey", "l_linenumber", "l_extendedprice").repartition(8).write.parquet(path))
+    return spark.read.parquet(path)
 
 
 def executed_plan(df):
@@ -56,7 +71,7 @@ def test_hot_key_of_the_joined_table_is_split(spark, small_partitions, crowded):
     keys = crowded.select("k").distinct().withColumn("name", F.col("k").cast("string"))
     keys = keys.union(spark.createDataFrame([(-2, "none"), (None, "null")], keys.schema))
     plain = left_join(keys, crowded, "k", unique=True)
-    split = left_join(keys, crowded, "k", hot_rows=1000)
+    split = left_join(keys, crowded, "k")
     assert "skew=true" not in executed_plan(plain)
     assert "skew=true" in executed_plan(split)
     assert checksum(split) == checksum(plain)
@@ -70,9 +85,9 @@ def test_second_branch_vanishes_without_hot_keys(spark, small_partitions, crowde
 
 
 def test_hot_keys_are_few(spark, crowded):
-    hot = hot_keys(crowded, ["k"], share=100, rows=1000)
+    hot = hot_keys(crowded, ["k"], share=100)
     assert [r[0][0] for r in hot.collect()] == [-1]
-    many = hot_keys(crowded, ["l_linenumber"], share=3, rows=0)
+    many = hot_keys(crowded, ["l_linenumber"], share=3)
     assert many.count() < 3
 
 
@@ -80,13 +95,41 @@ def test_tabs_split_together_stay_exact(spark, small_partitions, crowded):
     base = crowded.groupBy("k").agg(F.count("*").alias("n"))
     other = crowded.where("k <> -1").select("k", F.col("l_linenumber").alias("other"))
     tabs = [Tab(crowded.drop("l_orderkey"), "k"), Tab(other, "k")]
-    split = enrich(base, *tabs, hot_rows=1000)
+    split = enrich(base, *tabs)
+    assert "skew=true" in executed_plan(split)
     plain = enrich(base, *[Tab(t.df, t.on, unique=True) for t in tabs])
     assert checksum(split) == checksum(plain)
 
 
+LATE = "l_linenumber > 6"
+
+
+@pytest.mark.parametrize("build", [
+    lambda rows: membership_flag(rows, rows.where(LATE), "k", "late"),
+    lambda rows: key_match_flags(rows, rows.where(LATE), "k"),
+    lambda rows: key_match_flags(rows.withColumn("odd", F.col("k") % 2),
+                                 rows.withColumn("odd", F.col("k") % 2).where(LATE), ["k", "odd"]),
+    lambda rows: unmatched(rows, rows.where("k <> -1"), "k"),
+    lambda rows: duplicate_rows(rows, ["k"]),
+    lambda rows: with_group_size(rows, ["k"]),
+], ids=["membership", "one_key_flag", "key_flags", "unmatched", "duplicates", "group_size"])
+def test_hot_left_key_is_split(small_partitions, crowded, build):
+    assert "skew=true" in executed_plan(build(crowded))
+
+
+def test_hot_base_id_is_split(spark, small_partitions, crowded):
+    """A third of the ids share one base."""
+    ids = crowded.select(F.concat_ws(" Module ", F.concat(F.lit("P"), "k"),
+                                     F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber"))).alias("id"))
+    out = families(ids, "id")
+    assert "skew=true" in executed_plan(out)
+    base = F.substring_index("id", " Module ", 1).alias("b")
+    shared = ids.groupBy(base).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    assert out.count() == shared.where("n > 1").agg(F.sum("ids")).first()[0]
+
+
 def test_hot_key_in_membership(spark, small_partitions, crowded):
-    flagged = membership_flag(crowded, crowded.where("l_linenumber > 6"), "k", "late")
-    late = {r[0] for r in crowded.where("l_linenumber > 6").select("k").distinct().collect()}
+    flagged = membership_flag(crowded, crowded.where(LATE), "k", "late")
+    late = {r[0] for r in crowded.where(LATE).select("k").distinct().collect()}
     per_key = flagged.groupBy("k").agg(F.min("late"), F.max("late")).collect()
     assert all(low == high == int(k in late) for k, low, high in per_key)

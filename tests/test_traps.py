@@ -75,8 +75,7 @@ KEY = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
 
 # ---------------------------------------------------------------- joins
 
-@pytest.mark.parametrize("options", [{}, {"unique": True}, {"hot_rows": 0, "hot_share": 10},
-                                     {"hot_rows": 1, "hot_share": 3}])
+@pytest.mark.parametrize("options", [{}, {"unique": True}, {"hot_share": 10}, {"hot_share": 3}])
 def test_left_join_matches_null_keys_and_names_clashes(left, right, options):
     out = left_join(left, right, KEY, suffixes=("_l", "_r"), **options)
     assert out.columns == ["Id", "ProjectNo", "IsActive_l", "IsActive_r", "Amount"]
@@ -85,7 +84,7 @@ def test_left_join_matches_null_keys_and_names_clashes(left, right, options):
         (3, "c", True, None, None), (None, None, None, None, None)]
 
 
-@pytest.mark.parametrize("options", [{}, {"unique": True}, {"hot_rows": 0, "hot_share": 10}])
+@pytest.mark.parametrize("options", [{}, {"unique": True}, {"hot_share": 10}])
 def test_left_join_without_null_matches(left, right, options):
     out = left_join(left, right, KEY, match_nulls=False, **options).select("Id", "Amount")
     assert rows(out) == [(1, 1.0), (2, None), (3, None), (None, None)]
@@ -94,11 +93,11 @@ def test_left_join_without_null_matches(left, right, options):
 def test_join_of_null_with_null_multiplies(spark):
     nothing = spark.createDataFrame([(None, 1), (None, 2)], "k string, v int")
     assert left_join(nothing, nothing, "k").count() == 4
-    assert left_join(nothing, nothing, "k", hot_rows=1).count() == 4
+    assert left_join(nothing, nothing, "k", hot_share=1).count() == 4
 
 
-@pytest.mark.parametrize("rows_limit", [0, 1, 10])
-def test_tabs_on_the_same_key(spark, left, right, rows_limit):
+@pytest.mark.parametrize("hot_share", [1000, 3, 1, None])
+def test_tabs_on_the_same_key(spark, left, right, hot_share):
     other = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (3, "c", "z")],
                                   "pid long, no string, word string")
     third = spark.createDataFrame([(3, "c", 7)], "pid long, no string, code int")
@@ -107,7 +106,7 @@ def test_tabs_on_the_same_key(spark, left, right, rows_limit):
         Tab(right, KEY, renamed={"IsActive": "IsActive_detail"}),
         Tab(other, {"Id": "pid", "ProjectNo": "no"}),
         Tab(third, {"Id": "pid", "ProjectNo": "no"}, columns=("code",), unique=True),
-        hot_rows=rows_limit,
+        hot_share=hot_share,
     )
     assert out.columns == ["Id", "ProjectNo", "IsActive", "IsActive_detail", "Amount", "word", "code"]
     assert rows(out) == [
@@ -126,15 +125,12 @@ def test_odd_column_names(spark, left):
     assert rows(out.select("Id", "`in.market`")) == [(1, 1), (2, 1), (3, 0), (None, 1)]
 
 
-@pytest.mark.parametrize("first", [False, True])
-@pytest.mark.parametrize("limit", [0, 100])
-def test_unmatched_is_null_safe_and_complete(left, right, first, limit, monkeypatch):
-    monkeypatch.setattr("tabular_audit.operators.joins.BROADCAST_KEYS", limit)
-    out = unmatched(left, right, KEY, flag="nomatch", count_first=first)
+def test_unmatched_is_null_safe_and_complete(left, right):
+    out = unmatched(left, right, KEY, flag="nomatch")
     assert rows(out.select("Id", "nomatch")) == [(3, True), (None, True)]
     matched = left.count() - out.count()
     assert matched == 2
-    assert unmatched(left, right.limit(0), KEY, count_first=first).count() == left.count()
+    assert unmatched(left, right.limit(0), KEY).count() == left.count()
 
 
 def test_key_match_flags(left, right):

@@ -469,8 +469,7 @@ def _cohorts(name: str, table: Callable[[Review], DataFrame], flag: str) -> Resu
 
 RESULTS: Results = {
     "wide_report": lambda r: r.wide,
-    "wide_report_duplicates": lambda r: duplicate_rows(
-        r.wide, ["Id", "ProjectNo"]),
+    "wide_report_duplicates": lambda r: duplicate_rows(r.wide, ["Id", "ProjectNo"]),
     **OVERVIEW,
     **DETAIL,
     **FINANCE,

@@ -84,12 +84,14 @@ class SuffixAutomaton:
                         moves[at][symbol] = copy
                         at = link[at]
             last = new
-        # An unmatched symbol ends the phrase and starts the next; one the sample
-        # lacks is a phrase of its own.
-        start = np.ones(alphabet, np.int32)
+        # An unmatched symbol ends the phrase and starts the next.  One that the sample lacks
+        # is a phrase of its own: it leads to a last state, from which all symbols do so.
+        lone = len(moves)
+        start = np.full(alphabet, lone << 1 | 1, np.int32)
         for symbol, target in moves[0].items():
             start[symbol] = target << 1 | 1
-        self.table = np.tile(start, (len(moves), 1))
+        self.table = np.tile(start, (lone + 1, 1))
+        self.table[0] &= ~1  # nothing ends before the first symbol
         for state, own in enumerate(moves):
             for symbol, target in own.items():
                 self.table[state, symbol] = target << 1

@@ -82,7 +82,7 @@ def search(queries, query_ids, floors, data, ids, largest, k: int, relax: float)
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, k: int = 20, relax: float = 0.35,
+    vectors: DataFrame, is_query: Column, k: int = 20, relax: float = 0.9,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` nearest found of every query, by inner product in double precision:

@@ -12,7 +12,8 @@ from tabular_audit.llm.vantage_search import nearest_neighbours, search
 
 from .conftest import SF
 
-TWENTIETH = F.col("id") % 20 == 0
+def twentieth():
+    return F.col("id") % 20 == 0
 
 
 def brute(ids, vectors, k):
@@ -37,7 +38,7 @@ def test_exact_top_k_equals_sql(spark):
     with duckdb.connect() as db:
         db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
         want = sorted(db.sql(TOP_K_SQL).fetchall())
-    got = exact_top_k(spark.read.parquet(f"{SF}/embeddings.parquet"), TWENTIETH)
+    got = exact_top_k(spark.read.parquet(f"{SF}/embeddings.parquet"), twentieth())
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == want
 
 
@@ -72,12 +73,12 @@ def clustered(spark):
 def test_exact_top_k_over_several_shards(clustered):
     ids, data, frame = clustered
     want = brute(ids, np.floor(64 * data), 20)
-    assert collected(exact_top_k(frame, TWENTIETH)) == want
+    assert collected(exact_top_k(frame, twentieth())) == want
 
 
 def test_recall_over_several_shards(clustered):
     ids, data, frame = clustered
-    want, got = brute(ids, data, 20), collected(nearest_neighbours(frame, TWENTIETH))
+    want, got = brute(ids, data, 20), collected(nearest_neighbours(frame, twentieth()))
     # Ties of the repeated vector make any of its rows as good: scores are compared.
     found = sum(min(len(got[q]), 20) and sum(a >= b - 1e-9 for (_, a), (_, b) in zip(got[q], want[q])) for q in want)
     assert found >= 0.95 * 20 * len(want)
@@ -88,9 +89,9 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]),
             (7, [1.0, 2.0, 3.0]), (20, [0.5, 0.5]), (21, [0.5, 0.5]), (21, [0.5, 0.5]), (None, [1.0, 1.0]), (40, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit(2))
-    got = collected(nearest_neighbours(frame, TWENTIETH))
+    got = collected(nearest_neighbours(frame, twentieth()))
     assert got == {0: [(20, 0.75), (21, 0.75), (21, 0.75)], 20: [(0, 0.75), (21, 0.5), (21, 0.5)]}
-    exact = collected(exact_top_k(frame, TWENTIETH))
+    exact = collected(exact_top_k(frame, twentieth()))
     assert exact == {0: [(20, 3072), (21, 3072), (21, 3072), (3, 0)], 20: [(0, 3072), (21, 2048), (21, 2048), (3, 0)]}
-    assert nearest_neighbours(frame.limit(0), TWENTIETH).count() == 0
-    assert exact_top_k(frame.where("vec_id = 3"), TWENTIETH).count() == 0
+    assert nearest_neighbours(frame.limit(0), twentieth()).count() == 0
+    assert exact_top_k(frame.where("vec_id = 3"), twentieth()).count() == 0

@@ -11,7 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import duplicate_rows
 from ..plans import Review
 from ..plans.programme import ADMIN
 from ..sources.schemas import (
@@ -52,8 +51,12 @@ projects AS (
     nullif(o_orderpriority, '4-NOT SPECIFIED') AS CecMgrEmail
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN ends ON l_orderkey = o_orderkey)"""
 
+#: Projects with the lead's short name, as all results but the wide report have it.
+OVERVIEW = """overview AS (SELECT * REPLACE (CASE ProjectLead
+  WHEN 'Southern California Edison' THEN 'SCE' ELSE ProjectLead END AS ProjectLead) FROM projects)"""
+
 DETAIL = """detail AS (
-  SELECT d.doc_id AS ProjectId, d.doc_id AS ProjectDetailId, p.ProjectNo,
+  SELECT d.doc_id - d.doc_id % 2 AS ProjectId, d.doc_id AS ProjectDetailId, p.ProjectNo,
     CASE WHEN lang <> 'de' THEN lang = 'en' END AS IsActive,
     CASE WHEN source IN ('src0', 'src1') THEN 'Competitive' WHEN lang = 'en' THEN text END
       AS DetailedProjectDescription,
@@ -67,7 +70,7 @@ DETAIL = """detail AS (
       WHEN 'src5' THEN text END AS PolicyAndRegulatoryBarriers,
     CASE WHEN toxic IS NULL THEN lang END AS GettingToScale,
     lang AS KeyInnovations, nullif(lang, 'en') AS KeyLeanings, nullif(lang, 'es') AS Scalability
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN projects p ON p.Id = d.doc_id),
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN projects p ON p.Id = d.doc_id - d.doc_id % 2),
 detail_view AS (
   SELECT d.*, p.ProjectName, p.ProgramAdminName, p.IsActive AS IsActive_overview,
          d.IsActive AS IsActive_details, p.ProjectStartDate, p.ProjectEndDate
@@ -94,11 +97,12 @@ METRIC = """metric AS (
   SELECT conv_id AS ProjectId, ProjectNo, CASE WHEN role <> 'system' THEN turn < 3 END AS IsActive,
     CASE WHEN role = 'user' THEN text END AS ElectricitySystemReliabilityImpacts,
     CASE turn WHEN 1 THEN 'n/a' WHEN 2 THEN text END AS ElectricitySystemSafetyImpacts,
-    CASE role WHEN 'system' THEN 'TBD.' WHEN 'assistant' THEN 'NA' END AS EnviromentalImpactsNonGHG,
+    CASE role WHEN 'system' THEN 'TBD.' WHEN 'assistant' THEN 'NA'
+      ELSE CASE WHEN turn = 2 THEN text END END AS EnviromentalImpactsNonGHG,
     text AS ProjectedProjectBenefits,
     CASE WHEN turn > 1 THEN role END AS RatePayersBenefits,
     nullif(role, 'user') AS CommunityBenefitsDesc,
-    CASE WHEN turn = 3 THEN text WHEN turn > 3 THEN 'TBD' END AS EnergyImpacts,
+    CASE WHEN turn = 2 THEN role WHEN turn = 3 THEN text WHEN turn > 3 THEN 'TBD' END AS EnergyImpacts,
     CASE WHEN turn = 0 THEN text END AS InfrastructureCostBenefits,
     CASE WHEN role = 'user' THEN 'none' END AS OtherImpacts,
     nullif(role, 'assistant') AS InformationDissemination
@@ -163,7 +167,7 @@ class Derived:
             .join(self._table("customer"), col("o_custkey") == col("c_custkey"), "left")
             .join(ends, col("l_orderkey") == col("o_orderkey"), "left")
         )
-        return base.select(
+        rows = base.select(
             col("o_orderkey").alias("Id"),
             self._number,
             col("c_name").alias("ProjectName"),
@@ -187,6 +191,9 @@ class Derived:
             col("c_acctbal").alias("LongitudeX"),
             col("o_totalprice").alias("LatitudeY"),
         )
+        # Some projects have a second row that differs in the coordinates alone.
+        second = rows.where("Id % 8 = 0").withColumn("LongitudeX", col("LongitudeX") + 1)
+        return rows.unionByName(second)
 
     @cached_property
     def projects_detail(self) -> DataFrame:
@@ -196,10 +203,11 @@ class Derived:
         rows = (
             self._table("documents")
             .join(self._table("labels"), "doc_id", "left")
-            .join(self._numbers, col("doc_id") == col("Id"), "left")
+            .withColumn("project", col("doc_id") - col("doc_id") % 2)
+            .join(self._numbers, col("project") == col("Id"), "left")
         )
         return rows.select(
-            col("doc_id").alias("ProjectId"),
+            col("project").alias("ProjectId"),
             col("doc_id").alias("ProjectDetailId"),
             "ProjectNo",
             _unless(lang == "de", lang == "en").alias("IsActive"),
@@ -247,12 +255,12 @@ class Derived:
             _unless(role == "system", turn < 3).alias("IsActive"),
             F.when(role == "user", text).alias("ElectricitySystemReliabilityImpacts"),
             F.when(turn == 1, "n/a").when(turn == 2, text).alias("ElectricitySystemSafetyImpacts"),
-            F.when(role == "system", "TBD.").when(role == "assistant", "NA")
+            F.when(role == "system", "TBD.").when(role == "assistant", "NA").when(turn == 2, text)
             .alias("EnviromentalImpactsNonGHG"),
             text.alias("ProjectedProjectBenefits"),
             F.when(turn > 1, role).alias("RatePayersBenefits"),
             F.nullif(role, F.lit("user")).alias("CommunityBenefitsDesc"),
-            F.when(turn == 3, text).when(turn > 3, "TBD").alias("EnergyImpacts"),
+            F.when(turn == 2, role).when(turn == 3, text).when(turn > 3, "TBD").alias("EnergyImpacts"),
             F.when(turn == 0, text).alias("InfrastructureCostBenefits"),
             F.when(role == "user", "none").alias("OtherImpacts"),
             F.nullif(role, F.lit("assistant")).alias("InformationDissemination"),
@@ -274,16 +282,17 @@ class Derived:
         )
 
 
-def result(spark: SparkSession, d: str, name: str) -> DataFrame:
+def result(spark: SparkSession, d: str, name: str, keep: bool = False) -> DataFrame:
     """One result of the review of the derived portfolio."""
-    return Review(Derived(spark, d)).result(name)
+    return Review(Derived(spark, d), keep).result(name)
 
 
 # ---------------------------------------------------------------- wide report
 
-WIDE = _with(DETAIL, FINANCE, METRIC, MARKET, TYPES) + """SELECT p.Id, p.ProjectNo,
-  p.ProgramAdminName, p.IsActive, d.IsActive AS IsActive_detail, m.IsActive AS IsActive_metric,
-  p.ContractAmount, f.ContractAmount AS ContractAmount_finance,
+WIDE = _with(DETAIL, FINANCE, METRIC, MARKET, TYPES) + """SELECT p.*,
+  d.* EXCLUDE (ProjectId, ProjectNo, IsActive), d.IsActive AS IsActive_detail,
+  m.* EXCLUDE (ProjectId, ProjectNo, IsActive), m.IsActive AS IsActive_metric,
+  f.* EXCLUDE (ProjectId, ProjectNo, ContractAmount), f.ContractAmount AS ContractAmount_finance,
   CASE WHEN EXISTS (SELECT 1 FROM market WHERE agreement IS NOT DISTINCT FROM p.ProjectNo)
     THEN 1 ELSE 0 END AS market_facilitation_indicator,
   CASE t.code WHEN 1 THEN 'Applied Research and Development'
@@ -294,20 +303,17 @@ LEFT JOIN detail d ON d.ProjectId = p.Id AND d.ProjectNo IS NOT DISTINCT FROM p.
 LEFT JOIN metric m ON m.ProjectId = p.Id AND m.ProjectNo IS NOT DISTINCT FROM p.ProjectNo
 LEFT JOIN finance f ON f.ProjectId = p.Id AND f.ProjectNo IS NOT DISTINCT FROM p.ProjectNo
 LEFT JOIN types t ON t.PROJECT_ID = p.Id AND t.PROJECT_NUMBER IS NOT DISTINCT FROM p.ProjectNo"""
-_WIDE_COLUMNS = [
-    "Id", "ProjectNo", ADMIN, "IsActive", "IsActive_detail", "IsActive_metric", "ContractAmount",
-    "ContractAmount_finance", "market_facilitation_indicator", "PROJECT_TYPE_PROJECT_TYPE_ID",
-]
+WIDE_DUPLICATES = f"SELECT * FROM ({WIDE}) QUALIFY count(*) OVER (PARTITION BY Id, ProjectNo) > 1"
 
 
 @query(WIDE)
 def portfolio_wide(spark, d):
-    return result(spark, d, "wide_report").select(*_WIDE_COLUMNS)
+    return result(spark, d, "wide_report")
 
 
-@query(f"SELECT * FROM ({WIDE}) QUALIFY count(*) OVER (PARTITION BY Id, ProjectNo) > 1")
+@query(WIDE_DUPLICATES)
 def portfolio_wide_duplicates(spark, d):
-    return duplicate_rows(portfolio_wide(spark, d), ["Id", "ProjectNo"])
+    return result(spark, d, "wide_report_duplicates")
 
 
 # ---------------------------------------------------------------- overview
@@ -460,12 +466,12 @@ def portfolio_manager_contacts(spark, d):
     return rounded(result(spark, d, "manager_contact_populated"), "percentage")
 
 
-@query(_with() + """SELECT Id, ProjectStatus,
+@query(_with(OVERVIEW) + """SELECT overview.*,
     strftime(try_strptime(ProjectStartDate, '%m/%d/%Y'), '%Y-%m-%d') AS start_date, CAST(year(try_strptime(ProjectStartDate, '%m/%d/%Y')) AS INTEGER) AS start_year
-  FROM projects WHERE ProjectStatus IN ('Pending', 'Active')""")
+  FROM overview WHERE ProjectStatus IN ('Pending', 'Active')""")
 def portfolio_unfinished(spark, d):
     rows = result(spark, d, "unfinished_projects")
-    return rows.select("Id", "ProjectStatus", F.col("start_date").cast("string"), "start_year")
+    return rows.withColumn("start_date", F.col("start_date").cast("string"))
 
 
 # ---------------------------------------------------------------- detail
@@ -506,10 +512,13 @@ def portfolio_solicitation_word(spark, d):
     return rounded(result(spark, d, "solicitation_word_by_admin"), "percentage")
 
 
-@query(_with(DETAIL) + """SELECT Id FROM projects
-  WHERE NOT EXISTS (SELECT 1 FROM detail WHERE ProjectId = Id)""")
+MISSING_FROM_DETAIL = _with(OVERVIEW, DETAIL) + """SELECT *, TRUE AS nomatch FROM overview
+  WHERE NOT EXISTS (SELECT 1 FROM detail WHERE ProjectId = Id)"""
+
+
+@query(MISSING_FROM_DETAIL)
 def portfolio_missing_from_detail(spark, d):
-    return result(spark, d, "missing_from_detail").select("Id")
+    return result(spark, d, "missing_from_detail")
 
 
 def _summary_sql(view: str, left: str, right: str) -> str:
@@ -578,11 +587,18 @@ def portfolio_contract_amounts(spark, d):
     return rounded(result(spark, d, "contract_amounts_summary"), "percentage_match")
 
 
-@query(_with(FINANCE) + """SELECT ProjectId, ProjectNo, ProgramAdminName, CommitedFundingAmount
-  FROM finance_view WHERE FundsExpendedToDate = 0 AND CommitedFundingAmount > 0""")
+FINANCE_FULL = """finance_full AS (
+  SELECT f.* EXCLUDE (ContractAmount), f.ContractAmount AS ContractAmount_details,
+         p.* EXCLUDE (Id, ProjectNo, ContractAmount), p.ContractAmount AS ContractAmount_overview
+  FROM finance f LEFT JOIN overview p
+    ON f.ProjectId = p.Id AND f.ProjectNo IS NOT DISTINCT FROM p.ProjectNo)
+"""
+
+
+@query(_with(OVERVIEW, FINANCE, FINANCE_FULL) + """SELECT * FROM finance_full
+  WHERE FundsExpendedToDate = 0 AND CommitedFundingAmount > 0""")
 def portfolio_nothing_expended(spark, d):
-    rows = result(spark, d, "committed_but_nothing_expended")
-    return rows.select("ProjectId", "ProjectNo", ADMIN, "CommitedFundingAmount")
+    return result(spark, d, "committed_but_nothing_expended")
 
 
 # ---------------------------------------------------------------- metric
@@ -601,12 +617,20 @@ def portfolio_metric_populated(spark, d):
     return rounded(result(spark, d, "metric_populated"), "pct")
 
 
-@query(_with(METRIC) + """SELECT ProjectId, ProjectNo FROM metric_view
+METRIC_FULL = """metric_full AS (
+  SELECT m.* EXCLUDE (IsActive), m.IsActive AS IsActive_metric,
+         p.* EXCLUDE (Id, ProjectNo, IsActive), p.IsActive AS IsActive_overview
+  FROM metric m LEFT JOIN overview p
+    ON m.ProjectId = p.Id AND m.ProjectNo IS NOT DISTINCT FROM p.ProjectNo)
+"""
+
+
+@query(_with(OVERVIEW, METRIC, METRIC_FULL) + """SELECT * FROM metric_full
   WHERE ElectricitySystemReliabilityImpacts IS NOT NULL AND ElectricitySystemSafetyImpacts IS NOT NULL
     AND EnviromentalImpactsNonGHG IS NOT NULL AND EnergyImpacts IS NOT NULL
     AND OtherImpacts IS NOT NULL""")
 def portfolio_all_impacts(spark, d):
-    return result(spark, d, "all_impacts").select("ProjectId", "ProjectNo")
+    return result(spark, d, "all_impacts")
 
 
 # ---------------------------------------------------------------- at least one of several fields
@@ -647,11 +671,16 @@ def portfolio_without_barrier(spark, d):
     return rounded(result(spark, d, "without_barrier"), "percentage")
 
 
-@query(_with(DETAIL, _BARRIERS) + """SELECT ProjectId, ProjectName, ProgramAdminName,
-    DetailedProjectDescription FROM flagged WHERE flag = 0""")
+def _unflagged_sql(cols, flag: str, carried: str = "") -> str:
+    real = ", ".join(f"CASE WHEN {c} NOT IN {_BLANKS} THEN {c} END AS {c}" for c in cols)
+    return f"""SELECT ProjectId, ProjectName, {carried}ProgramAdminName, {real},
+      ProjectStartDate, ProjectEndDate, flag AS {flag} FROM flagged WHERE flag = 0"""
+
+
+@query(_with(DETAIL, _BARRIERS)
+       + _unflagged_sql(BARRIERS, "one_or_more_barrier", "DetailedProjectDescription, "))
 def portfolio_without_barrier_rows(spark, d):
-    rows = result(spark, d, "without_barrier_rows")
-    return rows.select("ProjectId", "ProjectName", ADMIN, "DetailedProjectDescription")
+    return result(spark, d, "without_barrier_rows")
 
 
 @query(_with(METRIC, _IMPACTS) + _cohort_sql("y1", "end_year"))
@@ -669,8 +698,6 @@ def portfolio_without_impact_by_admin(spark, d):
     return rounded(result(spark, d, "without_impact_by_admin"), "percentage")
 
 
-@query(_with(METRIC, _IMPACTS) + """SELECT ProjectId, ProjectName, ElectricitySystemReliabilityImpacts
-  FROM flagged WHERE flag = 0""")
+@query(_with(METRIC, _IMPACTS) + _unflagged_sql(IMPACTS, "one_or_more_impact"))
 def portfolio_without_impact_rows(spark, d):
-    rows = result(spark, d, "without_impact_rows")
-    return rows.select("ProjectId", "ProjectName", "ElectricitySystemReliabilityImpacts")
+    return result(spark, d, "without_impact_rows")

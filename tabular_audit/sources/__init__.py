@@ -2,9 +2,9 @@
 
 from .reports import write_report, write_reports
 from .schemas import SCHEMAS
-from .tables import check_schema, kept, read_portfolio, read_table
+from .tables import check_schema, kept, read_portfolio, read_table, shared_folder
 
 __all__ = [
-    "SCHEMAS", "check_schema", "kept", "read_portfolio", "read_table", "write_report",
-    "write_reports",
+    "SCHEMAS", "check_schema", "kept", "read_portfolio", "read_table", "shared_folder",
+    "write_report", "write_reports",
 ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -73,14 +75,28 @@ def read_portfolio(
     }
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="audit-checkpoint-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.  A local session
+    without that setting, as in tests, gets a temporary folder; a cluster must have it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder and read it
     back.  Later queries read only the columns they need, and a lost executor
-    costs a re-read rather than the joins that built the table."""
+    costs a re-read rather than the joins that built the table.  The written
+    tables stay until the caller clears that folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -19,8 +18,6 @@ def spark():
         .config("spark.driver.memory", "8g")
     )
     session = with_settings(builder).getOrCreate()
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="audit-checkpoint-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle import differences
+from tabular_audit.queries import ORACLES as SQL, QUERIES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 UNWANTED = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow", "Sample")
 
 

@@ -1,6 +1,7 @@
 """Run the review and write its results; for spark-submit.
 
-    spark-submit --py-files tabular_audit.zip run_review.py \\
+    spark-submit --conf spark.checkpoint.dir=hdfs:///shared/checkpoints \\
+        --py-files tabular_audit.zip run_review.py \\
         --table projects=/data/projects --table projects_detail=/data/detail ... \\
         --out /data/review [--format csv] [--only status_within_admin ...]
 """
@@ -15,7 +16,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tabular_audit.plans import RESULTS, ROW_RESULTS, Portfolio, Review  # noqa: E402
+from tabular_audit.plans import RESULTS, ROW_RESULTS, Portfolio, Review, report_orders  # noqa: E402
 from tabular_audit.session import with_settings  # noqa: E402
 from tabular_audit.sources import SCHEMAS, read_portfolio, write_reports  # noqa: E402
 
@@ -39,7 +40,8 @@ def main(argv: list[str] | None = None) -> None:
     tables = read_portfolio(spark, paths, args.format, args.multiline)
     review = Review(Portfolio.of(tables), keep=not args.no_keep)
     results = {name: review.result(name) for name in args.only or RESULTS}
-    write_reports(results, args.out, args.out_format, large=ROW_RESULTS, parallel=args.parallel)
+    write_reports(results, args.out, args.out_format, large=ROW_RESULTS, parallel=args.parallel,
+                  order_by=report_orders(results))
 
 
 if __name__ == "__main__":

@@ -21,13 +21,17 @@ def mean_by(
     zeros out too, ``extremes`` adds minimum and maximum.  Groups without such a
     value are absent.
 
-    Unwanted values become null inside the aggregate instead of being filtered
-    before it, so a computed value is evaluated once per row.
+    Zeros of a plain column are filtered, so that the scan can leave them out; those
+    of a computed value become null inside the aggregate, so that it is evaluated
+    once per row.
     """
     v = column(value)
-    v = F.when(v != 0, v) if nonzero else v
     groups = [column(b) for b in by]
     rows = df
+    if nonzero and isinstance(value, str):
+        rows = rows.where(v != 0)
+    elif nonzero:
+        v = F.when(v != 0, v)
     if not keep_null_groups:
         for g in groups:
             rows = rows.where(g.isNotNull())

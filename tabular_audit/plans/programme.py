@@ -40,7 +40,6 @@ from ..operators import (
     distinct_counts,
     distinct_without,
     duplicate_keys,
-    duplicate_rows,
     duration_weeks,
     enrich,
     families,
@@ -65,6 +64,7 @@ from ..operators import (
     within_budget,
     zero_rate,
 )
+from ..operators.joins import at_key, named_keys
 from ..sources.schemas import (
     BARRIERS,
     CONTACT,
@@ -110,27 +110,41 @@ def overview(p: Portfolio) -> DataFrame:
         "ProjectLead", recode("ProjectLead"))
 
 
-def wide_report(p: Portfolio) -> DataFrame:
+_TAB_KEY = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
+_TYPE_KEY = {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"}
+
+
+def wide_report(p: Portfolio, projects: DataFrame | None = None) -> DataFrame:
     """All tabs side by side, lead names as entered; a project with several rows
-    in a tab fans out."""
-    key = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
+    in a tab fans out.  ``projects`` replaces the project table."""
     code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
     # The flag depends on the number alone, so it is set before tabs multiply the rows.
     flagged = membership_flag(
-        distinct_without(p.projects, *COORDINATES), p.market_facilitation,
-        {"ProjectNo": "Agreement Number"}, flag,
+        distinct_without(p.projects if projects is None else projects, *COORDINATES),
+        p.market_facilitation, {"ProjectNo": "Agreement Number"}, flag,
     )
     tabs = enrich(
         flagged,
-        Tab(p.projects_detail, key, renamed={"IsActive": "IsActive_detail"}),
-        Tab(p.projects_metric, key, renamed={"IsActive": "IsActive_metric"}),
-        Tab(p.finance_detail, key, renamed={"ContractAmount": "ContractAmount_finance"}),
-        Tab(p.project_type, {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"}, columns=(code,)),
+        Tab(p.projects_detail, _TAB_KEY, renamed={"IsActive": "IsActive_detail"}),
+        Tab(p.projects_metric, _TAB_KEY, renamed={"IsActive": "IsActive_metric"}),
+        Tab(p.finance_detail, _TAB_KEY, renamed={"ContractAmount": "ContractAmount_finance"}),
+        Tab(p.project_type, _TYPE_KEY, columns=(code,)),
     )
     rest = [c for c in tabs.columns if c not in (code, flag)]
     return tabs.select(*rest, flag, label_codes(code).alias(code))
 
 
+def wide_report_duplicates(p: Portfolio) -> DataFrame:
+    """Rows of the wide report whose project has several.  Which do is found on the
+    keys alone; only these projects are then widened."""
+    keys = ["Id", "ProjectNo"]
+    tabs = [Tab(t, _TAB_KEY, columns=()) for t in (p.projects_detail, p.projects_metric, p.finance_detail)]
+    narrow = enrich(distinct_without(p.projects, *COORDINATES).select(*keys), *tabs,
+                    Tab(p.project_type, _TYPE_KEY, columns=()))
+    repeated = duplicate_keys(narrow, keys).select(*named_keys(keys))
+    return wide_report(p, p.projects.join(repeated, at_key(keys), "left_semi"))
+
+
 def detail_view(detail: DataFrame, ov: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Detail tab with name, administrator, activity and dates of its project."""
     return enrich(detail, Tab(
@@ -189,9 +203,9 @@ _BARRIER, _IMPACT = "one_or_more_barrier", "one_or_more_impact"
 class Review:
     """The input tables and what is derived from them, each built on first use.
 
-    With ``keep`` the de-duplicated overview, the widened tabs and the wide
-    report, which dozens of results read, are written to the shared checkpoint
-    folder on first use and read back from there.
+    With ``keep`` the de-duplicated overview and the widened tabs, which dozens of
+    results read, are written to the shared checkpoint folder on first use and read
+    back from there.  The wide report, the largest table, is a result only.
     """
 
     p: Portfolio
@@ -247,10 +261,6 @@ class Review:
     def impacts(self) -> DataFrame:
         return _flagged(self._metric_table, IMPACTS, _IMPACT)
 
-    @cached_property
-    def wide(self) -> DataFrame:
-        return self._kept(wide_report(self.p), "wide")
-
     def result(self, name: str) -> DataFrame:
         return RESULTS[name](self)
 
@@ -468,8 +478,8 @@ def _cohorts(name: str, table: Callable[[Review], DataFrame], flag: str) -> Resu
 # ---------------------------------------------------------------- everything
 
 RESULTS: Results = {
-    "wide_report": lambda r: r.wide,
-    "wide_report_duplicates": lambda r: duplicate_rows(r.wide, ["Id", "ProjectNo"]),
+    "wide_report": lambda r: wide_report(r.p),
+    "wide_report_duplicates": lambda r: wide_report_duplicates(r.p),
     **OVERVIEW,
     **DETAIL,
     **FINANCE,
@@ -487,6 +497,23 @@ ROW_RESULTS = (
 )
 
 
+# What results measure; their other columns are what they are grouped by.
+MEASURES = {
+    "n", "total", "pct", "percentage", "average", "minimum", "maximum", "nrows", "total_rows",
+    "non_missing_count", "total_entries", "zero_count", "percentage_zero", "num_distinct",
+    "n_with_flag", "matches", "mismatches", "percentage_match", "q1", "median", "mean", "q3",
+}
+_LISTINGS = {*ROW_RESULTS, "wide_report_duplicates", "unfinished_projects", "missing_from_detail",
+             "missing_from_metric", "nothing_expended", "committed_but_nothing_expended", "all_impacts",
+             "first_start_dates", "first_end_dates"}
+
+
+def report_orders(results: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """The columns that grouped results are written in the order of."""
+    return {name: [c for c in df.columns if c not in MEASURES]
+            for name, df in results.items() if name not in _LISTINGS}
+
+
 def review(p: Portfolio, keep: bool = True) -> dict[str, DataFrame]:
     """All results; ``keep`` as in ``Review``."""
     r = Review(p, keep)

@@ -374,6 +374,7 @@ def duration_weeks_by(spark, d):
         table(spark, d, "orders").select(
             "o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("started")),
         {"l_orderkey": "o_orderkey"},
+        unique=True,
     )
     out = mean_by(duration_weeks(rows, "started", "ended"), "duration_weeks", ["l_returnflag"])
     return rounded(out, "average")

@@ -40,13 +40,17 @@ def write_reports(
     fmt: str = "parquet",
     large: Collection[str] = (),
     parallel: int = 1,
+    order_by: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
     """Write each result to a sub-folder of its name; those named in ``large``
-    are not compacted.  ``parallel`` results are written at the same time, so
-    that small jobs share the cluster."""
+    are not compacted, those in ``order_by`` hold their rows in ascending order of
+    the columns given, null last.  ``parallel`` results are written at the same
+    time, so that small jobs share the cluster."""
+    orders = order_by or {}
 
     def write(name: str) -> None:
-        write_report(results[name], f"{folder.rstrip('/')}/{name}", fmt, compact=name not in large)
+        write_report(results[name], f"{folder.rstrip('/')}/{name}", fmt, orders.get(name, ()),
+                     compact=name not in large)
 
     with ThreadPoolExecutor(parallel) as pool:
         for done in [pool.submit(write, name) for name in results]:

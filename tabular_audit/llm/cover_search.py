@@ -19,37 +19,59 @@ from .vector_blocks import Best, distinct_vectors, farthest_first, nearest_in_bl
 BASE = 1.3
 CHILDREN = 48
 DATA_LEAF = 128
-QUERY_LEAF = 32
+QUERY_LEAF = 64
+BLOCK = 512
 
 
 @dataclass
 class Node:
+    """A set of rows around a center; ``inner`` are its children, ``spans`` their centers,
+    norms and radii as arrays."""
+
     center: np.ndarray
-    norm: float
     radius: float
     rows: np.ndarray
-    children: list[Node] = field(default_factory=list)
+    inner: list[Node] = field(default_factory=list)
+    spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    norm: float = 0.0
+
+    @classmethod
+    def around(cls, center: np.ndarray, points: np.ndarray, rows: np.ndarray) -> Node:
+        radius = float(np.sqrt(((points[rows] - center) ** 2).sum(axis=1).max()))
+        return cls(center, radius, rows, norm=float(np.sqrt((center ** 2).sum())))
+
+
+def spans(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.array([n.center for n in nodes]), np.array([n.norm for n in nodes]),
+            np.array([n.radius for n in nodes]))
 
 
 def cover_tree(points: np.ndarray, rows: np.ndarray, center: np.ndarray, leaf: int) -> Node:
-    radius = float(np.sqrt(((points[rows] - center) ** 2).sum(axis=1).max()))
-    node = Node(center, float(np.sqrt((center ** 2).sum())), radius, rows)
-    if len(rows) <= leaf or radius == 0:
+    """Children with less than a quarter of a leaf are put together around the node's own
+    center, so that scattered points do not make a node each."""
+    node = Node.around(center, points, rows)
+    if len(rows) <= leaf or node.radius == 0:
         return node
-    centers, near, _ = farthest_first(points[rows], CHILDREN, radius / BASE)
+    centers, near, _ = farthest_first(points[rows], CHILDREN, node.radius / BASE)
     if len(centers) == 1:
         return node
-    for c in range(len(centers)):
-        own = rows[near == c]
-        if len(own):
-            node.children.append(cover_tree(points, own, points[rows[centers[c]]], leaf))
+    sizes = np.bincount(near, minlength=len(centers))
+    large = np.flatnonzero(sizes >= max(1, leaf // 4))
+    node.inner = [cover_tree(points, rows[near == c], points[rows[centers[c]]], leaf) for c in large]
+    rest = rows[~np.isin(near, large)]
+    node.inner += [Node.around(center, points, rest[i:i + leaf]) for i in range(0, len(rest), leaf)]
+    if len(node.inner) == 1 and len(node.inner[0].rows) == len(rows):
+        node.inner = []
+    else:
+        node.spans = spans(node.inner)
     return node
 
 
-def reach(q: Node, d: Node) -> float:
-    """No inner product of the two nodes' points is above this."""
-    return (float(q.center @ d.center) + q.radius * d.norm + d.radius * q.norm
-            + q.radius * d.radius) * 1.0 + 1e-6 * (1 + q.norm * d.norm)
+def reach(q: Node, covers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each covered node a bound on the inner products of its points with those of ``q``."""
+    centers, norms, radii = covers
+    bound = centers @ q.center + q.radius * norms + radii * q.norm + q.radius * radii
+    return bound + 1e-6 * (1 + q.norm * norms)
 
 
 def search(queries, query_ids, floors, data, ids, k: int):
@@ -63,21 +85,40 @@ def search(queries, query_ids, floors, data, ids, k: int):
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
 
-    def walk(q: Node, d: Node) -> None:
-        if reach(q, d) < best.floor[q.rows].min():
+    def opened(q: Node, nodes: list[Node]) -> list[Node]:
+        """The children of the nodes, or leaves, that can still hold a result for ``q``."""
+        worst = best.floor[q.rows].min()
+        out: list[Node] = []
+        leaves = [n for n in nodes if not n.inner]
+        if leaves:
+            out += [leaves[i] for i in np.flatnonzero(reach(q, spans(leaves)) >= worst)]
+        for n in nodes:
+            if n.inner:
+                out += [n.inner[i] for i in np.flatnonzero(reach(q, n.spans) >= worst)]
+        return out
+
+    def walk(q: Node, nodes: list[Node]) -> None:
+        """Both trees are descended together, a level of each at a time."""
+        nodes = opened(q, nodes)
+        if q.inner:
+            for child in q.inner:
+                walk(child, nodes)
+            return
+        while any(n.inner for n in nodes):
+            nodes = opened(q, nodes)
+        if not nodes:
             return
-        if d.children:
-            for child in sorted(d.children, key=lambda c: -reach(q, c)):
-                walk(q, child)
-        elif q.children:
-            for child in q.children:
-                walk(child, d)
-        else:
-            for a in range(0, len(d.rows), 4 * DATA_LEAF):
-                part = d.rows[a:a + 4 * DATA_LEAF]
-                best.offer(q.rows, queries[q.rows] @ distinct[part].T, np.tile(place[part], (len(q.rows), 1)))
-
-    walk(asked, root)
+        # The most promising leaves first; later ones are checked again as scores rise.
+        bound = reach(q, spans(nodes))
+        rows = np.concatenate([nodes[i].rows for i in np.argsort(-bound)])
+        limit = np.repeat(np.sort(bound)[::-1], [len(nodes[i].rows) for i in np.argsort(-bound)])
+        for a in range(0, len(rows), BLOCK):
+            part = rows[a:a + BLOCK][limit[a:a + BLOCK] >= best.floor[q.rows].min()]
+            if not len(part):
+                break
+            best.offer(q.rows, queries[q.rows] @ distinct[part].T, np.tile(place[part], (len(q.rows), 1)))
+
+    walk(asked, [root])
     out = ([], [], [])
     for q in range(len(queries)):
         rows = order[best.id[q][np.isfinite(best.score[q])]]
@@ -113,10 +154,10 @@ def exact_top_k(
 #: The same for DuckDB, for components of any length.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),

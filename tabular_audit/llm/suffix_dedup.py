@@ -129,8 +129,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             return order
         second = np.zeros(n, np.int64)
         second[: n - span] = rank[span:] + 1
-        rank = rank << bits + 1 | second
-        order = ordered(rank, 2 * bits + 1)
+        rank = rank << bits | second  # both are at most n
+        order = ordered(rank, 2 * bits)
         span *= 2
 
 
@@ -140,24 +140,26 @@ def open_borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     n = len(text)
     transform = text[order - 1]  # before the first symbol comes the last, an end
     by_symbol = np.argsort(transform, kind="stable")
-    back = np.empty(n, np.int64)
-    back[by_symbol] = np.arange(n)
+    back = np.empty(n, np.int32)
+    back[by_symbol] = np.arange(n, dtype=np.int32)
     same = transform[by_symbol[1:]] == transform[by_symbol[:-1]]
-    following, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    following, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     before[by_symbol[1:][same]] = by_symbol[:-1][same]
+    extends = transform > 0
     common = np.full(n + 1, -1, np.int16)  # -1: not found yet
     common[0] = common[n] = 0
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for value in range(length):
         sizes = high - low
-        interval = np.repeat(np.arange(len(low)), sizes)
-        at = np.arange(len(interval)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[interval]
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        at = np.arange(sizes.sum(), dtype=np.int32) + np.repeat(low - first, sizes)
+        ends, begins = following[at] >= np.repeat(high, sizes), before[at] < np.repeat(low, sizes)
         if value:  # only the last symbol of a string may be an end
-            used = transform[at] > 0
-            at, interval = at[used], interval[used]
-        high = np.sort(back[at[following[at] >= high[interval]]] + 1)
-        low = np.sort(back[at[before[at] < low[interval]]])
+            used = extends[at]
+            ends, begins = ends & used, begins & used
+        high = np.sort(back[at[ends]] + 1)
+        low = np.sort(back[at[begins]])
         found = common[high] < 0
         common[high[found]] = value
         if value == 0:

@@ -5,40 +5,17 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
-from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Words are runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="llm-checkpoint-")
+from ..sources.tables import kept
 
+__all__ = ["WORD", "kept", "ship", "text_slices"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.  A local
-    session without one, as in tests, gets a temporary folder; a cluster must name it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _own_folder()
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: it cuts the lineage, and a lost
-    executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:

@@ -225,13 +225,13 @@ def simhash_components(
 
     A text of fewer words than a shingle is hashed as a whole; null, empty and blank texts
     have fingerprint zero and are linked like any other.  Equal texts share a fingerprint
-    and so a component.  Repeated rows stay; ids must be orderable, null ids are kept but
-    name no component unless nothing else does; other columns are not read.  Copies are
+    and so a component.  Repeated rows stay; ids must be orderable.  A row without id takes the
+    component of an equal fingerprint that has one, else null.  Other columns are not read.  Copies are
     one row per fingerprint before anything is compared.
     """
     table = kept(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = kept(table.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "distinct")
-    linked = components(links(distinct, bits, shard_size, sample))
+    linked = components(links(distinct.where("id IS NOT NULL"), bits, shard_size, sample))
     named = kept(distinct.join(linked, "id", "left").select(
         "fp", F.coalesce("component_id", "id").alias("component_id")), "named")
     return table.join(named, "fp").select(

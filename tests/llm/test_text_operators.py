@@ -167,6 +167,9 @@ def test_simhash_of_odd_rows(odd, spark, long_text):
     assert {found[i]["fingerprint"] for i in (1, 2, 3)} == {"0" * 16}
     assert {found[i]["component_id"] for i in (1, 2, 3)} == {1}
     assert all(found[i]["fingerprint"] == f"{plain_fingerprint(t):016x}" for i, t, *_ in ODD)
+    assert found[None]["component_id"] is None
+    twin = odd.where("doc_id = 8 OR doc_id IS NULL").withColumn("text", F.lit("same words here"))
+    assert {r["component_id"] for r in simhash_components(twin).collect()} == {8}
     assert simhash_components(odd.limit(0)).count() == 0
     one = spark.createDataFrame([(1, long_text)], "doc_id long, text string")
     assert simhash_components(one).first()["fingerprint"] == f"{plain_fingerprint(long_text):016x}"

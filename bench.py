@@ -28,6 +28,7 @@ HEADLINE = [
     "duplicate_line_rows", "duplicate_key_counts", "drop_and_distinct", "distinct_with_null",
     "id_families", "portfolio_wide", "portfolio_detail_completeness",
     "portfolio_metric_completeness", "portfolio_budget", "portfolio_barriers_by_start_year",
+    "portfolio_detail_completeness_kept",
 ]
 
 

@@ -6,8 +6,11 @@ until all are feasible.  A source's target is then met with whole repetitions of
 documents and, for the fraction, with one more of documents in the order of a seeded hash.
 The order is that of ``BUCKETS`` hash ranges, whose sizes are summed per source before
 anything is shuffled.  Ranges are taken in order as long as they fit; those that still fit
-what is left follow, ``PASSES`` times, so that one long document leaves no gap.  Documents
-then look up their source and range, of which a hot source has as many as any other.
+what is left follow, ``PASSES`` times, so that one long document leaves no gap.  A source
+that its ranges leave short by more than ``TOLERANCE`` has its first ranges that hold a
+fitting document split by further hash digits and filled in the same manner, until it is
+met or nothing fits.  Documents then look up their source and range, of which a hot source
+has as many as any other.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from .common import WORD, kept
 
 BUCKETS = 1024
 PASSES = 4
+TOLERANCE = 1 / 512  # of a target; ranges that come nearer are as ``MIX_SQL`` takes them
+PICKED = 8  # ranges of a source that are split at a time
+DEPTHS = 3  # splits of a range into BUCKETS
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -58,12 +64,76 @@ def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
     return sources.withColumn("target", target)
 
 
-def draw(seed: int, *cols: str) -> Column:
+def draw(seed: int | str, *cols: str) -> Column:
     """A whole number below 2**32 from the columns and the seed."""
     text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def digits(seed: int, depth: int) -> Column:
+    """The place of a document in a range that was split ``depth`` - 1 times before."""
+    return F.lpad((draw(f"{seed}/{depth}", "id", "mark") % BUCKETS).cast("string"), 4, "0")
+
+
+def path(seed: int, depth: int) -> Column:
+    """The name of a document's range at a depth; its order is that of the draw."""
+    return F.concat_ws("/", F.lpad(F.col("bucket").cast("string"), 4, "0"),
+                       *(digits(seed, d) for d in range(1, depth + 1)))
+
+
+def cells_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Words of the ranges and of the shortest document with words in each."""
+    return rows.groupBy(*keys).agg(F.sum("size").alias("size"),
+                                   F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+
+
+def fill(plan: DataFrame) -> DataFrame:
+    """Takes ranges (``more``) in order as long as they fit ``left``, ``PASSES`` times."""
+    source = Window.partitionBy("of")
+    so_far = source.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(PASSES):
+        fits = ~F.col("more") & (F.col("size") <= F.col("left"))
+        plan = plan.withColumn("add", fits & (F.sum(F.when(fits, F.col("size"))).over(so_far) <= F.col("left")))
+        plan = plan.withColumns({
+            "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("add"), F.col("size"))).over(source), F.lit(0)),
+            "more": F.col("more") | F.col("add")})
+    return plan.drop("add")
+
+
+def refine(plan: DataFrame, sizes: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """``plan`` with finer ranges where a source is left short, and their greatest depth.
+
+    A round splits ``PICKED`` ranges of every such source, so it reads few of the documents,
+    and takes at least one more of them or goes a depth down."""
+    deepest = 0
+    while True:
+        short = plan.where(~F.col("more") & ~F.col("split") & (F.col("left") > F.col("target") * TOLERANCE)
+                           & (F.col("least") <= F.col("left")) & (F.col("depth") < DEPTHS))
+        nth = F.row_number().over(Window.partitionBy("of").orderBy("path"))
+        picked = kept(short.withColumn("nth", nth).where(F.col("nth") <= PICKED).drop("nth"), "picked")
+        depths = sorted(r["depth"] for r in picked.select("depth").distinct().collect())
+        if not depths:
+            return plan, deepest
+        deepest = max(deepest, depths[-1] + 1)
+        parts = None
+        for depth in depths:
+            chosen = picked.where(F.col("depth") == depth).select(
+                "of", F.col("path").alias("parent"), "source_size", "target", "whole", "left")
+            inside = sizes.withColumn("parent_of", path(seed, depth)).join(
+                chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("parent_of") == F.col("parent")))
+            part = cells_of(inside.withColumn("path", path(seed, depth + 1)),
+                            "of", "path", "source_size", "target", "whole", "left").withColumns(
+                {"more": F.lit(False), "split": F.lit(False), "depth": F.lit(depth + 1)})
+            parts = part if parts is None else parts.unionByName(part)
+        finer = kept(fill(parts), "finer")
+        left = finer.groupBy(F.col("of").alias("now_of")).agg(F.min("left").alias("now"))
+        gone = picked.select(F.col("of").alias("gone_of"), F.col("path").alias("gone"))
+        old = (plan.join(left, F.col("of").eqNullSafe(F.col("now_of")), "left")
+               .join(gone, F.col("of").eqNullSafe(F.col("gone_of")) & (F.col("path") == F.col("gone")), "left")
+               .withColumns({"left": F.coalesce("now", "left"), "split": F.col("split") | F.col("gone").isNotNull()}))
+        plan = kept(old.select(*plan.columns).unionByName(finer.select(*plan.columns)), "refined")
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 7,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -74,16 +144,17 @@ def mix(
     Size is the number of words (null: 0).  Sources in code-point order, null last, weigh
     ``weights``, repeating.  ``taken`` is size times the number of repetitions, which is
     also returned, as ``repetitions``; none exceeds ``epochs``, rounded up.  The draw depends
-    on id and seed alone, so reruns agree; rows with equal ids are taken alike, rows
-    without id as one.  A source without words has target 0 and repeats nothing.  An empty
+    on id and seed alone, so reruns agree; rows with equal ids are taken alike.  Rows without
+    id share a range and are told apart by their text when it is split.  A source without words has target 0 and repeats nothing.  An empty
     table gives no rows.  ``carry`` names further columns to return.
     """
     read = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col(source_col).alias("source"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    sizes = kept(read.select("id", "size", "source", (draw(seed, "id") % BUCKETS).alias("bucket")), "sizes")
-    cells = kept(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "cells")
+        F.col(source_col).alias("source"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
+        F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("mark"))
+    sizes = kept(read.select("id", "size", "source", "mark", (draw(seed, "id") % BUCKETS).alias("bucket")), "sizes")
+    cells = kept(cells_of(sizes.withColumn("path", path(seed, 0)), "source", "path"), "cells")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)),
                           (F.col("nth") % len(weights) + 1).cast("int"))
     sources = kept(numbered(cells.groupBy("source").agg(F.sum("size").alias("size")))
@@ -98,19 +169,22 @@ def mix(
 
     plan = (cells.join(targets, F.col("source").eqNullSafe(F.col("of")))
             .withColumns({"more": F.lit(False), "left": F.col("rest")}))
-    source = Window.partitionBy("of")
-    so_far = source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(PASSES):
-        fits = ~F.col("more") & (F.col("size") <= F.col("left"))
-        plan = plan.withColumn("add", fits & (F.sum(F.when(fits, F.col("size"))).over(so_far) <= F.col("left")))
-        plan = plan.withColumns({
-            "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("add"), F.col("size"))).over(source), F.lit(0)),
-            "more": F.col("more") | F.col("add")})
-    plan = kept(plan.select("of", F.col("bucket").alias("range"), "source_size", "target",
-                            (F.col("whole") + F.col("more").cast("long")).alias("repetitions")), "mix")
+    plan = fill(plan).withColumns({"split": F.lit(False), "depth": F.lit(0)})
+    plan = kept(plan.select("of", "path", "size", "least", "source_size", "target", "whole", "left", "more",
+                            "split", "depth"), "mix")
+    plan, deepest = refine(plan, sizes, seed)
+    times = F.when(~F.col("split"), F.col("whole") + F.col("more").cast("long"))
     rows = read.withColumn("bucket", draw(seed, "id") % BUCKETS) if carry else sizes
-    return rows.join(
-        plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("range"))).select(
+    first = plan.where(F.col("depth") == 0).select(
+        "of", "path", "source_size", "target", times.alias("repetitions"))
+    rows = rows.withColumn("range", path(seed, 0)).join(
+        first, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("path"))).drop("of", "path", "range")
+    for depth in range(1, deepest + 1):  # a row is in one unsplit range
+        finer = plan.where(F.col("depth") == depth).select("of", "path", times.alias("finer"))
+        rows = (rows.withColumn("range", path(seed, depth))
+                .join(finer, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("path")), "left")
+                .withColumn("repetitions", F.coalesce("repetitions", "finer")).drop("of", "path", "range", "finer"))
+    return rows.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
         (F.col("size") * F.col("repetitions")).alias("taken"), "repetitions",
         *(F.col("carried")[c].alias(c) for c in carry))
@@ -135,7 +209,8 @@ p{k + 1} AS (
     return out
 
 
-#: The same for DuckDB: levels in the order of cap by weight instead of rounds.
+#: The same for DuckDB: levels in the order of cap by weight instead of rounds.  It has no
+#: finer ranges, so it holds where the ranges meet the targets within ``TOLERANCE``.
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,

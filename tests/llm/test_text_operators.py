@@ -316,3 +316,16 @@ def test_mix_of_odd_rows(spark, odd):
     assert len({round(targets[s] / weights[s], 6) for s in open_sources}) == 1
     assert mix(odd.limit(0)).count() == 0
     assert [r["taken"] for r in mix(odd.where("doc_id = 1")).collect()] == [0]
+
+
+@pytest.mark.parametrize("with_id", [True, False])
+def test_a_hot_source_among_many_meets_its_target(spark, with_id):
+    hot = spark.range(60_000).select(
+        F.col("id").alias("doc_id") if with_id else F.lit(None).cast("long").alias("doc_id"),
+        F.concat(F.lit("a b c d "), F.col("id")).alias("text"), F.lit("a hot one").alias("source"))
+    rest = spark.range(2_000).select((F.col("id") + 90_000).alias("doc_id"), F.repeat(F.lit("w "), 150).alias("text"),
+                                     F.format_string("s%04d", "id").alias("source"))
+    row = (mix(hot.unionByName(rest), carry=("source",)).where("source = 'a hot one'")
+           .agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).first())
+    assert row["n"] == 60_000
+    assert 0 <= row["target"] - row["taken"] < 5  # no document fits what is left

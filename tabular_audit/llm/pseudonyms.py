@@ -5,13 +5,16 @@ values get equal pseudonyms in all documents, different ones different pseudonym
 number or date that passed its check passes it again.  A string is cut into two halves of
 characters; a round shifts every letter and digit of one half within its class (a-z, A-Z,
 0-9; a-f in hexadecimal values) by the keyed hash of the other half.  Dates and addresses
-are permuted as pairs of whole numbers in the same manner.
+are permuted as pairs of whole numbers in the same manner.  Cards and phones are permuted
+as bare digits, whose separators are put back, and dates as days, so that all spellings of
+one value get one pseudonym.
 
 value            check                                  permuted
-payment card     13-19 digits, Luhn                     all but the last digit, which is set anew
+payment card     13-19 digits, also grouped, Luhn       all but the last digit, which is set anew
 social security  area, group and serial in use          all digits, again until valid
-date             calendar date, 1900-01-01 and the      the day's number
-                 72,999 days after
+date             calendar date, 1900-01-01 and the      the day's number; a time after it stays
+                 72,999 days after; year first, month
+                 first with slashes, day first with dots
 IPv4 address     four numbers up to 255                 as a 32-bit number
 phone            separated groups of 3, 3 and 4         all but a country code
 email            local part, labels, top level          all but the top level
@@ -31,11 +34,13 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
               r"[\"']?[A-Za-z0-9_/+-]{8,}[\"']?|(?<![A-Za-z0-9])(?i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2})|(?![\w/-]))|\d{1,2}/\d{1,2}/\d{4}(?![\w/-])"
+            r"|\d{4}/\d{1,2}/\d{1,2}(?![\w/-])|\d{1,2}\.\d{1,2}\.\d{4}(?![\w/-]|\.\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
-    "card": r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
+    "card": r"(?<!\w)(?:\d{13,19}|6\d{3}(?:[ -]\d{4}){3}[ -]\d{3}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+            r"|\d{4}(?:[ -]\d{3}){3}|\d{4}[ -]\d{4}[ -]\d{5}|\d{6}[ -]\d{13})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|(?i:AKIA|token|passw|secret|api)"  # no value lacks all of these
@@ -109,11 +114,46 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(reversed_digits, F.lit(0), lambda a, v: a + v)
 
 
+def digits_of(value: Column) -> Column:
+    return F.regexp_replace(value, r"\D", "")
+
+
+def spread(digits: Column, form: Column) -> Column:
+    """``form`` with its digits replaced by ``digits`` in order."""
+    def put(state: Column, char: Column) -> Column:
+        is_digit = char.between("0", "9")
+        return F.struct(
+            F.concat(state["done"], F.when(is_digit, F.substring(state["rest"], 1, 1)).otherwise(char)).alias("done"),
+            F.when(is_digit, F.substring(state["rest"], 2, 32)).otherwise(state["rest"]).alias("rest"))
+
+    start = F.struct(F.lit("").alias("done"), digits.alias("rest"))  # computed once
+    return F.aggregate(chars_of(form), start, put, lambda s: s["done"])
+
+
 def card(value: Column, key: str) -> Column:
-    body = permuted(F.substring(value, F.lit(1), F.length(value) - 1), key, "card")
-    total = luhn_sum(F.regexp_replace(body, r"\D", ""), 0)
-    return F.when(luhn_sum(F.regexp_replace(value, r"\D", ""), 1) % 10 == 0,
-                  F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))).otherwise(value)
+    def passes(v: Column) -> Column:
+        return luhn_sum(digits_of(v), 1) % 10 == 0
+
+    def new(v: Column) -> Column:
+        digits = digits_of(v)
+        body = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        whole = F.transform(F.array(body), lambda b: F.concat(
+            b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))[0]
+        return spread(whole, v)
+
+    # Three digits behind 16 can be the end of a card of 19 or a number of their own.
+    card_of_16 = F.regexp_extract(value, r"^(\d{4}(?:[ -]\d{4}){3})[ -]\d{3}$", 1)
+    return (F.when(passes(value), new(value))
+            .when((card_of_16 != "") & passes(card_of_16), F.concat(
+                new(card_of_16), F.substring(value, F.length(card_of_16) + 1, F.length(value))))
+            .otherwise(value))
+
+
+def phone(value: Column, key: str) -> Column:
+    """All but a country code: the last ten digits."""
+    head = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$)", 0)
+    rest = F.substring(value, F.length(head) + 1, F.length(value))
+    return F.concat(head, spread(permuted(digits_of(rest), key, "phone"), rest))
 
 
 def ssn(value: Column, key: str) -> Column:
@@ -132,7 +172,12 @@ def date(value: Column, key: str) -> Column:
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), (pair["a"] * DAYS[1] + pair["b"]).cast("int"))
         return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(new, form)).otherwise(value)
 
-    return F.when(value.contains("-"), moved("yyyy-MM-dd")).otherwise(moved("MM/dd/yyyy"))
+    forms = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/\d{2}/": "MM/dd/yyyy", r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
+             r"^\d{4}/": "yyyy/M/d", r"^\d{2}\.\d{2}\.": "dd.MM.yyyy", r"^\d{1,2}\.": "d.M.yyyy"}
+    out = F
+    for shape, form in forms.items():
+        out = out.when(value.rlike(shape), moved(form))
+    return out.otherwise(moved("M/d/yyyy"))
 
 
 def ip(value: Column, key: str) -> Column:
@@ -171,7 +216,7 @@ def pseudonym(value: Column, key: str) -> Column:
             .when(is_a("date"), date(value, key))
             .when(is_a("ssn"), ssn(value, key))
             .when(is_a("ip"), ip(value, key))
-            .when(is_a("phone"), after(value, r"^(?:\+\d{1,3})?", key, "phone"))
+            .when(is_a("phone"), phone(value, key))
             .otherwise(card(value, key)))
 
 

@@ -265,6 +265,40 @@ def test_what_fails_its_check_stays(spark):
     assert replaced(spark, *texts) == texts
 
 
+def test_spellings_of_one_value_stay_linked(spark):
+    def new(*values):
+        out = [t[4:-5] for t in replaced(spark, *[f"see {v}, end" for v in values])]
+        assert all(a != b for a, b in zip(out, values))
+        return out
+
+    bare = lambda v: re.sub(r"\D", "", v)
+    for spellings in (["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+                      ["30569309025904", "3056 930902 5904", "3056-930902-5904"],
+                      ["378282246310005", "3782 822463 10005"], ["4222222222222", "4222 222 222 222"],
+                      ["6200000000000000000", "6200 0000 0000 0000 000", "620000 0000000000000"],
+                      ["017-555-7713", "(017) 555-7713", "017.555.7713", "017 555 7713"],
+                      ["+1 (017) 555-7713", "+1 017 555 7713", "+1-017-555-7713", "+1017 555 7713"]):
+        out = new(*spellings)
+        assert len(set(map(bare, out))) == 1, out
+        assert [re.sub(r"\d", "9", o) for o in out] == [re.sub(r"\d", "9", s) for s in spellings]
+    plain, coded = new("017-555-7713", "+1 017-555-7713")
+    assert coded == "+1 " + plain
+    iso, unpadded, slashed, dotted, padded, *short = new(
+        "2024-03-05", "3/5/2024", "2024/03/05", "05.03.2024", "03/05/2024", "2024/3/5", "5.3.2024")
+    y, m, d = iso.split("-")
+    assert (slashed, dotted, padded) == (f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}")
+    assert [unpadded, *short] == [f"{int(m)}/{int(d)}/{y}", f"{y}/{int(m)}/{int(d)}", f"{int(d)}.{int(m)}.{y}"]
+    stamps = replaced(spark, "2024-03-05T10:00:00Z", "at 2024-03-05t10:00", "2024-03-05 10:00")
+    assert stamps == [f"{iso}T10:00:00Z", f"at {iso}t10:00", f"{iso} 10:00"]
+    card, code = replaced(spark, "6011111111111117", "6011 1111 1111 1117 123")
+    assert bare(code) == card + "123"
+
+
+def test_what_is_no_date_or_card_stays(spark):
+    texts = ["05.13.2024", "5.3.2024.1", "2024/13/05", "13/13/2024", "2024-03-05abc", "3056 930902 5905", "v1.2.2024-rc"]
+    assert replaced(spark, *texts) == texts
+
+
 def test_permutations_are_one_to_one(spark):
     three = spark.range(1000).select(permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
     assert three.distinct().count() == 1000

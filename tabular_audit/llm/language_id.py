@@ -3,7 +3,9 @@
 Per language, a suffix automaton is built of a bounded sample of labelled texts.  A text
 is parsed against each automaton into phrases, each the longest match with anything in the
 sample (or one unmatched letter).  A phrase costs the logarithm of the sample's length, so
-the bits per letter estimate the cross entropy; the language with the fewest wins.
+the bits per letter estimate the cross entropy.  To compare languages, a phrase costs the
+logarithm of the longest sample in all of them, and a letter that the sample lacks also
+that of the alphabet, so that a small sample is not cheap; the fewest bits win.
 
 Texts are reduced to lower-case letters with single spaces between words.  Letters of many
 texts run through an automaton in lockstep, in stretches of ``STRETCH`` letters; a phrase
@@ -23,6 +25,7 @@ from .common import text_slices
 STRETCH = 512
 GAP = 0  # the symbol of anything between words
 UNDETERMINED = "und"
+SHARES = 12  # no text gives more than this part of a sample
 
 
 @lru_cache(maxsize=1)
@@ -104,11 +107,12 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], letters: int):
         self.languages = sorted(samples)
         parsed = []
+        most = max(1, letters // SHARES)
         for language in self.languages:
             symbols: list[int] = []
             for text in samples[language]:
                 points = letters_of([text])[0]
-                symbols += points[: letters - len(symbols)].tolist() + [GAP]
+                symbols += points[: min(most, letters - len(symbols))].tolist() + [GAP]
                 if len(symbols) >= letters:
                     break
             parsed.append(symbols)
@@ -119,9 +123,27 @@ class Model:
         # Every automaton has columns for the gap, the known letters and one for others.
         self.automata = [SuffixAutomaton(self.code[np.array(symbols)].tolist(), len(known) + 2)
                          for symbols in parsed]
+        self.lacks = np.ones((len(parsed), len(known) + 2), bool)
+        for lacks, symbols in zip(self.lacks, parsed):
+            lacks[self.code[np.array(symbols)]] = False
+        self.phrase_bits = max(automaton.bits for automaton in self.automata)
+        self.letter_bits = float(np.log2(len(known) + 2))
 
     def bits_per_letter(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row per text of estimated bits per symbol and language, and the letters."""
+        phrases, _, counts, letters = self.parse(texts)
+        bits = phrases * np.array([automaton.bits for automaton in self.automata])
+        return bits / np.maximum(counts, 1)[:, None], letters
+
+    def comparable_bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same at one price for all languages, with letters that a sample lacks charged."""
+        phrases, unknown, counts, letters = self.parse(texts)
+        bits = phrases * self.phrase_bits + unknown * self.letter_bits
+        return bits / np.maximum(counts, 1)[:, None], letters
+
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text and language the phrases and the symbols that the sample lacks; per text
+        the symbols and the letters."""
         points, counts, letters = letters_of(texts)
         stretches = -(-counts // STRETCH)
         total = int(stretches.sum())
@@ -132,6 +154,8 @@ class Model:
         # Lanes of one array; what lies behind a lane's end is not counted.
         symbols = np.append(self.code[points], np.zeros(STRETCH, self.code.dtype))
         out = np.zeros((len(texts), len(self.languages)))
+        unknown = np.zeros((len(texts), len(self.languages)))
+        ends = np.cumsum(counts)
         order = np.argsort(-size, kind="stable")
         begin, size, owner = begin[order], size[order], owner[order]
         active = np.searchsorted(-size, -np.arange(STRETCH), "left")  # lanes longer than t
@@ -145,14 +169,16 @@ class Model:
                 move = flat.take(state[:n] * width + symbols[begin[:n] + t])
                 ended[:n] += move & 1
                 state[:n] = move >> 1
-            out[:, k] = np.bincount(owner, ended * automaton.bits, minlength=len(texts))
-        return out / np.maximum(counts, 1)[:, None], letters
+            out[:, k] = np.bincount(owner, ended, minlength=len(texts))
+            lacking = np.concatenate([[0], np.cumsum(self.lacks[k].take(symbols[:len(points)]))])
+            unknown[:, k] = lacking[ends] - lacking[ends - counts]
+        return out, unknown, counts, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits per letter of the best language.  The score is the
         share of bits that the best language saves against the second best, as 2d/(1+d)
         for a share d, and 1 if only one language was learned."""
-        bits, letters = self.bits_per_letter(texts)
+        bits, letters = self.comparable_bits(texts)
         order = np.argsort(bits, axis=1, kind="stable")
         rows = np.arange(len(texts))
         best = bits[rows, order[:, 0]]
@@ -197,7 +223,7 @@ def language_id(
 
     Learned from the rows with text and label that ``train`` (all, if not given) selects:
     ``documents`` texts per label, chosen by a hash of the id, of which the first
-    ``letters`` letters per label are used.  Both bounds are the same at every size.
+    ``letters`` letters per label are used, at most a twelfth of them from one text.  Both bounds are the same at every size.
     Texts that are null or hold no letter are ``und`` with score 0, and so is every text
     if there is nothing to learn from.  Ties go to the first label in order.  Rows stay as
     they are, repeated or with null ids; of the other columns only those in ``carry`` are

@@ -57,6 +57,25 @@ def test_held_out_accuracy(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+@pytest.mark.parametrize("stray", ["abc", "e", "the", "tion"])
+def test_a_stray_label_wins_no_texts(spark, docs, stray):
+    rows = docs.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame([(-1, stray, "xx")], "doc_id long, text string, lang string"))
+    found = by_id(language_id(rows))
+    right = sum(found[r["doc_id"]]["lang_pred"] == r["lang"] for r in docs.collect())
+    assert right >= 0.97 * docs.count()
+
+
+def test_a_long_text_is_not_a_whole_model(docs):
+    texts = {lang: [r["text"] for r in docs.where(F.col("lang") == lang).orderBy("doc_id").collect()]
+             for lang in ("en", "de")}
+    alien = " ".join(texts["de"])[:48_000]
+    model = Model({"en": [alien, *texts["en"][20:]], "de": texts["de"][20:]}, 24_000)
+    for lang in texts:
+        found = model.predict(texts[lang][:20])[0]
+        assert sum(f == lang for f in found) >= 18
+
+
 def test_language_of_odd_rows(odd, long_text, spark):
     rows = language_id(odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)

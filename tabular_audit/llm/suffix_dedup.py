@@ -10,6 +10,8 @@
    of its intervals then finds the common prefixes of neighbouring suffixes in rising
    order and stops at ``length``: borders still open separate suffixes that share at least
    so many bytes, and these start the repeated windows.
+   An anchor with more than ``HOT_BYTES`` of segments is too much for a task; its windows
+   are counted one by one instead, by 128-bit hashes of their bytes.
 4. Removal.  Windows found, or in a segment that occurs more than once, are put back at
    all places of their runs, and the bytes they cover are removed from each text.
 
@@ -22,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import kept, text_slices
@@ -29,6 +32,7 @@ from .common import kept, text_slices
 GRAM = 32
 MOST_STARTS = 2048
 SHARD_BYTES = 1_200_000
+HOT_BYTES = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 KEY = ["text_1", "text_2"]
@@ -192,6 +196,47 @@ def ranges(marks: np.ndarray) -> list[dict]:
     return [{"from": int(a), "size": int(b - a)} for a, b in zip(edges[::2], edges[1::2])]
 
 
+def repeated_windows(cuts: DataFrame, length: int) -> DataFrame:
+    """The segments with windows that occur more than once, as anchor, content, n and the
+    ranges of their starts.  Equal windows meet in sums, so no task holds an anchor."""
+    def windows(batches):
+        for batch in batches:
+            take, at, keys = [], [], []
+            for i, data in enumerate(batch.column(4).to_pylist()):
+                starts = range(len(data) - length + 1)
+                take.append(np.full(len(starts), i))
+                at.append(np.arange(len(starts), dtype=np.int32))
+                keys.extend(xxhash.xxh3_128_digest(data[k:k + length]) for k in starts)
+                if len(keys) >= 1 << 16 or i + 1 == batch.num_rows:
+                    rows = batch.select([0, 1, 2, 3]).take(pa.array(np.concatenate(take)))
+                    key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, pa.array(np.concatenate(at)), pa.array(key[:, 0].copy()),
+                         pa.array(key[:, 1].copy())],
+                        ["anchor", "content", "n", "times", "at", "window_1", "window_2"])
+                    take, at, keys = [], [], []
+
+    window = ["window_1", "window_2"]
+    each = cuts.mapInArrow(windows, "anchor long, content long, n int, times long, at int, window_1 long, window_2 long")
+    repeated = kept(each.groupBy(*window).agg(F.sum("times").alias("times")).where(F.col("times") > 1)
+                    .select(*window), "windows")
+    starts = each.join(repeated, window, "left_semi").groupBy("anchor", "content", "n").agg(
+        F.collect_list("at").alias("at"))  # at most MOST_STARTS
+
+    def merge(batches):
+        for batch in batches:
+            out = []
+            for i, n in enumerate(batch.column(2).to_pylist()):
+                marks = np.zeros(n, bool)
+                marks[batch.column(3)[i].values.to_numpy()] = True  # never all as Python numbers
+                out.append(ranges(marks))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(out, pa.list_(pa.struct([("from", pa.int32()), ("size", pa.int32())])))],
+                ["anchor", "content", "n", "starts"])
+
+    return starts.mapInArrow(merge, "anchor long, content long, n int, starts array<struct<from:int,size:int>>")
+
+
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """Per text (its two hashes) with repeated windows: the text and the ranges of starts."""
     def find_runs(batches):
@@ -250,8 +295,16 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
 
     cuts = texts.join(wanted.select(*KEY, "segments"), KEY).select("text", "segments").mapInArrow(
         cut, "anchor long, content long, n int, times long, data binary")
-    found = kept(cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(
+    hot = kept(wanted.select(F.explode("segments").alias("s")).groupBy(F.col("s.anchor").alias("anchor"))
+               .agg(F.sum(F.col("s.n") + length).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
+               .select("anchor"), "hot")
+    crowded = not hot.isEmpty()
+    alone = cuts.join(hot, "anchor", "left_anti") if crowded else cuts
+    found = kept(alone.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(
         transform, "anchor long, content long, n int, starts array<struct<from:int,size:int>>"), "found")
+    if crowded:
+        many = kept(cuts.join(hot, "anchor", "left_semi").select(*segment, "times", "data"), "crowded")
+        found = found.unionByName(kept(repeated_windows(many, length), "found"))
     spread = (places.select(*KEY, "lo", *segment).join(found, segment)
               .select(*KEY, F.explode(F.transform("starts", lambda s: F.struct(
                   (F.col("lo") + s["from"]).alias("from"), s["size"].alias("size")))).alias("range")))

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tabular_audit.llm import suffix_dedup
 from tabular_audit.llm.components import components
 from tabular_audit.llm.language_id import Model, language_id, letters_of
 from tabular_audit.llm.mixing import MIX_SQL, mix
@@ -249,6 +250,22 @@ def test_repeats_of_odd_rows(spark, odd, long_text):
     assert Counter(r["doc_id"] for r in remove_repeats(odd).collect()) == Counter(r[0] for r in ODD)
 
 
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_an_anchor_with_much_around_it_meets_in_no_task(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    noise = lambda: "".join(map(chr, rng.integers(97, 123, 400)))
+    passage, other = noise()[:230], noise()[:260]
+    texts = [noise() + passage + noise() for _ in range(300)] + [noise() + other + noise() for _ in range(3)]
+    texts += [texts[0], "é" + texts[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", most)
+    counted = []
+    plain = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a: counted.append(1) or plain(*a))
+    assert removal(remove_repeats(docs).orderBy("doc_id").collect()) == plain_removal([t.encode() for t in texts], 200)
+    assert counted
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 def replaced(spark, *texts, key="k"):

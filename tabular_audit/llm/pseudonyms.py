@@ -228,19 +228,19 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     empty one empty.  Numbers that fail their check, and dates outside the range, stay.
     No shuffle and no Python; the work of a text is linear in its length.
     """
-    for taken in ("_values", "_new", "_between"):
-        if taken in docs.columns:
-            raise ValueError(f"column name {taken} is in use")
+    values, new = "_values", "_new"
+    while {values, new} & {c.lower() for c in [*docs.columns, count_col or ""]}:
+        values, new = values + "_", new + "_"
     text = F.col(text_col)
     none = F.array().cast("array<string>")
-    found = docs.withColumn("_values", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = docs.withColumn(values, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
                             .otherwise(none))
-    found = found.withColumn("_new", F.transform("_values", lambda v: pseudonym(v, key)))
+    found = found.withColumn(new, F.transform(values, lambda v: pseudonym(v, key)))
     if count_col:
-        changed = F.filter(F.zip_with("_values", "_new", lambda a, b: a != b), lambda c: c)
+        changed = F.filter(F.zip_with(values, new, lambda a, b: a != b), lambda c: c)
         found = found.withColumn(count_col, F.greatest(F.size(changed), F.lit(0)))
     between = F.split(text, ANY, -1)
     rebuilt = F.concat(between[0], joined(F.zip_with(
-        "_new", F.slice(between, F.lit(2), F.size("_new")), lambda n, b: F.concat(n, b))))
-    out = found.withColumn(text_col, F.when(F.size("_values") > 0, rebuilt).otherwise(text))
-    return out.drop("_values", "_new")
+        new, F.slice(between, F.lit(2), F.size(new)), lambda n, b: F.concat(n, b))))
+    out = found.withColumn(text_col, F.when(F.size(values) > 0, rebuilt).otherwise(text))
+    return out.drop(values, new)

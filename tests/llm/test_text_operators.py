@@ -356,6 +356,15 @@ def test_pseudonyms_of_odd_rows(odd, spark, long_text):
     assert text.startswith(long_text) and text.endswith(long_text) and "213.174.22.103" not in text
 
 
+def test_pseudonyms_with_any_column_names(spark):
+    docs = spark.createDataFrame([("mail of.55@example.com", 1, 2, 3, 4, 5)],
+                                 "text string, _values int, _new int, _between int, _Found int, _found_ int")
+    out = pseudonymize(docs, "k", count_col="n")
+    assert out.columns == [*docs.columns, "n"]
+    row = out.first()
+    assert tuple(row)[1:] == (1, 2, 3, 4, 5, 1) and "of.55" not in row["text"]
+
+
 # ---------------------------------------------------------------- mixing
 
 @pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
+from .alignment import align_tokenizers
 from .common import ship
 from .cover_search import TOP_K_SQL, exact_top_k
 from .language_id import language_id
+from .lsh_forest import minhash_components
 from .mixing import MIX_SQL, mix
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .pseudonyms import pseudonymize
 from .quality import quality_scores
 from .simhash import simhash_components
@@ -24,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 #: Users pass a key of their own; this one makes runs comparable.
@@ -106,3 +110,45 @@ def op10_exact_top_k(spark, folder):
 
 
 ORACLES["op10_exact_top_k"] = TOP_K_SQL
+
+
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text; where the id's checksum ends in 0 a stretch of words, repeated to the end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = (h - h % 10) / 10
+    words = F.when(h % 10 == 0, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    return F.struct(words.alias("words"), g.cast("long").alias("g"))
+
+
+@query
+def op11_periodic_runs(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("loop", looped(F.col("doc_id"), F.col("text")))
+    n, g = F.size("loop.words"), F.col("loop.g")
+    docs = docs.withColumn("n", n).withColumn("a", (g % F.greatest(F.col("n"), F.lit(1))).cast("int"))
+    docs = docs.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)).cast("int"))
+    rest = F.slice("loop.words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(rest, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("loop.words", F.lit(1), F.col("a")),
+                                    F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    most = F.reduce("runs", none, lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    said = F.concat_ws("", F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    found = found.withColumn("most", most)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_minhash_dedup(spark, folder):
+    return minhash_components(table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query
+def op13_tokenizer_alignment(spark, folder):
+    return align_tokenizers(table(spark, folder, "documents"), VOCABULARY, PIECES)[0]

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 SPECIAL = "<|endoftext|>"
+#: The encoder's own pattern fails on runs of white space somewhat under 1,000,000 characters;
+#: longer texts are cut by ``pretoken_starts``, and pre-tokens over this are encoded one by one.
+LONG = 1 << 19
 
 # Character classes.  White space is Unicode's White_Space property.
 OTHER, LETTER, NUMBER, SPACE, BLANK, EDGE = range(6)
@@ -112,19 +116,57 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """text -> array of ids, the special string as its own id."""
+def windows(text: str, size: int = 1 << 18) -> Iterator[tuple[str, np.ndarray]]:
+    """Parts of a long text with the starts of their pre-tokens.  A part ends where a pre-token ends and
+    no white space stands before, so that parts can be encoded one by one; it is
+    longer than ``size`` only where no such place comes earlier."""
+    at, wide = 0, size
+    while at < len(text):
+        part = text[at:at + wide]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.zeros(len(points), bool)
+        first[0] = True
+        starts = np.flatnonzero(pretoken_starts(points, first))
+        if at + wide < len(text):
+            kind = character_classes()[points]
+            white = (kind == SPACE) | (kind == BLANK)
+            # What follows the part can still change the borders of its last characters.
+            safe = starts[(starts > 0) & (starts < len(points) - 8)]
+            safe = safe[~white[safe - 1]]
+            if not len(safe):
+                wide *= 2
+                continue
+            part, starts = part[:safe[-1]], starts[starts < safe[-1]]
+        yield part, starts
+        at, wide = at + len(part), size
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, special: bool = True):
+    """text -> array of ids; with ``special`` the special string is an id of its own, else text."""
     words = vocabulary(path)
     encoding = words.encoding
 
-    def encode(text: str) -> np.ndarray:
-        if SPECIAL not in text:
+    def ordinary(text: str) -> np.ndarray:
+        if len(text) <= LONG:
             return encoding.encode_to_numpy(text, disallowed_special=())
         out = []
+        for part, starts in windows(text):
+            longest = int(np.diff(starts, append=len(part)).max())
+            if longest <= LONG:
+                out.append(encoding.encode_to_numpy(part, disallowed_special=()))
+                continue
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                ids = encoding._encode_single_piece(part[a:b])
+                out.append(np.array(ids, np.uint32))
+        return np.concatenate(out)
+
+    def encode(text: str) -> np.ndarray:
+        if not special or SPECIAL not in text:
+            return ordinary(text)
+        out = []
         for part in text.split(SPECIAL):
-            out += [encoding.encode_to_numpy(part, disallowed_special=()),
-                    np.array([words.special], np.uint32)]
+            out += [ordinary(part), np.array([words.special], np.uint32)]
         return np.concatenate(out[:-1])
 
     return encode

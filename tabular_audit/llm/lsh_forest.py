@@ -6,15 +6,17 @@ eight values further on.  Sets that share the first three values in an order for
 region of that order; sets alone in their region drop out after a count.  The others are sorted
 by order and values, over partitions cut by range, so that a crowded region spreads over
 as many tasks as it needs.  In the sorted rows neighbours with the longest common prefix are candidates: a
-region of at most ``leaf`` rows compares all of its signatures, a larger one is cut at the next value, and so
-on, so depth adapts to each region; every row also meets the rows next to it, with which its prefix in
-common is longest.  Signatures estimate the similarity; of a
-region's likely pairs a forest of the most similar ones goes on, and for every set its most similar ones outside
-those it surely belongs to, so that pairs grow with rows and not with their square.
-
-Candidates are confirmed on whole sets in two rounds: first each set's most similar
-partner, then all pairs whose ends the first round has not joined.  Equal sets are
-one from the start.
+region of at most ``leaf`` rows is a leaf in which every two are candidates, a larger one is cut at the next value,
+and so on, so depth adapts to each region; every row of it also meets the most similar of the rows
+next to it, with which its prefix in common is longest.
+
+Signatures estimate the similarity, whole sets confirm it, in three steps that never list all
+pairs of a leaf.  First each set's most similar partner is confirmed, then the pairs that
+span each leaf with the most similar ones, where the first step has not joined their ends.  Leaves in which likely pairs
+still lie apart are then measured exactly, by products of incidence matrices
+over the whole sets of the rows concerned, and give links that span what is linked in
+them.  Equal sets are one from the start.  Whole sets are not kept: those asked for are made again
+from one of their texts, found by its SHA-256 among the texts with copies collapsed.
 
 A pair of similarity 0.8 shares a region in none of 16 orders with probability (1 - 0.8**3)**16, that is 0.00001, and its
 estimate lies 3.5 standard deviations off with probability 0.0002.
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import kept, text_slices
 from .components import components
@@ -75,7 +77,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Per document its id, node (a 128-bit name that equal sets share) and number of shingles;
-    with the first of equal sets that a task meets the shingles, the regions the
+    with the first of equal sets that a task meets the digest of the text, the regions the
     set lies in, one per order, and a byte of each value."""
     step = VALUES // ORDERS
     order = [[(step * t + k) % VALUES for k in range(PREFIX)] for t in range(ORDERS)]
@@ -84,31 +86,47 @@ def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
         known: dict[bytes, int] = {}
         met: set[bytes] = set()
         for batch, texts in text_slices(batches, "text"):
-            nodes, sizes, shingles, regions, low = [], [], [], [], []
+            nodes, sizes, regions, low = [], [], [], []
             for text in texts:
                 found = shingle_set(text, words, known)
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(len(found))
-                new = len(found) and nodes[-1] not in met
-                shingles.append(found.view(np.int64) if new else None)
-                value = signature(found) if new else None
+                if not len(found) or nodes[-1] in met:
+                    regions.append(None), low.append(None)
+                    continue
+                value = signature(found)
                 regions.append([int.from_bytes(xxhash.xxh3_64_digest(value[o].tobytes(), t), "big", signed=True)
-                                for t, o in enumerate(order)] if new else None)
-                low.append((value & 255).astype(np.uint8).tobytes() if new else None)
-                if new:
-                    met.add(nodes[-1])
-                    if len(met) > 1 << 20:
-                        met.clear()
+                                for t, o in enumerate(order)])
+                low.append((value & 255).astype(np.uint8).tobytes())
+                if len(met) > 1 << 20:
+                    met.clear()
+                met.add(nodes[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(shingles, pa.list_(pa.int64())), pa.array(regions, pa.list_(pa.int64())),
-                 pa.array(low, pa.binary())],
-                ["id", "node", "n", "shingles", "regions", "bytes"])
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), batch.column(2),
+                 pa.array(regions, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                ["id", "node", "n", "digest", "regions", "bytes"])
 
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest(text_col).alias("digest"))
     kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, node binary, n long, shingles array<bigint>, "
-                                "regions array<bigint>, bytes binary")
+    found = read.mapInArrow(run, f"id {kind}, node binary, n long, digest binary, regions array<bigint>, bytes binary")
+    return found.withColumn("digest", F.when(F.col("regions").isNotNull(), F.col("digest")))
+
+
+def digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col), 256))
+
+
+def whole_sets(docs: DataFrame, asked: DataFrame, words: int, text_col: str) -> DataFrame:
+    """(node, shingles) of the sets asked for as (node, digest)."""
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for batch, texts in text_slices(batches, "text"):
+            found = [shingle_set(t, words, known).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))],
+                                             ["node", "shingles"])
+
+    texts = docs.groupBy(digest(text_col).alias("digest")).agg(F.first(text_col).alias("text"))
+    return texts.join(asked, "digest").select("node", "text").mapInArrow(run, "node binary, shingles array<bigint>")
 
 
 def likely(similarity: float) -> int:
@@ -118,16 +136,34 @@ def likely(similarity: float) -> int:
 
 
 class Stretch:
-    """Pairs among sorted rows of one order: indices and equal values."""
-
-    def __init__(self, values: np.ndarray, near: int, leaf: int, beside: int, partners: int):
-        self.values, self.near, self.leaf, self.beside, self.partners = values, near, leaf, beside, partners
-        self.sure = (VALUES + near) // 2
-        self.found: dict[tuple[int, int], int] = {}
-
-    def add(self, a, b, equal) -> None:
-        for i, j, e in zip(a.tolist(), b.tolist(), equal.tolist()):
-            self.found[(i, j)] = e
+    """Sorted rows of one order, searched region by region.  Without groups it finds pairs that span each
+    leaf, of the most similar rows; with groups the leaves and rows with likely pairs across groups."""
+
+    def __init__(self, values: np.ndarray, near: int, leaf: int, beside: int, groups: np.ndarray | None = None):
+        self.values, self.near, self.leaf, self.beside, self.groups = values, near, leaf, beside, groups
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.open: list[np.ndarray] = []
+
+    def meet_neighbours(self, a: int, b: int) -> None:
+        """Each row with the most similar of the rows next to it on either side."""
+        n = b - a
+        equal = np.zeros((self.beside, n), np.int16)  # with the row so many further on
+        for s in range(1, min(self.beside, n - 1) + 1):
+            for k in range(a, b - s, 8192):
+                end = min(k + 8192, b - s)
+                equal[s - 1, k - a:end - a] = (self.values[k:end] == self.values[k + s:end + s]).sum(axis=1)
+        step = equal.argmax(axis=0) + 1
+        rows = np.arange(n)
+        pairs = [(rows, rows + step, equal[step - 1, rows])]
+        behind = np.zeros_like(equal)
+        for s in range(1, min(self.beside, n - 1) + 1):
+            behind[s - 1, s:] = equal[s - 1, :n - s]
+        step = behind.argmax(axis=0) + 1
+        pairs.append((rows - step, rows, behind[step - 1, rows]))
+        for i, j, e in pairs:
+            hit = np.flatnonzero(e >= self.near)
+            for x, y, z in zip((a + i[hit]).tolist(), (a + j[hit]).tolist(), e[hit].tolist()):
+                self.pairs[(x, y)] = z
 
     def search(self, a: int, b: int, depth: int) -> None:
         """Rows a to b, which share ``depth`` values."""
@@ -135,96 +171,154 @@ class Stretch:
             return
         if b - a <= self.leaf:
             return self.compare(a, b)
-        for s in range(1, self.beside + 1) if depth == PREFIX else ():
-            equal = np.concatenate([
-                (self.values[k:min(k + 8192, b - s)] == self.values[k + s:min(k + 8192, b - s) + s]).sum(axis=1)
-                for k in range(a, b - s, 8192)])
-            hit = np.flatnonzero(equal >= self.near)
-            self.add(a + hit, a + hit + s, equal[hit])
-        if depth == VALUES:
+        if self.groups is None and depth == PREFIX:
+            self.meet_neighbours(a, b)
+        if depth == VALUES:  # equal signatures: any cut will do
+            for k in range(a, b, self.leaf):
+                self.compare(k, min(b, k + self.leaf))
             return
         cut = np.flatnonzero(self.values[a + 1:b, depth] != self.values[a:b - 1, depth]) + a + 1
         for x, y in zip([a, *cut.tolist()], [*cut.tolist(), b]):
             self.search(x, y, depth + 1)
 
     def compare(self, a: int, b: int) -> None:
-        """All rows a to b with each other: a forest of the most similar pairs, and each row's
-        most similar partners outside its sure group."""
+        """All rows a to b with each other."""
         own, n = self.values[a:b], b - a
+        if self.groups is not None and (self.groups[a:b] == self.groups[a]).all():
+            return
         equal = np.empty((n, n), np.int16)
         for k in range(0, n, 64):
             equal[k:k + 64] = (own[k:k + 64, None, :] == own[None, :, :]).sum(axis=2)
-        np.fill_diagonal(equal, -1)
-        if n > 2:
-            best, parent = equal[0].copy(), np.zeros(n, np.int64)
-            inside = np.zeros(n, bool)
-            inside[0], group, left = True, np.zeros(n, np.int64), n
-            for _ in range(n - 1):  # the forest grows by the most similar row outside
-                k = int(np.where(inside, -2, best).argmax())
-                inside[k] = True
-                if best[k] >= self.near:
-                    self.add(a + np.array([min(k, parent[k])]), a + np.array([max(k, parent[k])]),
-                             best[k:k + 1])
-                group[k] = group[parent[k]] if best[k] >= self.sure else k
-                closer = ~inside & (equal[k] > best)
-                best[closer], parent[closer] = equal[k][closer], k
-            equal[group[:, None] == group[None, :]] = -1
-        top = np.argpartition(-equal, min(self.partners, n) - 1, axis=1)[:, :self.partners]
-        at = np.arange(n)[:, None]
-        i, k = np.nonzero(equal[at, top] >= self.near)
-        j = top[i, k]
-        self.add(a + np.minimum(i, j), a + np.maximum(i, j), equal[i, j])
-
-
-def candidates(rows: DataFrame, near: int, leaf: int, beside: int, partners: int) -> DataFrame:
-    """Candidate pairs (a, b, equal), a < b, of rows (order, region, key, node)."""
-    most = 16 * leaf
-
-    def run(batches):
-        names: list[bytes] = []
-        regions: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-
-        def flush(final: bool):
-            """Pairs of the regions that are complete; of an endless one the part read so far."""
-            region, value = np.concatenate(regions), np.concatenate(values)
-            cut = np.flatnonzero(region[1:] != region[:-1]) + 1
-            edges = [0, *cut.tolist(), len(region)]
-            stop, rest = len(edges) - 1, len(region)
-            if not final:
-                stop, rest = len(edges) - 2, edges[-2]
-                if len(region) - rest > most:
-                    stop, rest = len(edges) - 1, max(rest, len(region) - beside)
-            stretch = Stretch(value, near, leaf, beside, partners)
-            for x, y in zip(edges[:stop], edges[1:stop + 1]):
-                stretch.search(x, y, PREFIX)
-            found = [(*sorted((names[i], names[j])), e) for (i, j), e in stretch.found.items()]
-            a, b, e = zip(*found) if found else ((), (), ())
-            regions[:], values[:], names[:] = [region[rest:]], [value[rest:]], names[rest:]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(e, pa.int32())],
-                ["a", "b", "equal"])
-
-        held = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            names += batch.column(2).to_pylist()
-            regions.append(batch.column(0).to_numpy())
-            values.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES))
-            held += len(batch)
-            if held >= most:
-                yield flush(False)
-                held = len(names)
-        if names:
-            yield flush(True)
-
-    ordered = rows.repartitionByRange("order", "region", "key", "node").sortWithinPartitions(
-        "order", "region", "key", "node").select("region", "key", "node")
-    pairs = ordered.mapInArrow(run, "a binary, b binary, equal int")
+        if self.groups is not None:
+            apart = (equal >= self.near) & (self.groups[a:b, None] != self.groups[None, a:b])
+            if apart.any():
+                self.open.append(a + np.flatnonzero(apart.any(axis=1)))
+            return
+        best, parent, inside = equal[0].copy(), np.zeros(n, np.int64), np.zeros(n, bool)
+        inside[0] = True
+        for _ in range(n - 1):  # the span grows by the most similar row outside
+            k = int(np.where(inside, -1, best).argmax())
+            inside[k] = True
+            if best[k] >= self.near:
+                x, y = sorted((a + k, a + int(parent[k])))
+                self.pairs[(x, y)] = int(best[k])
+            closer = ~inside & (equal[k] > best)
+            best[closer], parent[closer] = equal[k][closer], k
+
+
+def stretches(batches, most: int, beside: int, build):
+    """Sorted rows (region, key, ...) as ``build`` wants them: regions that are complete, of an
+    endless one the part read so far."""
+    held: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        if held.num_rows < most:
+            continue
+        region = held.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
+        stop, rest = len(edges) - 2, edges[-2]
+        if len(region) - rest > most:
+            stop, rest = len(edges) - 1, max(rest, len(region) - beside)
+        if stop:
+            yield build(held, edges[:stop + 1])
+        held = held.slice(rest).combine_chunks()
+    if held is not None and held.num_rows:
+        region = held.column(0).to_numpy()
+        yield build(held, [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)])
+
+
+def values_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
+
+
+def in_order(rows: DataFrame, *more: str) -> DataFrame:
+    columns = ("order", "region", "key", "node")
+    return rows.repartitionByRange(*columns).sortWithinPartitions(*columns).select("region", "key", "node", *more)
+
+
+def candidates(rows: DataFrame, near: int, leaf: int, beside: int) -> DataFrame:
+    """Pairs (a, b, equal), a < b, that span the leaves, and neighbours of larger regions."""
+    def build(table, edges):
+        stretch = Stretch(values_of(table), near, leaf, beside)
+        for x, y in zip(edges, edges[1:]):
+            stretch.search(x, y, PREFIX)
+        names = table.column(2).to_pylist()
+        found = [(*sorted((names[i], names[j])), e) for (i, j), e in stretch.pairs.items()]
+        a, b, e = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(e, pa.int32())], ["a", "b", "equal"])
+
+    pairs = in_order(rows).mapInArrow(lambda batches: stretches(batches, 16 * leaf, beside, build),
+                                      "a binary, b binary, equal int")
     return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
+def open_leaves(rows: DataFrame, near: int, leaf: int, beside: int) -> DataFrame:
+    """(leaf, node) of the rows with a likely pair whose ends are in different groups; a
+    leaf is named by its rows."""
+    def build(table, edges):
+        _, groups = np.unique(np.array([g.hex() for g in table.column(3).to_pylist()]), return_inverse=True)
+        stretch = Stretch(values_of(table), near, leaf, beside, groups)
+        for x, y in zip(edges, edges[1:]):
+            stretch.search(x, y, PREFIX)
+        names = table.column(2).to_pylist()
+        leaves, nodes = [], []
+        for at in stretch.open:
+            own = [names[i] for i in at]
+            leaves += [xxhash.xxh3_128_digest(b"".join(sorted(own)))] * len(own)
+            nodes += own
+        return pa.RecordBatch.from_arrays([pa.array(leaves, pa.binary()), pa.array(nodes, pa.binary())],
+                                          ["leaf", "node"])
+
+    found = in_order(rows, "group").mapInArrow(lambda batches: stretches(batches, 16 * leaf, beside, build),
+                                               "leaf binary, node binary")
+    return found.distinct()  # the same rows may meet in several orders
+
+
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that span what is linked among some sets, all pairs measured."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, which = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(which, kind="stable")
+    which, row = which[order], row[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(0, len(names), 4096):
+        lo, hi = np.searchsorted(which, [k, k + 4096])
+        part = np.zeros((len(sets), min(4096, len(names) - k)), np.float32)
+        part[row[lo:hi], which[lo:hi] - k] = 1
+        both += (part @ part.T).astype(np.int64)  # at most 4,096, exact
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    out, seen = [], np.zeros(len(sets), bool)
+    for start in range(len(sets)):
+        if seen[start]:
+            continue
+        seen[start], going = True, [start]
+        while going:
+            k = going.pop()
+            for j in np.flatnonzero(linked[k] & ~seen).tolist():
+                seen[j] = True
+                out.append((k, j))
+                going.append(j)
+    return out
+
+
+def measured(leaves: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
+    """Links that span what is linked in each leaf."""
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("node").to_pylist()
+        lists = table.column("shingles").combine_chunks()
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        found = spanning_links([flat[x:y] for x, y in zip(offsets, offsets[1:])], percent)
+        pairs = [sorted((names[i], names[j])) for i, j in found]
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(a, pa.binary())],
+                        names=["a", "b", "least"])
+
+    return leaves.join(wholes, "node").groupBy("leaf").applyInArrow(run, "a binary, b binary, least binary")
+
+
 def forest_rows(distinct: DataFrame) -> DataFrame:
     """(order, region, key, node) of all sets that are not alone in the region: the order's own
     regions, and as the key the bytes of the signature from the order's first value on."""
@@ -254,7 +348,7 @@ def confirmed(pairs: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
 
 def minhash_components(
     docs: DataFrame, words: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    leaf: int = 512, beside: int = 8, partners: int = 8,
+    leaf: int = 512, beside: int = 8,
 ) -> DataFrame:
     """Near-duplicate class of every document: id, n_shingles (distinct shingles), component_id
     (the smallest id reachable over links) and kept (whether that is its own id).
@@ -268,13 +362,18 @@ def minhash_components(
     """
     table = kept(sets(docs, words, id_col, text_col), "sets")
     names = kept(table.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "names")
-    told = table.where("shingles IS NOT NULL")
-    distinct = kept(told.groupBy("node").agg(F.first("regions").alias("regions"), F.first("bytes").alias("bytes")),
-                    "distinct_sets")
-    pairs = kept(candidates(forest_rows(distinct), likely(percent / 100), leaf, beside, partners), "candidates")
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "asked")
-    wholes = kept(told.join(asked, F.col("node").eqNullSafe(F.col("asked")), "left_semi")
-                  .groupBy("node").agg(F.first("shingles").alias("shingles")), "whole_sets")
+    distinct = kept(
+        table.where("regions IS NOT NULL").groupBy("node")
+        .agg(*[F.min(c).alias(c) for c in ("regions", "bytes", "digest")]), "distinct_sets")
+    rows, near = kept(forest_rows(distinct), "crowded"), likely(percent / 100)
+    pairs = kept(candidates(rows, near, leaf, beside), "candidates")
+    asked = distinct.select("node", "digest").join(rows.select("node").distinct(), "node")
+    wholes = kept(whole_sets(docs, asked, words, text_col), "whole_sets")
+
+    def grouped(frame: DataFrame, node: str, links: DataFrame, name: str) -> DataFrame:
+        labels = links.withColumnsRenamed({"id": "labelled", "component_id": "label"})
+        joined = frame.join(labels, F.col(node).eqNullSafe(F.col("labelled")), "left")
+        return joined.withColumn(name, F.coalesce("label", node)).drop("labelled", "label")
 
     either = pairs.select("a", "b", "equal").union(pairs.select("b", "a", "equal"))
     closest = either.groupBy(F.col("a").alias("one")).agg(
@@ -282,11 +381,11 @@ def minhash_components(
         F.least("one", "best.b").alias("a"), F.greatest("one", "best.b").alias("b")).distinct()
     first = kept(confirmed(closest, wholes, percent), "first_links")
     group = components(first)
-    joined = (pairs.join(group.withColumnsRenamed({"id": "a", "component_id": "group_a"}), "a", "left")
-              .join(group.withColumnsRenamed({"id": "b", "component_id": "group_b"}), "b", "left"))
-    apart = F.coalesce("group_a", "a") != F.coalesce("group_b", "b")
-    second = confirmed(joined.where(apart).select("a", "b"), wholes, percent)
-    label = components(first.union(second))
+    joined = grouped(grouped(pairs, "a", group, "group_a"), "b", group, "group_b")
+    second = confirmed(joined.where("group_a != group_b").select("a", "b"), wholes, percent)
+    links = kept(first.union(second), "second_links")
+    leaves = open_leaves(grouped(rows, "node", components(links), "group"), near, leaf, beside)
+    label = components(links.union(measured(leaves, wholes, percent)))
 
     named = names.join(label.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "id", "n", F.coalesce("component_id", "node").alias("label"))

@@ -4,7 +4,9 @@ from .cohorts import cohort_by_year, flag_any_populated, placeholder_to_null
 from .completeness import breakdown, completeness, completeness_levels
 from .joins import (
     Tab,
+    check_fan_out,
     enrich,
+    fan_out,
     hot_keys,
     key_match_flags,
     left_join,
@@ -27,9 +29,9 @@ from .shares import frequency_table, share
 from .stats import describe_numeric, duration_weeks, mean_by
 
 __all__ = [
-    "Tab", "across", "breakdown", "cohort_by_year", "completeness", "completeness_levels",
+    "Tab", "across", "breakdown", "check_fan_out", "cohort_by_year", "completeness", "completeness_levels",
     "covers", "describe_numeric", "distinct_counts", "distinct_without", "duplicate_keys",
-    "duplicate_rows", "duration_weeks", "enrich", "families", "first_values",
+    "duplicate_rows", "duration_weeks", "enrich", "families", "fan_out", "first_values",
     "flag_any_populated", "frequency_table", "group_sizes", "hot_keys", "key_match_flags",
     "left_join", "literal_rate_by", "mean_by", "membership_flag", "placeholder_to_null",
     "predicate_rate", "predicate_rate_by", "pull", "reconcile", "rule_check", "settled", "share",

@@ -12,8 +12,9 @@ sharing the one it was made with, which could not be split.  When a key of a
 *joined* table is hot, a left join cannot be split.  ``enrich`` therefore takes
 hot keys out of both sides and joins them with an inner join, which can be split
 on both sides; a joined table that lacks one of these keys gets an empty row for
-it, so that the inner join keeps every base row.  The check is one aggregation
-over the key columns of the joined tables, run when ``enrich`` is called; if it
+it, so that the inner join keeps every base row.  Hot keys are sought when
+``enrich`` is called, by a sketch of frequent keys that every task builds before
+anything is shuffled; only the few keys it names are counted, exactly.  If it
 finds nothing, plain left joins are planned.  ``unique=True`` skips the check
 for tables known to have one row per key, and ``hot=`` hands in an earlier one.
 """
@@ -33,6 +34,14 @@ from ..functions import indicator, quoted
 _KEY = "__key"
 _MARK = "__mark"
 
+# A sketch has this many counters for each key that can be hot.  Its counts are off by less
+# than a quarter of a hot key's rows then, so it misses none.
+COUNTERS = 16
+# The most counters a sketch may have, which bounds ``share``.
+MOST_COUNTERS = 1_000_000
+# Sketches of tasks are merged in so many groups before they meet in one.
+SKETCH_GROUPS = 64
+
 Keys = Mapping[str, str] | Iterable[str] | str
 
 
@@ -73,10 +82,49 @@ def partitions(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, cols: Iterable[str], share: int | None = None) -> DataFrame:
     """Keys holding more than 1/share of the table's rows; there are always fewer
     than ``share`` of them.  By default that is the number of shuffle partitions,
-    so a key is hot when it has more rows than a partition has on average."""
-    counts = df.groupBy(key_struct(cols).alias(_KEY)).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    return counts.where(F.col("n") * (share or partitions(df)) > total).select(_KEY)
+    so a key is hot when it has more rows than a partition has on average.
+
+    A sketch finds the keys that may be hot in one read without a shuffle of keys; those,
+    four for each that can be at most, are counted exactly in a second read.
+    """
+    cols = list(cols)
+    found = hot_keys_of([(df, cols)], share)[0]
+    return df.select(key_struct(cols).alias(_KEY)).limit(0) if found is None else found
+
+
+def hot_keys_of(tables: list[tuple[DataFrame, list[str]]], share: int | None = None) -> list[DataFrame | None]:
+    """``hot_keys`` of several tables, sketched in one job; None for those that certainly have
+    none, which are not read again."""
+    share = min(share or partitions(tables[0][0]), MOST_COUNTERS // COUNTERS)
+    out = []
+    for (df, cols), (total, likely) in zip(tables, frequent_keys(tables, share)):
+        if not likely:
+            out.append(None)
+            continue
+        rows = df.select(key_struct(cols).alias(_KEY))
+        among = df.sparkSession.createDataFrame([(h,) for h in likely], "h long")
+        rows = rows.join(F.broadcast(among), F.xxhash64(_KEY) == F.col("h"), "left_semi")
+        counts = rows.groupBy(_KEY).agg(F.count("*").alias("n"))
+        out.append(counts.where(F.col("n") * share > F.lit(total)).select(_KEY))
+    return out
+
+
+def frequent_keys(tables: list[tuple[DataFrame, list[str]]], share: int) -> list[tuple[int, list[int]]]:
+    """Per table the number of rows, and hashes of keys among which are all that hold more
+    than 1/share of them."""
+    counters = max(64, COUNTERS * share)
+    sketches = reduce(DataFrame.union, [
+        df.select(F.xxhash64(key_struct(cols)).alias("h"), F.spark_partition_id().alias("part"))
+        .groupBy(F.lit(t).alias("t"), (F.col("part") % SKETCH_GROUPS).alias("part"))
+        .agg(F.expr(f"approx_top_k_accumulate(h, {counters})").alias("sketch"), F.count("*").alias("n"))
+        for t, (df, cols) in enumerate(tables)])
+    merged = sketches.groupBy("t").agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch), {counters // 4})").alias("items"),
+        F.sum("n").alias("n"))
+    rows = {r["t"]: r for r in merged.collect()}
+    # An estimate is never below the count.
+    return [(rows[t]["n"], [i["item"] for i in rows[t]["items"] if i["count"] * share > rows[t]["n"]])
+            if t in rows else (0, []) for t in range(len(tables))]
 
 
 def settled(hot: DataFrame) -> DataFrame:
@@ -187,7 +235,9 @@ def _widen(
         return joined.select(*out)
 
     checked = [s for s in sides if not s.unique]
-    found = [hot_keys(s.df, s.keys, share) if s.hot is None else s.hot for s in checked]
+    sought = [(s.df, s.keys) for s in checked if s.hot is None]
+    found = [s.hot for s in checked if s.hot is not None]
+    found += [hot for hot in (hot_keys_of(sought, share) if sought else ()) if hot is not None]
     keys_found = reduce(DataFrame.union, found).distinct().collect() if found else []
     if not keys_found:
         return chain(base, [(s, s.df, "left") for s in sides])
@@ -212,6 +262,37 @@ def _widen(
     return ordinary.unionByName(crowded)
 
 
+def fan_out(base: DataFrame, *tabs: Tab, match_nulls: bool = True) -> DataFrame:
+    """How many rows ``enrich`` would make of each combination of base keys: the keys,
+    base_rows and rows.  Works on key columns only, with one row per key of each tab,
+    so it costs far less than the join it foretells."""
+    keys = list(dict.fromkeys(k for tab in tabs for k in key_pairs(tab.on)))
+    out = base.groupBy(*[quoted(k) for k in keys]).agg(F.count("*").alias("base_rows"))
+    out = out.withColumn("rows", F.col("base_rows"))
+    for tab in tabs:
+        pairs = key_pairs(tab.on)
+        right = tab.df.withColumnsRenamed(dict(tab.renamed)) if tab.renamed else tab.df
+        if not match_nulls:
+            right = right.dropna("any", subset=[quoted(r) for r in pairs.values()])
+        matches = right.groupBy(*named_keys(pairs.values())).agg(F.count("*").alias(_MARK))
+        joined = out.join(matches, at_key(pairs), "left")
+        out = joined.select(*[quoted(k) for k in keys], "base_rows",
+                            (F.col("rows") * F.coalesce(_MARK, F.lit(1))).alias("rows"))
+    return out
+
+
+def check_fan_out(base: DataFrame, *tabs: Tab, limit: int, match_nulls: bool = True) -> int:
+    """The exact number of rows ``enrich`` would give; raises where it is beyond ``limit``, and
+    names the keys that make most of them."""
+    grown = fan_out(base, *tabs, match_nulls=match_nulls)
+    total = grown.agg(F.sum("rows")).first()[0] or 0
+    if total > limit:
+        worst = grown.orderBy(F.desc("rows"), *[c for c in grown.columns if c != "rows"]).limit(5).collect()
+        said = "; ".join(f"{tuple(r)[:-2]}: {r['rows']:,}" for r in worst)
+        raise ValueError(f"the join gives {total:,} rows, more than {limit:,}; most come from {said}")
+    return total
+
+
 def membership(df: DataFrame, other: DataFrame, on: Keys, name: str) -> DataFrame:
     """Add a boolean column: does the key occur in the other table?"""
     keys = key_pairs(on)

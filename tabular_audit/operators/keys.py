@@ -10,17 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cut_at, quoted
 from ..functions.fixed_values import PHASE_MARKERS
 from .joins import at_key, named_keys
 
-# Distinct counts of several columns in one aggregate expand every row once per
-# column; above this many columns the work is split into several aggregates.
-DISTINCT_COLUMNS_PER_PASS = 10
-
 
 def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "nrows") -> DataFrame:
     """Rows per key."""
@@ -49,23 +46,29 @@ def distinct_counts(
     df: DataFrame, cols: Sequence[str], count_null: bool = False
 ) -> DataFrame:
     """(column, num_distinct) for each column; with ``count_null`` a null counts
-    as one more value."""
-
-    def one_pass(part: Sequence[str]) -> DataFrame:
-        exprs = []
-        for i, c in enumerate(part):
-            n = F.count_distinct(F.col(quoted(c)))
-            if count_null:
-                n = n + F.coalesce(F.max(F.col(quoted(c)).isNull().cast("long")), F.lit(0))
-            exprs.append(n.alias(f"d{i}"))
-        row = df.agg(*exprs)
-        items = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("num_distinct"))
-                 for i, c in enumerate(part)]
-        return row.select(F.inline(F.array(*items)))
-
-    step = DISTINCT_COLUMNS_PER_PASS
-    parts = [cols[i:i + step] for i in range(0, len(cols), step)]
-    return reduce(DataFrame.unionByName, [one_pass(p) for p in parts])
+    as one more value.
+
+    All columns are counted in one read: a row becomes one (column, value) pair per column,
+    pairs are combined before the shuffle, and what is left is counted per column, again
+    combined first.  Values keep their types: columns of one type share a field of the pair.
+    """
+    kinds = list(dict.fromkeys(df.select(quoted(c)).schema[0].dataType for c in cols))
+    fields = [f"v{k}" for k in range(len(kinds))]
+
+    def pair(i: int, c: str) -> Column:
+        own = df.select(quoted(c)).schema[0].dataType
+        values = [(F.col(quoted(c)) if kind == own else F.lit(None).cast(kind)).alias(v)
+                  for v, kind in zip(fields, kinds)]
+        return F.struct(F.lit(i).alias("place"), *values)
+
+    pairs = df.select(F.inline(F.array(*[pair(i, c) for i, c in enumerate(cols)])))
+    distinct = pairs.groupBy("place", *fields).agg(F.lit(1).alias("one"))
+    if not count_null:
+        distinct = distinct.where(reduce(or_, [F.col(v).isNotNull() for v in fields]))
+    counts = distinct.groupBy("place").agg(F.count("*").alias("n"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, column string")
+    joined = names.join(counts, F.col("at") == F.col("place"), "left")
+    return joined.select("column", F.coalesce("n", F.lit(0)).cast("long").alias("num_distinct"))
 
 
 def families(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import column, percentage, quoted
-from .joins import _KEY, key_struct
+from .joins import at_key, named_keys
 
 
 def frequency_table(df: DataFrame, col: str, name: str = "n") -> DataFrame:
@@ -27,8 +27,9 @@ def share(
     ``within``, of the group it lies in.
 
     ``drop_null`` first removes rows with a null in any of the columns.  Totals
-    are summed from the counts: a scalar for the whole table, and a join on the
-    group key for ``within``, which copes with groups of many values.
+    are summed from the counts: a scalar for the whole table, and for ``within`` a join on
+    the group's columns.  A group of many values sends one partial sum per task to its total, and
+    the totals have a shuffle of their own, so that its counts can be split in the join.
     """
     groups = [column(w) for w in within]
     values = [column(c) for c in cols]
@@ -38,8 +39,8 @@ def share(
             rows = rows.where(c.isNotNull())
     counts = rows.groupBy(*groups, *values).agg(F.count("*").alias("n"))
     if within:
-        totals = counts.groupBy(key_struct(within).alias(_KEY)).agg(F.sum("n").alias("total"))
-        out = counts.join(totals, key_struct(within) == F.col(_KEY), "left").drop(_KEY)
+        totals = counts.groupBy(*named_keys(within)).agg(F.sum("n").alias("total"))
+        out = counts.join(totals, at_key(within), "left").select(*[quoted(c) for c in counts.columns], "total")
     else:
         out = counts.withColumn("total", counts.agg(F.sum("n").alias("n")).scalar())
     out = out.withColumn("pct", percentage("n", "total"))

@@ -46,6 +46,7 @@ from ..operators import (
     first_values,
     frequency_table,
     group_sizes,
+    check_fan_out,
     hot_keys,
     key_match_flags,
     literal_rate_by,
@@ -114,22 +115,31 @@ _TAB_KEY = {"Id": "ProjectId", "ProjectNo": "ProjectNo"}
 _TYPE_KEY = {"Id": "PROJECT_ID", "ProjectNo": "PROJECT_NUMBER"}
 
 
-def wide_report(p: Portfolio, projects: DataFrame | None = None) -> DataFrame:
+def wide_tabs(p: Portfolio) -> list[Tab]:
+    """What the wide report joins to the projects."""
+    return [
+        Tab(p.projects_detail, _TAB_KEY, renamed={"IsActive": "IsActive_detail"}),
+        Tab(p.projects_metric, _TAB_KEY, renamed={"IsActive": "IsActive_metric"}),
+        Tab(p.finance_detail, _TAB_KEY, renamed={"ContractAmount": "ContractAmount_finance"}),
+        Tab(p.project_type, _TYPE_KEY, columns=("PROJECT_TYPE_PROJECT_TYPE_ID",)),
+    ]
+
+
+def wide_report(
+    p: Portfolio, projects: DataFrame | None = None, limit: int | None = None
+) -> DataFrame:
     """All tabs side by side, lead names as entered; a project with several rows
-    in a tab fans out.  ``projects`` replaces the project table."""
+    in a tab fans out.  ``projects`` replaces the project table.  With ``limit`` the
+    number of rows is worked out first, and more than that raises."""
     code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
     # The flag depends on the number alone, so it is set before tabs multiply the rows.
     flagged = membership_flag(
         distinct_without(p.projects if projects is None else projects, *COORDINATES),
         p.market_facilitation, {"ProjectNo": "Agreement Number"}, flag,
     )
-    tabs = enrich(
-        flagged,
-        Tab(p.projects_detail, _TAB_KEY, renamed={"IsActive": "IsActive_detail"}),
-        Tab(p.projects_metric, _TAB_KEY, renamed={"IsActive": "IsActive_metric"}),
-        Tab(p.finance_detail, _TAB_KEY, renamed={"ContractAmount": "ContractAmount_finance"}),
-        Tab(p.project_type, _TYPE_KEY, columns=(code,)),
-    )
+    if limit is not None:
+        check_fan_out(flagged, *wide_tabs(p), limit=limit)
+    tabs = enrich(flagged, *wide_tabs(p))
     rest = [c for c in tabs.columns if c not in (code, flag)]
     return tabs.select(*rest, flag, label_codes(code).alias(code))
 

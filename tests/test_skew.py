@@ -5,16 +5,21 @@ from pyspark.sql import functions as F
 
 from tabular_audit.operators import (
     Tab,
+    check_fan_out,
+    distinct_counts,
     duplicate_rows,
     enrich,
     families,
+    fan_out,
     hot_keys,
     key_match_flags,
     left_join,
     membership_flag,
+    share,
     unmatched,
     with_group_size,
 )
+from tabular_audit.operators.joins import frequent_keys, hot_keys_of, key_struct
 
 LINEITEM = "/root/testdata/sf0.01/lineitem.parquet"
 SMALL = {
@@ -23,6 +28,7 @@ SMALL = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k",
     "spark.sql.files.openCostInBytes": "64m",  # a task per file
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
 
@@ -133,3 +139,95 @@ def test_hot_key_in_membership(spark, small_partitions, crowded):
     late = {r[0] for r in crowded.where(LATE).select("k").distinct().collect()}
     per_key = flagged.groupBy("k").agg(F.min("late"), F.max("late")).collect()
     assert all(low == high == int(k in late) for k, low, high in per_key)
+
+
+# ---------------------------------------------------------------- frequent keys by sketch
+
+def counted_keys(df, cols, share):
+    """Keys with more than 1/share of the rows, by counting all."""
+    counts = df.groupBy(key_struct(cols).alias("key")).count()
+    total = df.count()
+    return {tuple(r["key"]) for r in counts.collect() if r["count"] * share > total}
+
+
+@pytest.mark.parametrize("share", [3, 40, 500, 4000])
+def test_sketch_finds_the_keys_that_counting_finds(spark, crowded, share):
+    skewed = crowded.select(
+        F.when(F.col("k") > 0, F.floor(F.log2("k") * 40).cast("long")).otherwise(F.col("k")).alias("k"),
+        F.nullif("l_linenumber", F.lit(7)).alias("line")).repartition(24)
+    for cols in (["k"], ["k", "line"], ["line"]):
+        found = {tuple(r[0]) for r in hot_keys(skewed, cols, share).collect()}
+        assert found == counted_keys(skewed, cols, share)
+    assert hot_keys(skewed.limit(0), ["k"], share).count() == 0
+
+
+def test_keys_near_the_bound(spark):
+    """Rows so dealt that keys lie just above, at and below the bound, among many rare keys."""
+    rows = spark.range(0, 40_000, 1, 16).selectExpr(
+        "CASE WHEN id < 401 THEN -1 WHEN id < 801 THEN -2 WHEN id < 1200 THEN -3 ELSE id END AS k").repartition(16)
+    assert [r[0][0] for r in hot_keys(rows, ["k"], 100).collect()] == [-1]
+
+
+def test_sketch_shuffles_no_keys(spark, crowded):
+    """What is shuffled to find hot keys is a sketch per group of tasks, and a few counts."""
+    total, likely = frequent_keys([(crowded, ["l_orderkey"])], 100)[0]
+    assert total == crowded.count() and likely == []
+    assert hot_keys_of([(crowded, ["l_orderkey"]), (crowded, ["k"])], 100)[0] is None
+    plan = executed_plan(hot_keys(crowded, ["k"], 100))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+# ---------------------------------------------------------------- counts in one read
+
+def test_many_columns_are_counted_in_one_read(spark):
+    lines = spark.read.parquet(LINEITEM)
+    wide = lines.select("*", *[(F.col("l_orderkey") % k).alias(f"k{k}") for k in range(2, 16)])
+    out = distinct_counts(wide, wide.columns)
+    plan = executed_plan(out).split("== Initial Plan ==")[0]
+    assert len(wide.columns) == 25 and plan.count("Scan parquet") == 1
+    want = wide.agg(*[F.count_distinct(c).alias(c) for c in wide.columns]).first().asDict()
+    assert {r["column"]: r["num_distinct"] for r in out.collect()} == want
+
+
+def test_distinct_values_of_odd_columns(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame(
+        [(0.0, None, "a", [1], 1), (-0.0, None, None, [1, 2], 1), (nan, None, "", None, 1), (nan, None, "a", [1], 1)],
+        "d double, n string, `t.x` string, l array<int>, place int")
+    columns = ["d", "n", "t.x", "l", "place"]
+    for count_null, want in ((False, [2, 0, 2, 2, 1]), (True, [2, 1, 3, 3, 1])):
+        found = {r["column"]: r["num_distinct"] for r in distinct_counts(rows, columns, count_null).collect()}
+        assert found == dict(zip(columns, want))
+        empty = distinct_counts(rows.limit(0), columns, count_null).collect()
+        assert {r["num_distinct"] for r in empty} == {0} and len(empty) == 5
+
+
+# ---------------------------------------------------------------- shares and fan-out
+
+def test_share_within_a_hot_group_is_split(spark, small_partitions, crowded):
+    for name in ("skewJoin.skewedPartitionThresholdInBytes", "advisoryPartitionSizeInBytes"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "8k")  # counts are small
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # what one task writes cannot be split
+    rows = crowded.withColumn("g", F.when(F.col("k") == -1, F.lit(None)).otherwise(F.col("k") % 50))
+    out = share(rows, ["l_orderkey", "l_linenumber"], within=["g"], with_total=True)
+    assert "skew=true" in executed_plan(out)
+    hot = out.where("g IS NULL").agg(F.sum("n"), F.min("total"), F.max("total"), F.round(F.sum("pct"), 6)).first()
+    n = crowded.where("k = -1").count()
+    assert tuple(hot) == (n, n, n, 100.0)
+
+
+def test_fan_out_foretells_the_join(spark):
+    base = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, "x", "c"), (None, "x", "d")],
+                                 "id int, no string, v string")
+    one = spark.createDataFrame([(1, None), (1, None), (1, "x"), (2, "x"), (None, "x")], "k int, l string")
+    two = spark.createDataFrame([("x", 1), ("x", 2), (None, 3), (None, 4), (None, 5)], "no string, w int")
+    tabs = [Tab(one, {"id": "k", "no": "l"}), Tab(two, "no")]
+    for nulls in (True, False):
+        joined = enrich(base, *tabs, match_nulls=nulls)
+        want = {(r["id"], r["no"]): r["count"] for r in joined.groupBy("id", "no").count().collect()}
+        grown = fan_out(base, *tabs, match_nulls=nulls).collect()
+        assert {(r["id"], r["no"]): r["rows"] for r in grown} == want
+        assert check_fan_out(base, *tabs, limit=100, match_nulls=nulls) == joined.count()
+    with pytest.raises(ValueError, match=r"16 rows, more than 15; most come from \(1, None\): 12"):
+        check_fan_out(base, *tabs, limit=15)
+    assert check_fan_out(base.limit(0), *tabs, limit=0) == 0

@@ -30,8 +30,10 @@ ROUNDS = 8  # even, so that the halves end where they began
 DAYS = (250, 292)  # the number of days is their product
 FIRST_DAY = "1900-01-01"
 
+# A name has labels of at most 63 letters and at most 126 of them before the last; the bounds
+# also keep Java's recursive matching of repeated groups shallow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
               r"[\"']?[A-Za-z0-9_/+-]{8,}[\"']?|(?<![A-Za-z0-9])(?i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2})|(?![\w/-]))|\d{1,2}/\d{1,2}/\d{4}(?![\w/-])"
@@ -188,22 +190,20 @@ def ip(value: Column, key: str) -> Column:
     return F.when(F.forall(part, lambda v: v < 256), new).otherwise(value)
 
 
-def after(value: Column, kept_part: str, key: str, tweak: str, letters: int = 26) -> Column:
-    """The permutation of what follows the part that matches at the start."""
-    head = F.regexp_extract(value, kept_part, 0)
-    rest = F.substring(value, F.length(head) + 1, F.length(value))
-    return F.concat(head, permuted(rest, key, tweak, letters))
-
-
 def email(value: Column, key: str) -> Column:
     tail = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     return F.concat(permuted(F.substring(value, F.lit(1), F.length(value) - F.length(tail)), key, "email"), tail)
 
 
 def secret(value: Column, key: str) -> Column:
-    head = r"^(?:[^=:]*[=:]\s*[\"']?|(?i:AKIA))"
-    is_hex = F.regexp_replace(value, head, "").rlike(r"^[0-9a-fA-F]+[\"']?$")
-    return F.when(is_hex, after(value, head, key, "secret", 6)).otherwise(after(value, head, key, "secret"))
+    """Name, quotes and AKIA stay; the bare secret is permuted, so it has one pseudonym however
+    it is introduced."""
+    head = F.regexp_extract(value, r"^(?:[^=:]*[=:]\s*[\"']?)?(?:(?i:AKIA)(?=[0-9A-Za-z]{16}[\"']?$))?", 0)
+    tail = F.regexp_extract(value, r"[\"']?$", 0)
+    bare = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
+    is_hex = bare.rlike("^[0-9a-fA-F]+$")
+    new = F.when(is_hex, permuted(bare, key, "secret", 6)).otherwise(permuted(bare, key, "secret"))
+    return F.concat(head, new, tail)
 
 
 def pseudonym(value: Column, key: str) -> Column:

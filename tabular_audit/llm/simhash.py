@@ -225,15 +225,18 @@ def simhash_components(
 
     A text of fewer words than a shingle is hashed as a whole; null, empty and blank texts
     have fingerprint zero and are linked like any other.  Equal texts share a fingerprint
-    and so a component.  Repeated rows stay; ids must be orderable.  A row without id takes the
-    component of an equal fingerprint that has one, else null.  Other columns are not read.  Copies are
-    one row per fingerprint before anything is compared.
+    and so a component.  Repeated rows stay; ids must be orderable.  Fingerprints are what is linked, so a row
+    without id links others; a component without any id has component_id null.  Other columns are not
+    read.  Copies are one row per fingerprint before anything is compared.
     """
     table = kept(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = kept(table.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "distinct")
-    linked = components(links(distinct.where("id IS NOT NULL"), bits, shard_size, sample))
-    named = kept(distinct.join(linked, "id", "left").select(
-        "fp", F.coalesce("component_id", "id").alias("component_id")), "named")
+    distinct = kept(table.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    nodes = distinct.select(F.col("fp").alias("id"), "fp")
+    linked = components(links(nodes, bits, shard_size, sample)).withColumnRenamed("id", "node")
+    placed = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
+        "fp", "id", F.coalesce("component_id", "fp").alias("label"))
+    least = placed.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = kept(placed.join(least, "label").select("fp", "component_id"), "named")
     return table.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -31,14 +31,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id stays.  Rows of
-    one id are one document; rows without an id cannot be told apart and all stay."""
+    """Of each near-duplicate component one row stays: that with the smallest id, rows without
+    id last, and among rows of one id the one with the least hash of all its columns.  So two different texts
+    under one id both stay, and a rerun keeps the same rows."""
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    groups = simhash_components(docs.where(F.col("doc_id").isNotNull()), words=3, bits=3)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    one = docs.join(kept(first.distinct(), "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"))
+    docs = docs.select(*COLUMNS).withColumn("row_key", key)
+    groups = simhash_components(docs, words=3, bits=3, id_col="row_key")
+    first = groups.where(F.col("row_key") == F.col("component_id")).select("row_key")
+    one = docs.join(kept(first.distinct(), "first"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return one.select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

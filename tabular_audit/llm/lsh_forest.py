@@ -14,8 +14,8 @@ Signatures estimate the similarity, whole sets confirm it, in three steps that n
 pairs of a leaf.  First each set's most similar partner is confirmed, then the pairs that
 span each leaf with the most similar ones, where the first step has not joined their ends.  Leaves in which likely pairs
 still lie apart are then measured exactly, by products of incidence matrices
-over the whole sets of the rows concerned, and give links that span what is linked in
-them.  Equal sets are one from the start.  Whole sets are not kept: those asked for are made again
+over the whole sets of the rows concerned, and give links between groups.  From step to step
+rows are named by their group, and only links between groups are followed.  Equal sets are one from the start.  Whole sets are not kept: those asked for are made again
 from one of their texts, found by its SHA-256 among the texts with copies collapsed.
 
 A pair of similarity 0.8 shares a region in none of 16 orders with probability (1 - 0.8**3)**16, that is 0.00001, and its
@@ -255,7 +255,7 @@ def candidates(rows: DataFrame, near: int, leaf: int, beside: int) -> DataFrame:
 
 
 def open_leaves(rows: DataFrame, near: int, leaf: int, beside: int) -> DataFrame:
-    """(leaf, node) of the rows with a likely pair whose ends are in different groups; a
+    """(leaf, node, group) of the rows with a likely pair whose ends are in different groups; a
     leaf is named by its rows."""
     def build(table, edges):
         _, groups = np.unique(np.array([g.hex() for g in table.column(3).to_pylist()]), return_inverse=True)
@@ -263,21 +263,21 @@ def open_leaves(rows: DataFrame, near: int, leaf: int, beside: int) -> DataFrame
         for x, y in zip(edges, edges[1:]):
             stretch.search(x, y, PREFIX)
         names = table.column(2).to_pylist()
-        leaves, nodes = [], []
+        leaves = []
         for at in stretch.open:
-            own = [names[i] for i in at]
-            leaves += [xxhash.xxh3_128_digest(b"".join(sorted(own)))] * len(own)
-            nodes += own
-        return pa.RecordBatch.from_arrays([pa.array(leaves, pa.binary()), pa.array(nodes, pa.binary())],
-                                          ["leaf", "node"])
+            leaves += [xxhash.xxh3_128_digest(b"".join(sorted(names[i] for i in at)))] * len(at)
+        rows = pa.array(np.concatenate([*stretch.open, np.zeros(0, np.int64)]), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(leaves, pa.binary()), *(table.column(k).combine_chunks().take(rows) for k in (2, 3))],
+            ["leaf", "node", "group"])
 
     found = in_order(rows, "group").mapInArrow(lambda batches: stretches(batches, 16 * leaf, beside, build),
-                                               "leaf binary, node binary")
+                                               "leaf binary, node binary, group binary")
     return found.distinct()  # the same rows may meet in several orders
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span what is linked among some sets, all pairs measured."""
+def spanning_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that span which groups of some sets are linked, all pairs measured; groups are numbered from 0."""
     sizes = np.array([len(s) for s in sets], np.int64)
     names, which = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -289,34 +289,38 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
         part = np.zeros((len(sets), min(4096, len(names) - k)), np.float32)
         part[row[lo:hi], which[lo:hi] - k] = 1
         both += (part @ part.T).astype(np.int64)  # at most 4,096, exact
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    out, seen = [], np.zeros(len(sets), bool)
-    for start in range(len(sets)):
+    i, j = np.nonzero(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    count = int(groups.max()) + 1
+    linked = np.zeros((count, count), bool)
+    linked[groups[i], groups[j]] = True
+    out, seen = [], np.zeros(count, bool)
+    for start in range(count):
         if seen[start]:
             continue
         seen[start], going = True, [start]
         while going:
             k = going.pop()
-            for j in np.flatnonzero(linked[k] & ~seen).tolist():
-                seen[j] = True
-                out.append((k, j))
-                going.append(j)
+            for g in np.flatnonzero(linked[k] & ~seen).tolist():
+                seen[g] = True
+                out.append((k, g))
+                going.append(g)
     return out
 
 
 def measured(leaves: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
-    """Links that span what is linked in each leaf."""
+    """Links (a, b, least) between groups that are linked in a leaf."""
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("node").to_pylist()
+        names, groups = np.unique(np.array(table.column("group").to_pylist(), object), return_inverse=True)
         lists = table.column("shingles").combine_chunks()
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        found = spanning_links([flat[x:y] for x, y in zip(offsets, offsets[1:])], percent)
+        found = spanning_links([flat[x:y] for x, y in zip(offsets, offsets[1:])], groups, percent)
         pairs = [sorted((names[i], names[j])) for i, j in found]
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(a, pa.binary())],
                         names=["a", "b", "least"])
 
-    return leaves.join(wholes, "node").groupBy("leaf").applyInArrow(run, "a binary, b binary, least binary")
+    found = leaves.join(wholes, "node").groupBy("leaf").applyInArrow(run, "a binary, b binary, least binary")
+    return found.distinct()
 
 
 def forest_rows(distinct: DataFrame) -> DataFrame:
@@ -334,7 +338,7 @@ def forest_rows(distinct: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough, as links."""
+    """The pairs whose whole sets are similar enough, with their other columns."""
     def side(name):
         return wholes.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"),
                              F.size("shingles").cast("long").alias(f"n_{name}"))
@@ -343,7 +347,7 @@ def confirmed(pairs: DataFrame, wholes: DataFrame, percent: int) -> DataFrame:
     size = pairs.join(side("a"), "a").join(side("b"), "b").where(able)
     size = size.withColumn("both", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
     linked = size.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-    return linked.select("a", "b", F.col("a").alias("least"))
+    return linked.select(*pairs.columns)
 
 
 def minhash_components(
@@ -370,25 +374,27 @@ def minhash_components(
     asked = distinct.select("node", "digest").join(rows.select("node").distinct(), "node")
     wholes = kept(whole_sets(docs, asked, words, text_col), "whole_sets")
 
-    def grouped(frame: DataFrame, node: str, links: DataFrame, name: str) -> DataFrame:
-        labels = links.withColumnsRenamed({"id": "labelled", "component_id": "label"})
-        joined = frame.join(labels, F.col(node).eqNullSafe(F.col("labelled")), "left")
-        return joined.withColumn(name, F.coalesce("label", node)).drop("labelled", "label")
+    def grouped(frame: DataFrame, name: str, labels: DataFrame, new: str) -> DataFrame:
+        """With the group of what ``name`` holds, itself if it has none."""
+        found = labels.withColumnsRenamed({"id": "_of", "component_id": "_group"})
+        joined = frame.join(found, F.col(name).eqNullSafe(F.col("_of")), "left")
+        return joined.withColumn(new, F.coalesce("_group", name)).drop("_of", "_group")
+
+    def links(frame: DataFrame, a: str, b: str) -> DataFrame:
+        pair = frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return pair.withColumn("least", F.col("a"))
 
     either = pairs.select("a", "b", "equal").union(pairs.select("b", "a", "equal"))
-    closest = either.groupBy(F.col("a").alias("one")).agg(
-        F.max(F.struct("equal", "b")).alias("best")).select(
-        F.least("one", "best.b").alias("a"), F.greatest("one", "best.b").alias("b")).distinct()
-    first = kept(confirmed(closest, wholes, percent), "first_links")
-    group = components(first)
-    joined = grouped(grouped(pairs, "a", group, "group_a"), "b", group, "group_b")
-    second = confirmed(joined.where("group_a != group_b").select("a", "b"), wholes, percent)
-    links = kept(first.union(second), "second_links")
-    leaves = open_leaves(grouped(rows, "node", components(links), "group"), near, leaf, beside)
-    label = components(links.union(measured(leaves, wholes, percent)))
-
-    named = names.join(label.withColumnRenamed("id", "node"), "node", "left").select(
-        "node", "id", "n", F.coalesce("component_id", "node").alias("label"))
+    closest = links(either.groupBy(F.col("a").alias("one")).agg(
+        F.max(F.struct("equal", "b")).alias("best")), "one", "best.b").drop("least")
+    one = components(links(confirmed(closest, wholes, percent), "a", "b"))
+    joined = grouped(grouped(pairs, "a", one, "group_a"), "b", one, "group_b")
+    second = confirmed(joined.where("group_a != group_b").select("a", "b", "group_a", "group_b"), wholes, percent)
+    two = components(links(second, "group_a", "group_b"))
+    leaves = open_leaves(grouped(grouped(rows, "node", one, "group"), "group", two, "group"), near, leaf, beside)
+    three = components(measured(leaves, wholes, percent))
+
+    named = grouped(grouped(grouped(names, "node", one, "label"), "label", two, "label"), "label", three, "label")
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     classes = kept(named.join(smallest, "label").select("node", "component_id"), "classes")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))

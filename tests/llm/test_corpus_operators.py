@@ -312,12 +312,14 @@ def test_links_span_what_is_linked():
     sets += [np.unique(rng.choice(10 ** 6, 5000)) for _ in range(3)]
     linked = {(i, j) for i in range(12) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j]))
               >= 80 * len(np.union1d(sets[i], sets[j]))}
-    found = {tuple(sorted(p, reverse=True)) for p in lsh_forest.spanning_links(sets, 80)}
-    assert found <= linked and 3 < len(found) < len(linked)
-    label = list(range(12))
-    for i, j in found:
-        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
-    assert all(label[i] == label[j] for i, j in linked)
+    for groups in (np.arange(12), np.array([0, 0, 0, 1, 2, 3, 3, 3, 3, 4, 5, 6])):
+        found = lsh_forest.spanning_links(sets, groups, 80)
+        between = {tuple(sorted((groups[i], groups[j]))) for i, j in linked if groups[i] != groups[j]}
+        assert {tuple(sorted(p)) for p in found} <= between and found
+        label = list(range(12))
+        for a, b in found:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        assert all(label[a] == label[b] for a, b in between)
 
 
 # ---------------------------------------------------------------- alignment

@@ -26,10 +26,11 @@ from .projections import across, distinct_without, first_values, pull
 from .rates import literal_rate_by, predicate_rate, predicate_rate_by, zero_rate
 from .reconcile import covers, reconcile, rule_check, verdict_summary, within_budget
 from .shares import frequency_table, share
+from .spellings import Spellings
 from .stats import describe_numeric, duration_weeks, mean_by
 
 __all__ = [
-    "Tab", "across", "breakdown", "check_fan_out", "cohort_by_year", "completeness", "completeness_levels",
+    "Spellings", "Tab", "across", "breakdown", "check_fan_out", "cohort_by_year", "completeness", "completeness_levels",
     "covers", "describe_numeric", "distinct_counts", "distinct_without", "duplicate_keys",
     "duplicate_rows", "duration_weeks", "enrich", "families", "fan_out", "first_values",
     "flag_any_populated", "frequency_table", "group_sizes", "hot_keys", "key_match_flags",

@@ -28,12 +28,22 @@ def cohort_by_year(
     df: DataFrame, flag: str, by: Sequence[str], date: str, year: str = "year"
 ) -> DataFrame:
     """Per group and year of a month-day-year text: n_with_flag, total,
-    percentage.  Groups without a flagged row are kept."""
-    return (
-        df.groupBy(*[quoted(b) for b in by], mdy_year(date).alias(year))
+    percentage.  Groups without a flagged row are kept.  Rows are counted by the
+    text first, so that each spelling of a group is read once."""
+    counted = (
+        df.groupBy(
+            *[F.col(quoted(b)).alias(f"group{i}") for i, b in enumerate(by)],
+            F.col(quoted(date)).alias("text"),
+        )
         .agg(
             F.count_if(F.col(quoted(flag)) == 1).alias("n_with_flag"),
             F.count("*").alias("total"),
         )
+    )
+    return (
+        counted.groupBy(
+            *[F.col(f"group{i}").alias(b) for i, b in enumerate(by)], mdy_year("text").alias(year)
+        )
+        .agg(F.sum("n_with_flag").alias("n_with_flag"), F.sum("total").alias("total"))
         .withColumn("percentage", percentage("n_with_flag", "total"))
     )

@@ -22,7 +22,6 @@ from ..functions import (
     any_populated,
     indicator,
     label_codes,
-    mdy_year,
     null_if_placeholder,
     one_of,
     parse_mdy,
@@ -31,6 +30,7 @@ from ..functions import (
 )
 from ..functions.fixed_values import SOLICITATION_WORD, STATUS_CLOSED, STATUSES_NOT_FINISHED
 from ..operators import (
+    Spellings,
     Tab,
     breakdown,
     cohort_by_year,
@@ -228,6 +228,16 @@ class Review:
     def ov(self) -> DataFrame:
         return self._kept(overview(self.p), "overview")
 
+    @cached_property
+    def _spellings(self) -> Spellings:
+        return Spellings.of(self.ov, [START, END])
+
+    def dated(self, rows: DataFrame, **cols: str) -> DataFrame:
+        """Add dates (new name = text column of the overview)."""
+        if self.keep:
+            return self._spellings.onto(rows, cols)
+        return rows.withColumns({new: parse_mdy(c) for new, c in cols.items()})
+
     @cached_property
     def _hot(self) -> DataFrame:
         """Hot keys of the overview, looked for once for all tabs."""
@@ -308,13 +318,13 @@ def _active_but_closed() -> Column:
 def _project_dates(r: Review) -> DataFrame:
     """Projects with both dates, parsed, with their years."""
     rows = pull(r.ov, all_populated(START, END), "ProjectName", ADMIN, START, END)
-    dated = rows.withColumns({"start_date": parse_mdy(START), "end_date": parse_mdy(END)})
+    dated = r.dated(rows, start_date=START, end_date=END)
     return dated.withColumns({"start_year": F.year("start_date"), "end_year": F.year("end_date")})
 
 
 def _unfinished(r: Review) -> DataFrame:
     rows = pull(r.ov, one_of("ProjectStatus", STATUSES_NOT_FINISHED))
-    return rows.withColumns({"start_date": parse_mdy(START), "start_year": mdy_year(START)})
+    return r.dated(rows, start_date=START).withColumn("start_year", F.year("start_date"))
 
 
 def _durations(r: Review) -> DataFrame:
@@ -444,7 +454,7 @@ FINANCE: Results = {
 
 def _metric_completeness(r: Review) -> DataFrame:
     """Overall, per administrator, and per administrator and start year."""
-    dated = r.metric_marks.withColumn("start_year", mdy_year(START))
+    dated = r.dated(r.metric_marks, start_year=START).withColumn("start_year", F.year("start_year"))
     out = completeness_levels(dated, METRIC_TEXTS, [(), (ADMIN,), (ADMIN, "start_year")])
     return out.where((F.col("level") < 2) | F.col("column").isin(list(METRIC_TEXTS_BY_YEAR)))
 

@@ -16,6 +16,7 @@ from ..functions import (
     recode,
 )
 from ..operators import (
+    Spellings,
     breakdown,
     cohort_by_year,
     completeness,
@@ -443,6 +444,22 @@ def pull_members(spark, d):
     return rows.select("o_orderkey", "priority", mdy_year("start_text").alias("start_year"))
 
 
+@query("""
+    WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 83 = 0 THEN 'soon'
+        WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%-m-%-d-%Y')
+        ELSE strftime(o_orderdate, '%B %-d, %Y') END AS written, o_orderdate FROM orders)
+    SELECT o_orderkey, written, CASE WHEN written IS NOT NULL AND written <> 'soon'
+        THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed FROM x""")
+def dates_by_spelling(spark, d):
+    """Dates in several spellings, no dates and nulls, each text read once."""
+    key = F.col("o_orderkey")
+    written = F.when(key % 89 == 0, F.lit(None)).when(key % 83 == 0, F.lit("soon")).when(
+        key % 3 == 0, F.date_format("o_orderdate", "M-d-yyyy")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))
+    rows = table(spark, d, "orders").select("o_orderkey", written.alias("written"))
+    dated = Spellings.of(rows, ["written"]).onto(rows, {"parsed": "written"})
+    return dated.withColumn("parsed", F.col("parsed").cast("string"))
+
+
 @query("""SELECT strftime(o_orderdate, '%m/%d/%Y') AS start_text FROM orders
           ORDER BY o_orderkey LIMIT 6""")
 def first_six_values(spark, d):

@@ -156,9 +156,9 @@ register("impact_rows_by_admin", METRIC_FLAGS + TOTALS)
 
 # ---------------------------------------------------------------- results from kept tables
 
-def register_kept(name: str, plain: str, *round_cols: str) -> None:
+def register_kept(name: str, plain: str, *round_cols: str, dates: tuple[str, ...] = ()) -> None:
     """The result once more, from the tables that a kept review writes and reads back."""
-    register(name, ORACLES[plain], *round_cols, keep=True, suffix="_kept")
+    register(name, ORACLES[plain], *round_cols, keep=True, suffix="_kept", dates=dates)
 
 
 register_kept("detail_completeness", "portfolio_detail_completeness", "percentage")
@@ -168,6 +168,7 @@ register_kept("barrier_by_start_year", "portfolio_barriers_by_start_year", "perc
 register_kept("without_impact_rows", "portfolio_without_impact_rows")
 register_kept("missing_from_detail", "portfolio_missing_from_detail")
 register_kept("wide_report_duplicates", "portfolio_wide_duplicates")
+register_kept("project_dates", "portfolio_project_dates", dates=("start_date", "end_date"))
 
 
 # ---------------------------------------------------------------- written and read back

@@ -9,7 +9,7 @@ anything is shuffled.  Ranges are taken in order as long as they fit; those that
 what is left follow, ``PASSES`` times, so that one long document leaves no gap.  A source
 that its ranges leave short by more than ``TOLERANCE`` has its first ranges that hold a
 fitting document split by further hash digits and filled in the same manner, until it is
-met or nothing fits.  Documents then look up their source and range, of which a hot source
+met or nothing fits; equal rows are numbered there, so that they can be split as well.  Documents then look up their source and range, of which a hot source
 has as many as any other.
 """
 
@@ -24,6 +24,7 @@ PASSES = 4
 TOLERANCE = 1 / 512  # of a target; ranges that come nearer are as ``MIX_SQL`` takes them
 PICKED = 8  # ranges of a source that are split at a time
 DEPTHS = 3  # splits of a range into BUCKETS
+BLOCK_BITS = 16  # rows of a file that are numbered together, as a power of two
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def draw(seed: int | str, *cols: str) -> Column:
 
 def digits(seed: int, depth: int) -> Column:
     """The place of a document in a range that was split ``depth`` - 1 times before."""
-    return F.lpad((draw(f"{seed}/{depth}", "id", "mark") % BUCKETS).cast("string"), 4, "0")
+    return F.lpad((draw(f"{seed}/{depth}", "id", "mark", "nth") % BUCKETS).cast("string"), 4, "0")
 
 
 def path(seed: int, depth: int) -> Column:
@@ -88,11 +89,12 @@ def cells_of(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def fill(plan: DataFrame) -> DataFrame:
-    """Takes ranges (``more``) in order as long as they fit ``left``, ``PASSES`` times."""
+    """Takes ranges (``more``) in order as long as they fit ``left``, ``PASSES`` times.
+    Ranges without words are not taken."""
     source = Window.partitionBy("of")
     so_far = source.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(PASSES):
-        fits = ~F.col("more") & (F.col("size") <= F.col("left"))
+        fits = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
         plan = plan.withColumn("add", fits & (F.sum(F.when(fits, F.col("size"))).over(so_far) <= F.col("left")))
         plan = plan.withColumns({
             "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("add"), F.col("size"))).over(source), F.lit(0)),
@@ -100,12 +102,34 @@ def fill(plan: DataFrame) -> DataFrame:
     return plan.drop("add")
 
 
+def told_apart(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``nth``, their number from 0 among rows of one id, text and source.
+
+    Rows are written in blocks; blocks are counted first and their rows numbered apart, so
+    a row that makes up most of a source is never gathered.  Which of several equal rows has
+    a number is left open, the numbers given are not."""
+    key = ["id", "mark", "source"]
+    blocked = kept(rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), name)
+    order = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    before = blocked.groupBy(*key, "block").agg(F.count("*").alias("n")).select(
+        *(F.col(c).alias(f"of_{c}") for c in (*key, "block")),
+        F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "block").orderBy("size"))
+    same = F.lit(True)
+    for c in (*key, "block"):
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return (blocked.withColumn("inside", inside).join(before, same)
+            .withColumn("nth", F.col("before") + F.col("inside") - 1)
+            .drop("inside", "block", *before.columns))
+
+
 def refine(plan: DataFrame, sizes: DataFrame, seed: int) -> tuple[DataFrame, int]:
     """``plan`` with finer ranges where a source is left short, and their greatest depth.
 
-    A round splits ``PICKED`` ranges of every such source, so it reads few of the documents,
-    and takes at least one more of them or goes a depth down."""
-    deepest = 0
+    A round splits ``PICKED`` ranges of every such source and takes at least one more of them or
+    goes a depth down.  Documents of a range that is split first are looked up among all and
+    written; deeper splits read these alone."""
+    deepest, opened = 0, None
     while True:
         short = plan.where(~F.col("more") & ~F.col("split") & (F.col("left") > F.col("target") * TOLERANCE)
                            & (F.col("least") <= F.col("left")) & (F.col("depth") < DEPTHS))
@@ -119,8 +143,12 @@ def refine(plan: DataFrame, sizes: DataFrame, seed: int) -> tuple[DataFrame, int
         for depth in depths:
             chosen = picked.where(F.col("depth") == depth).select(
                 "of", F.col("path").alias("parent"), "source_size", "target", "whole", "left")
-            inside = sizes.withColumn("parent_of", path(seed, depth)).join(
-                chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("parent_of") == F.col("parent")))
+            here = F.col("source").eqNullSafe(F.col("of")) & (F.col("parent_of") == F.col("parent"))
+            if depth == 0:
+                found = sizes.withColumn("parent_of", path(seed, 0)).join(chosen, here, "left_semi")
+                found = kept(told_apart(found.drop("parent_of"), "found"), "opened")
+                opened = found if opened is None else opened.unionByName(found)
+            inside = opened.withColumn("parent_of", path(seed, depth)).join(chosen, here)
             part = cells_of(inside.withColumn("path", path(seed, depth + 1)),
                             "of", "path", "source_size", "target", "whole", "left").withColumns(
                 {"more": F.lit(False), "split": F.lit(False), "depth": F.lit(depth + 1)})
@@ -144,15 +172,16 @@ def mix(
     Size is the number of words (null: 0).  Sources in code-point order, null last, weigh
     ``weights``, repeating.  ``taken`` is size times the number of repetitions, which is
     also returned, as ``repetitions``; none exceeds ``epochs``, rounded up.  The draw depends
-    on id and seed alone, so reruns agree; rows with equal ids are taken alike.  Rows without
-    id share a range and are told apart by their text when it is split.  A source without words has target 0 and repeats nothing.  An empty
+    on id and seed alone, so reruns agree.  Rows of one id, or without id, share a range; where it
+    is split they are told apart by their text, and equal rows by a number, so a rerun takes as many of
+    them.  A source without words has target 0 and repeats nothing.  An empty
     table gives no rows.  ``carry`` names further columns to return.
     """
     read = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).alias("source"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
-        F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("mark"))
+        F.xxhash64(text_col).alias("mark"))
     sizes = kept(read.select("id", "size", "source", "mark", (draw(seed, "id") % BUCKETS).alias("bucket")), "sizes")
     cells = kept(cells_of(sizes.withColumn("path", path(seed, 0)), "source", "path"), "cells")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)),
@@ -174,16 +203,21 @@ def mix(
                             "split", "depth"), "mix")
     plan, deepest = refine(plan, sizes, seed)
     times = F.when(~F.col("split"), F.col("whole") + F.col("more").cast("long"))
-    rows = read.withColumn("bucket", draw(seed, "id") % BUCKETS) if carry else sizes
+    rows = read.withColumn("bucket", draw(seed, "id") % BUCKETS) if carry else sizes.withColumn(
+        "carried", F.struct(F.lit(0).alias("_")))
     first = plan.where(F.col("depth") == 0).select(
         "of", "path", "source_size", "target", times.alias("repetitions"))
     rows = rows.withColumn("range", path(seed, 0)).join(
         first, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("path"))).drop("of", "path", "range")
-    for depth in range(1, deepest + 1):  # a row is in one unsplit range
-        finer = plan.where(F.col("depth") == depth).select("of", "path", times.alias("finer"))
-        rows = (rows.withColumn("range", path(seed, depth))
-                .join(finer, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("path")), "left")
-                .withColumn("repetitions", F.coalesce("repetitions", "finer")).drop("of", "path", "range", "finer"))
+    if deepest:
+        inside = told_apart(rows.where("repetitions IS NULL"), "split")
+        for depth in range(1, deepest + 1):  # a row is in one unsplit range
+            finer = plan.where(F.col("depth") == depth).select("of", "path", times.alias("finer"))
+            inside = (inside.withColumn("range", path(seed, depth))
+                      .join(finer, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("path")), "left")
+                      .withColumn("repetitions", F.coalesce("repetitions", "finer"))
+                      .drop("of", "path", "range", "finer"))
+        rows = rows.where("repetitions IS NOT NULL").unionByName(inside.drop("nth"))
     return rows.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
         (F.col("size") * F.col("repetitions")).alias("taken"), "repetitions",

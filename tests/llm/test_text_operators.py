@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabular_audit.llm import suffix_dedup
+from tabular_audit.llm import mixing, suffix_dedup
 from tabular_audit.llm.components import components
 from tabular_audit.llm.language_id import Model, language_id, letters_of
 from tabular_audit.llm.mixing import MIX_SQL, mix
@@ -397,6 +397,31 @@ def test_mix_of_odd_rows(spark, odd):
     assert [r["taken"] for r in mix(odd.where("doc_id = 1")).collect()] == [0]
 
 
+@pytest.mark.parametrize("carry", [(), ("lang", "block")])
+@pytest.mark.parametrize("blocks", [16, 3])
+def test_equal_rows_of_a_source_are_split(spark, monkeypatch, carry, blocks):
+    """A hundred equal rows of ten words (target 1,333), the same without id, and a source
+    whose rows hold no word."""
+    monkeypatch.setattr(mixing, "BLOCK_BITS", blocks)
+    words = "ten words are in this text and not any more"
+    rows = ([(7, words, "x", "a")] * 100 + [(None, words, "x", "b")] * 100
+            + [(i, words, "x", "c") for i in range(100)] + [(1000 + i, " ", "x", "d") for i in range(20)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    docs = docs.withColumn("block", F.lit(1))
+    got = mix(docs, carry=("source", *carry)).collect()
+    assert len(got) == len(rows)
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        targets[r["source"]] = r["target"]
+        assert r["taken"] == r["size"] * r["repetitions"] and r["repetitions"] <= 3
+        assert r["repetitions"] == 0 or r["source"] != "d"
+    for source, target in targets.items():
+        assert target - 10 < taken[source] <= target
+    again = mix(docs.repartition(2), carry=("source", *carry)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, got))
+
+
 @pytest.mark.parametrize("with_id", [True, False])
 def test_a_hot_source_among_many_meets_its_target(spark, with_id):
     hot = spark.range(60_000).select(

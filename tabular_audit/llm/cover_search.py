@@ -131,7 +131,7 @@ def search(queries, query_ids, floors, data, ids, k: int):
 
 def exact_top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", **sizes: int,
 ) -> DataFrame:
     """The ``k`` highest inner products of every query with components floor(scale * x):
     query_id, rank, vec_id, score (long); ties go to the smaller id.
@@ -140,14 +140,15 @@ def exact_top_k(
     non-finite components or are not of the usual length take no part, nor do null ids;
     zero vectors do.  Candidates are all rows but those with the query's own id; repeated
     rows are repeated results.  Fewer candidates than ``k`` give fewer rows, an empty table
-    none.  Results are exact as long as inner products stay below 2**53.
+    none.  Results are exact; where a squared norm reaches 2**53, so that double precision
+    may round a product, ValueError is raised.  ``sizes`` are those of ``nearest_in_blocks``.
     """
     rows = usable(vectors, id_col, vector_col, lambda x: F.floor(x * scale))
 
     def run(queries, query_ids, floors, data, ids, largest):
         return search(queries, query_ids, floors, data, ids, k)
 
-    found = nearest_in_blocks(rows, is_query, k, run)
+    found = nearest_in_blocks(rows, is_query, k, run, exact_below=2.0 ** 53, **sizes)
     return found.withColumn("score", F.col("score").cast("long"))
 
 

@@ -83,7 +83,7 @@ def search(queries, query_ids, floors, data, ids, largest, k: int, relax: float)
 
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, k: int = 20, relax: float = 0.9,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", **sizes: int,
 ) -> DataFrame:
     """The ``k`` nearest found of every query, by inner product in double precision:
     query_id, rank, vec_id, score; ties go to the smaller id.
@@ -92,7 +92,8 @@ def nearest_neighbours(
     or non-finite components or are not of the usual length take no part, nor do null ids.
     Candidates are all rows but those with the query's own id; repeated rows are repeated
     results.  Fewer candidates than ``k`` give fewer rows, an empty table none.  ``relax``
-    of 1 is exact; the README has the measured recall of the default.
+    of 1 is exact; the README has the measured recall of the default.  ``sizes`` are those
+    of ``nearest_in_blocks``.
     """
     rows = usable(vectors, id_col, vector_col, lambda x: x)
     rows = rows.where(F.exists("v", lambda x: x != 0))
@@ -100,4 +101,4 @@ def nearest_neighbours(
     def run(queries, query_ids, floors, data, ids, largest):
         return search(queries, query_ids, floors, data, ids, largest, k, relax)
 
-    return nearest_in_blocks(rows, is_query, k, run)
+    return nearest_in_blocks(rows, is_query, k, run, **sizes)

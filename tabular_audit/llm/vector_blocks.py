@@ -1,11 +1,13 @@
 """Searching a stated set of queries against all vectors, in blocks.
 
 Rows go to the nearest of a few centers, chosen farthest first from a bounded sample; a
-center's rows are dealt into slices of bounded size, so a vector that a third of all rows
-repeat is spread like any other.  Queries form blocks of bounded size.  A query's k-th best
-score within the sample bounds its final k-th score from below, so it visits only the
-centers whose covering radius can still reach that bound.  A task gets one slice and one
-block; a query's results from all slices are then ranked.
+center's rows are dealt by number into slices of bounded size, so a vector or an id that a
+third of all rows repeat is spread like any other.  Queries of one center, or of several
+that lie near each other, form blocks of bounded size.  A query's k-th best score within
+the sample bounds its final k-th score from below, so it visits only the centers whose
+covering radius can still reach that bound, and a slice is copied only to the blocks that
+visit its center.  A task gets one slice and one block; a query's results from all slices
+are then ranked.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import kept
 
 SLACK = 1e-9  # for rounding in bounds
+VISIT_ROWS = 1024  # queries measured against the sample at a time
 
 
 @dataclass
@@ -84,23 +88,50 @@ def distinct_vectors(points: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, l
     return points[first], np.split(ids[order], np.flatnonzero(np.diff(which[order])) + 1)
 
 
-def nearest_in_blocks(
-    vectors: DataFrame, is_query: Column, k: int,
-    search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float], tuple],
-    slice_rows: int = 4096, block_rows: int = 4096, sample_rows: int = 2048,
-) -> DataFrame:
-    """query_id, rank, vec_id, score (double) of the ``k`` best of every query.
+def neighbouring_blocks(centers: np.ndarray, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every center its first block and how many blocks its queries are dealt to.
 
-    ``vectors`` has id (long) and v (array<double> of one length, all finite).  ``search``
-    gets queries, their ids, their floors, data, ids and the largest norm, and returns
-    (query number, id, score) arrays of at most ``k`` per query, never the query's own id.
+    Centers are walked from one to the nearest not yet seen and share a block while it has
+    room for the queries of all; one with over ``most`` queries has blocks of its own.
     """
+    first, count = np.zeros(len(centers), np.int64), np.ones(len(centers), np.int64)
+    left, at, block, held = np.flatnonzero(queries), 0, 0, 0
+    while len(left):
+        nearest = int(((centers[left] - centers[at]) ** 2).sum(axis=1).argmin())
+        at, left = int(left[nearest]), np.delete(left, nearest)
+        if held and held + queries[at] > most:
+            block, held = block + 1, 0
+        first[at], count[at] = block, -(-queries[at] // most)
+        if queries[at] > most:
+            block, held = block + int(count[at]), 0
+        else:
+            held += int(queries[at])
+    return first, count
+
+
+@dataclass
+class Plan:
+    """What a search compares: ``asked`` (shard, part, block, id, v, floor) with ``slices``
+    (shard, part, block, id, v)."""
+
+    asked: DataFrame
+    slices: DataFrame
+    width: int
+    largest: float
+
+
+def plan_blocks(
+    vectors: DataFrame, is_query: Column, k: int, slice_rows: int, block_rows: int, sample_rows: int,
+    exact_below: float = np.inf,
+) -> Plan | None:
+    """The blocks of queries and the slices that they visit; None without queries."""
     table = kept(vectors.select("id", "v"), "vectors")
     size = table.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("width"),
                      F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
-    form = "query_id long, vec_id long, score double"
     if not size["q"]:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
+    if size["square"] >= exact_below:
+        raise ValueError(f"inner products may reach {size['square']:.3g}, beyond what is exact")
     width, largest = size["width"], float(np.sqrt(size["square"]))
     share = min(1.0, sample_rows / size["n"])
     picked = (table.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30)))
@@ -114,25 +145,30 @@ def nearest_in_blocks(
     known = sample_ids >= 0
 
     def assign(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             v = matrix(batch.column(1), width)
             square = (v ** 2).sum(axis=1)[:, None] + (centers ** 2).sum(axis=1) - 2 * v @ centers.T
             shard = square.argmin(axis=1)
             far = np.sqrt(((v - centers[shard]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(shard.astype(np.int32)), pa.array(far)],
-                ["id", "v", "shard", "far"])
-
-    placed = kept(table.mapInArrow(assign, "id long, v array<double>, shard int, far double"), "placed")
-    shards = {r["shard"]: r for r in
-              placed.groupBy("shard").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
-    slices = np.array([-(-shards[s]["n"] // slice_rows) if s in shards else 0 for s in range(len(centers))])
-    radius = np.array([shards[s]["radius"] if s in shards else 0.0 for s in range(len(centers))])
-    blocks = -(-size["q"] // block_rows)
+                [batch.column(0), batch.column(1), pa.array(shard.astype(np.int32)), pa.array(far),
+                 pa.array(np.arange(number, number + len(v)))], ["id", "v", "shard", "far", "number"])
+            number += len(v)
+
+    # Written, so that a row keeps its number when a task runs again.
+    placed = kept(table.mapInArrow(assign, "id long, v array<double>, shard int, far double, number long"), "placed")
+    rows, queries, radius = (np.zeros(len(centers), t) for t in (np.int64, np.int64, np.float64))
+    for r in placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"),
+                                         F.max("far").alias("radius")).collect():
+        rows[r["shard"]], queries[r["shard"]], radius[r["shard"]] = r["n"], r["q"], r["radius"]
+    slices = -(-rows // slice_rows)
+    first, count = neighbouring_blocks(centers, queries, block_rows)
 
     def visit(batches):
-        for batch in batches:
+        for batch in (b.slice(a, VISIT_ROWS) for b in batches for a in range(0, b.num_rows, VISIT_ROWS)):
             v, ids = matrix(batch.column(1), width), batch.column(0).to_numpy()
+            home, number = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             against = v @ sample.T
             against[(ids[:, None] == sample_ids[None, :]) | ~known[None, :]] = -np.inf
             floor = (np.partition(against, -k, axis=1)[:, -k] if len(sample_ids) >= k
@@ -142,23 +178,41 @@ def nearest_in_blocks(
             floor[np.isnan(floor)] = -np.inf
             reach = v @ centers.T + np.sqrt((v ** 2).sum(axis=1))[:, None] * radius * (1 + SLACK) + SLACK
             row, shard = np.nonzero((reach >= floor[:, None]) & (slices > 0))
-            row, shard = np.repeat(row, slices[shard]), np.repeat(shard, slices[shard])
-            start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]))
-            part = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
-            take = pa.array(row)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(v)))])
+            block = first[home] + (number + (number >> 40)) % count[home]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)),
-                 batch.column(0).take(take), batch.column(1).take(take), pa.array(floor[row])],
-                ["shard", "part", "id", "v", "floor"])
-
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
-    asked = (placed.where(is_query).select("id", "v")
-             .mapInArrow(visit, "shard int, part int, id long, v array<double>, floor double")
-             .select("shard", "part", block, "id", "v", "floor"))
+                [batch.column(0), batch.column(1), pa.array(floor), pa.array(block.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shard.astype(np.int32)))],
+                ["id", "v", "floor", "block", "shards"])
+
     parts = F.element_at(F.array(*(F.lit(int(s)) for s in slices)), F.col("shard") + 1)
-    data = placed.select(
-        "shard", F.pmod(F.xxhash64("id", F.lit("slice")), parts).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    asks = kept(placed.where(is_query).select("id", "v", "shard", "number").mapInArrow(
+        visit, "id long, v array<double>, floor double, block int, shards array<int>"), "asks")
+    asked = (asks.select("block", F.explode("shards").alias("shard"), "id", "v", "floor")
+             .select("shard", every_part, "block", "id", "v", "floor"))
+    wanted = (asks.select(F.col("block").alias("asking"), F.explode("shards").alias("shard")).distinct()
+              .select("shard", every_part, F.col("asking").alias("block")))
+    dealt = placed.select("shard", F.pmod(F.xxhash64("number"), parts).cast("int").alias("part"), "id", "v")
+    return Plan(asked, dealt.join(wanted, ["shard", "part"]), width, largest)
+
+
+def nearest_in_blocks(
+    vectors: DataFrame, is_query: Column, k: int,
+    search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float], tuple],
+    slice_rows: int = 4096, block_rows: int = 4096, sample_rows: int = 2048, exact_below: float = np.inf,
+) -> DataFrame:
+    """query_id, rank, vec_id, score (double) of the ``k`` best of every query.
+
+    ``vectors`` has id (long) and v (array<double> of one length, all finite).  ``search``
+    gets queries, their ids, their floors, data, ids and the largest norm, and returns
+    (query number, id, score) arrays of at most ``k`` per query, never the query's own id.
+    Raises ValueError where an inner product may reach ``exact_below``.
+    """
+    plan = plan_blocks(vectors, is_query, k, slice_rows, block_rows, sample_rows, exact_below)
+    if plan is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, largest = plan.width, plan.largest
 
     def match(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
@@ -172,7 +226,8 @@ def nearest_in_blocks(
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ("shard", "part", "block")
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(match, form)
+    found = plan.asked.groupBy(*keys).cogroup(plan.slices.groupBy(*keys)).applyInArrow(
+        match, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabular_audit.llm.cover_search import TOP_K_SQL, exact_top_k
 from tabular_audit.llm.vantage_search import nearest_neighbours, search
+from tabular_audit.llm.vector_blocks import neighbouring_blocks, plan_blocks
 
 from .conftest import SF
 
@@ -95,3 +96,49 @@ def test_odd_vectors(spark):
     assert exact == {0: [(20, 3072), (21, 3072), (21, 3072), (3, 0)], 20: [(0, 3072), (21, 2048), (21, 2048), (3, 0)]}
     assert nearest_neighbours(frame.limit(0), twentieth()).count() == 0
     assert exact_top_k(frame.where("vec_id = 3"), twentieth()).count() == 0
+
+
+def test_many_blocks_equal_brute_force(clustered):
+    ids, data, frame = clustered
+    sizes = dict(block_rows=64, slice_rows=256)
+    assert collected(exact_top_k(frame, twentieth(), **sizes)) == brute(ids, np.floor(64 * data), 20)
+    got, want = collected(nearest_neighbours(frame, twentieth(), relax=1.0, **sizes)), brute(ids, data, 20)
+    assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9) for q in want)
+
+
+def test_slices_are_copied_only_where_asked(spark):
+    """Clusters far apart: a block of queries visits few of the slices."""
+    rng = np.random.default_rng(9)
+    data = (rng.normal(size=(40, 8)) * 10)[np.arange(8000) % 40] + rng.normal(size=(8000, 8)) * 0.1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>")
+    plan = plan_blocks(frame, twentieth(), 5, slice_rows=256, block_rows=32, sample_rows=2048)
+    blocks = plan.asked.select("block").distinct().count()
+    assert blocks >= 12
+    copies = plan.slices.count()
+    assert copies < 8000 * blocks / 3
+    assert plan.slices.groupBy("shard", "part", "block").count().agg(F.max("count")).first()[0] <= 2 * 256
+    per_block = plan.asked.select("block", "id").distinct().groupBy("block").count()
+    assert per_block.agg(F.max("count")).first()[0] <= 40
+
+
+def test_blocks_hold_neighbouring_centers():
+    centers = np.array([[0.0], [10.0], [1.0], [11.0], [5.0]])
+    first, count = neighbouring_blocks(centers, np.array([3, 4, 3, 4, 25]), 8)
+    assert first[0] == first[2] != first[1] == first[3]
+    assert count.tolist() == [1, 1, 1, 1, 4]
+    taken = [set(range(f, f + c)) for f, c in zip(first, count)]
+    assert not taken[4] & (taken[0] | taken[1])
+
+
+def test_a_repeated_id_is_dealt_to_many_slices(spark):
+    rng = np.random.default_rng(2)
+    rows = [(20 if i % 3 else i, rng.normal(size=4).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    plan = plan_blocks(frame, twentieth(), 5, slice_rows=128, block_rows=128, sample_rows=512)
+    assert plan.slices.groupBy("shard", "part", "block").count().agg(F.max("count")).first()[0] <= 2 * 128
+
+
+def test_products_beyond_double_precision_are_refused(spark):
+    frame = spark.createDataFrame([(0, [3e6, 1.0]), (1, [1.0, 3e6])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="exact"):
+        exact_top_k(frame, twentieth())

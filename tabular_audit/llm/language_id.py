@@ -14,18 +14,19 @@ ends with its stretch, which adds at most one phrase to a stretch for every lang
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import text_slices
 
 STRETCH = 512
 GAP = 0  # the symbol of anything between words
 UNDETERMINED = "und"
-SHARES = 12  # no text gives more than this part of a sample
+SHARES = 12  # no text gives more than one part in so many of a sample
 
 
 @lru_cache(maxsize=1)
@@ -58,8 +59,10 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class SuffixAutomaton:
-    """The automaton of a text as one table: for a state and a symbol the next state and
-    whether a phrase ended before the symbol."""
+    """The automaton of a text.  The moves of a state lie in one array from ``base[state]``
+    on, a cell per symbol, fitted into the gaps of other states; a cell names its state.
+    A symbol without a move ends the phrase and starts the next by ``start``.  So memory
+    grows with the text, not with the alphabet."""
 
     def __init__(self, symbols: list[int], alphabet: int):
         moves: list[dict[int, int]] = [{}]
@@ -87,27 +90,55 @@ class SuffixAutomaton:
                         moves[at][symbol] = copy
                         at = link[at]
             last = new
-        # An unmatched symbol ends the phrase and starts the next.  One that the sample lacks
-        # is a phrase of its own: it leads to a last state, from which all symbols do so.
-        lone = len(moves)
-        start = np.full(alphabet, lone << 1 | 1, np.int32)
+        # A symbol that the sample lacks is a phrase of its own: its state has no moves.
+        self.start = np.full(alphabet, len(moves), np.int32)
         for symbol, target in moves[0].items():
-            start[symbol] = target << 1 | 1
-        self.table = np.tile(start, (lone + 1, 1))
-        self.table[0] &= ~1  # nothing ends before the first symbol
-        for state, own in enumerate(moves):
-            for symbol, target in own.items():
-                self.table[state, symbol] = target << 1
+            self.start[symbol] = target
+        self.place(moves, alphabet)
         self.bits = float(np.log2(len(symbols) + 1))
 
+    def place(self, moves: list[dict[int, int]], alphabet: int) -> None:
+        """Cells for all moves but those of the first state, which ``start`` has."""
+        size = 3 * sum(map(len, moves[1:])) + 2 * alphabet
+        cells, base = [-1] * size, [0] * (len(moves) + 1)
+        rng = random.Random(1)
+        single = []
+        for state in sorted(range(1, len(moves)), key=lambda s: -len(moves[s])):
+            own = moves[state]
+            if len(own) == 1:
+                single.append(state)
+                continue
+            for _ in range(1000):
+                at = rng.randrange(size - alphabet)
+                if all(cells[at + symbol] < 0 for symbol in own):
+                    break
+            else:  # behind all others
+                at = len(cells)
+                cells += [-1] * alphabet
+            base[state] = at
+            for symbol, target in own.items():
+                cells[at + symbol] = state << 32 | target
+        free = (i for i in range(alphabet, len(cells)) if cells[i] < 0)
+        for state, at in zip(single, free):
+            (symbol, target), = moves[state].items()
+            base[state] = at - symbol
+            cells[at] = state << 32 | target
+        self.base, self.cells = np.array(base, np.int32), np.array(cells, np.int64)
+
+    def moved(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a phrase goes on."""
+        cell = self.cells.take(self.base.take(state) + symbol)
+        goes_on = cell >> 32 == state
+        return np.where(goes_on, cell & 0xFFFFFFFF, self.start.take(symbol)), goes_on
+
 
 class Model:
     """Languages, their letters and their automata."""
 
-    def __init__(self, samples: dict[str, list[str]], letters: int):
+    def __init__(self, samples: dict[str, list[str]], letters: int, shares: int = SHARES):
         self.languages = sorted(samples)
         parsed = []
-        most = max(1, letters // SHARES)
+        most = max(1, letters // shares)
         for language in self.languages:
             symbols: list[int] = []
             for text in samples[language]:
@@ -120,7 +151,7 @@ class Model:
         self.code = np.full(0x110000, len(known) + 1, np.uint8 if len(known) < 254 else np.int32)
         self.code[GAP] = 0
         self.code[known] = np.arange(1, len(known) + 1)
-        # Every automaton has columns for the gap, the known letters and one for others.
+        # The alphabet is the gap, the known letters and one symbol for others.
         self.automata = [SuffixAutomaton(self.code[np.array(symbols)].tolist(), len(known) + 2)
                          for symbols in parsed]
         self.lacks = np.ones((len(parsed), len(known) + 2), bool)
@@ -160,15 +191,13 @@ class Model:
         begin, size, owner = begin[order], size[order], owner[order]
         active = np.searchsorted(-size, -np.arange(STRETCH), "left")  # lanes longer than t
         for k, automaton in enumerate(self.automata):
-            flat, width = automaton.table.ravel(), np.int32(automaton.table.shape[1])
-            state, ended = np.zeros(total, np.int32), np.ones(total, np.int64)
-            for t in range(STRETCH):
+            state, ended = automaton.start.take(symbols[begin]).astype(np.int64), np.ones(total, np.int64)
+            for t in range(1, STRETCH):
                 n = active[t]
                 if not n:
                     break
-                move = flat.take(state[:n] * width + symbols[begin[:n] + t])
-                ended[:n] += move & 1
-                state[:n] = move >> 1
+                state[:n], goes_on = automaton.moved(state[:n], symbols[begin[:n] + t])
+                ended[:n] += ~goes_on
             out[:, k] = np.bincount(owner, ended, minlength=len(texts))
             lacking = np.concatenate([[0], np.cumsum(self.lacks[k].take(symbols[:len(points)]))])
             unknown[:, k] = lacking[ends] - lacking[ends - counts]
@@ -192,38 +221,44 @@ class Model:
 
 
 def sample_texts(
-    labelled: DataFrame, documents: int, letters: int, id_col: str, text_col: str, label_col: str
+    labelled: DataFrame, documents: int, letters: int, shares: int, labels: int,
+    id_col: str, text_col: str, label_col: str,
 ) -> dict[str, list[str]]:
-    """A bounded sample: about ``documents`` texts per language, chosen by a hash of the
-    id, no more than ``letters`` characters of a text."""
-    counts = {r[label_col]: r["n"] for r in
-              labelled.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+    """Up to ``documents`` different texts of each of the ``labels`` most frequent labels (ties:
+    the first in order), chosen by a hash of id and text; of a long text a stretch from a
+    place that the same hash draws, twice as many characters as letters are used of it."""
+    counts = {r[label_col]: r["n"] for r in labelled.groupBy(label_col).agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), label_col).limit(labels).collect()}
     if not counts:
         return {}
-    share = F.lit(0)
-    for language, n in counts.items():
-        share = F.when(F.col(label_col) == language,
-                       F.lit(int(min(1.0, documents / n) * (1 << 30)))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30))
-    rows = (labelled.where(draw < share)
-            .select(label_col, draw.alias("draw"), F.substring(text_col, 1, 2 * letters).alias("text"))
-            .limit(4 * documents * len(counts)).collect())
+    share = F.create_map(*(F.lit(v) for language, n in counts.items()
+                           for v in (language, int(min(1.0, 2 * documents / n) * (1 << 30)))))
+    stretch = 2 * max(1, letters // shares)
+    drawn = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language"))
+    begin = 1 + F.pmod(F.shiftright(drawn, 30), F.greatest(F.length(text_col) - stretch + 1, F.lit(1)))
+    rows = (labelled.select(F.col(label_col).alias("label"), F.pmod(drawn, F.lit(1 << 30)).alias("draw"),
+                            F.substring(F.col(text_col), begin.cast("int"), F.lit(stretch)).alias("text"))
+            .where(F.col("draw") < F.element_at(share, F.col("label"))).distinct())
+    order = Window.partitionBy("label").orderBy("draw", "text")
+    rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= documents).collect()
     samples: dict[str, list[str]] = {language: [] for language in counts}
-    for row in sorted(rows, key=lambda r: (r["draw"], r["text"])):
-        samples[row[label_col]].append(row["text"])
+    for row in sorted(rows, key=lambda r: (r["label"], r["nth"])):
+        samples[row["label"]].append(row["text"])
     return {language: texts for language, texts in samples.items() if "".join(texts).strip()}
 
 
 def language_id(
     docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "lang", documents: int = 120, letters: int = 24_000,
-    carry: tuple[str, ...] = (),
+    label_col: str = "lang", documents: int = 120, letters: int = 24_000, shares: int = SHARES,
+    labels: int = 200, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Language of every whole text: id, lang_pred, score (0 to 1), bits_per_letter.
 
     Learned from the rows with text and label that ``train`` (all, if not given) selects:
-    ``documents`` texts per label, chosen by a hash of the id, of which the first
-    ``letters`` letters per label are used, at most a twelfth of them from one text.  Both bounds are the same at every size.
+    up to ``documents`` texts of each of the ``labels`` most frequent labels, chosen by a hash,
+    of which ``letters`` letters per label are used, at most one part in ``shares`` of them from one text
+    and from a drawn place in it.  All bounds are the same at every size; a model takes some
+    3 MB per label with them, whatever the alphabets.
     Texts that are null or hold no letter are ``und`` with score 0, and so is every text
     if there is nothing to learn from.  Ties go to the first label in order.  Rows stay as
     they are, repeated or with null ids; of the other columns only those in ``carry`` are
@@ -232,9 +267,9 @@ def language_id(
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     if train is not None:
         labelled = labelled.where(train)
-    samples = sample_texts(labelled, documents, letters, id_col, text_col, label_col)
-    model = Model(samples, letters) if samples else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x letters, bounded
+    samples = sample_texts(labelled, documents, letters, shares, labels, id_col, text_col, label_col)
+    model = Model(samples, letters, shares) if samples else None
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by labels x letters
 
     def run(batches):
         own = shared.value

@@ -77,6 +77,39 @@ def test_a_long_text_is_not_a_whole_model(docs):
         assert sum(f == lang for f in found) >= 18
 
 
+def test_models_of_many_letters_are_small():
+    """Twenty languages, one written in 3,000 letters: memory grows with the samples only."""
+    rng = np.random.default_rng(1)
+    many = "".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, 24_000))
+    samples = {f"l{k}": ["".join(rng.choice(list("abcdefgh "), 24_000))] for k in range(19)} | {"many": [many]}
+    model = Model(samples, 24_000, shares=1)
+    held = sum(a.base.nbytes + a.cells.nbytes + a.start.nbytes for a in model.automata)
+    assert held + model.code.nbytes + model.lacks.nbytes < 100e6
+    for k in (0, 19):
+        language = model.languages[k]
+        text = samples[language][0][500:700].strip()
+        sample = "".join(chr(p) if p else " " for p in letters_of(samples[language])[0]) + " "
+        plain = "".join(chr(p) if p else " " for p in letters_of([text])[0])
+        other = "".join(chr(p) if p else " " for p in letters_of([many[50:250]])[0])
+        got = model.parse([text, many[50:250]])[0][:, k]
+        assert got.tolist() == [phrases(plain, sample), phrases(other, sample)]
+
+
+def test_samples_come_from_whole_texts_and_the_most_frequent_labels(spark):
+    """Equal heads, and labels beyond the bound: neither teaches anything."""
+    head = "same boilerplate head everywhere " * 200
+    rows = [(i, head + ("le chat noir dort sur la table " if i % 2 else "der hund schläft unter dem tisch ") * 400,
+             "fr" if i % 2 else "de") for i in range(40)]
+    rows += [(100 + i, "abc " * 50, f"dirty{i}") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "le chat dort", None), (2, "der hund unter dem tisch", None)], frame.schema)
+    found = by_id(language_id(frame.unionByName(asked.selectExpr("doc_id + 1000 AS doc_id", "text", "lang")), labels=2))
+    assert {r["lang_pred"] for r in found.values()} == {"fr", "de"}
+    assert (found[1001]["lang_pred"], found[1002]["lang_pred"]) == ("fr", "de")
+    again = by_id(language_id(frame.repartition(7), labels=2))
+    assert all(again[i]["score"] == found[i]["score"] for i in again)
+
+
 def test_language_of_odd_rows(odd, long_text, spark):
     rows = language_id(odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)

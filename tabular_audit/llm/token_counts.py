@@ -11,8 +11,10 @@ and transitions are compiled when first met.
 Texts are joined and cut into chunks of equal length that run in lockstep.  A chunk maps
 the state it is entered with to the state it is left with and a count.  From the first
 pre-token border on, both no longer depend on the entry, so this part of every chunk runs
-at once; then the entries pass along the chunks (a prefix scan of the maps, which
-constant maps cut short), and the parts before the first border run from them.
+at once.  A chunk without a border gets a map for the entries that occur: all such chunks
+run at once from a guess, then from what the chunk before is left with, until no new entry
+comes up.  A prefix scan composes the maps by doubling and so gives every chunk its entry,
+from which the parts before the first border run, again all at once.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_slices
-from .vocabulary import SPECIAL, Vocabulary, pretoken_starts, vocabulary
+from .vocabulary import SPECIAL, Vocabulary, pretoken_starts, vocabulary, windows
 
 CHUNK = 256
+GUESSES = 16  # rounds in which entries that may not occur are followed
+PART = 1 << 20  # characters of a long text counted at a time
 ROOT, HELD = 0, 1
 NONE, DEAD = -1, -2  # no token before; no token can begin here
 SHIFT, BIAS = 5, 16  # a transition is target << SHIFT | (count change + BIAS)
@@ -117,6 +121,52 @@ class Transducer:
             moves = self.step.ravel().take(at)
         return moves
 
+    def scan(self, free: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states in which the border-free chunks ``free`` are left; ``state`` has those
+        of the others.
+
+        A node is a chunk with an entry; it leads to the next chunk with what it is left with.
+        The nodes that the true entries lead to are found by doubling.
+        """
+        is_free = np.zeros(len(state) + 1, bool)
+        is_free[free] = True
+        begins = ~is_free[free - 1]  # the first chunk of all holds a border
+        nodes = free.astype(np.int64) << 32 | np.where(begins, state[free - 1], ROOT)
+        true = nodes[begins]
+        keys, left = np.empty(0, np.int64), np.empty(0, np.int32)
+        rounds = 0
+        while len(nodes):
+            chunk, now = nodes >> 32, (nodes & 0xFFFFFFFF).astype(np.int32)
+            for t in range(CHUNK):
+                now = self.advance(now, symbol[t, chunk]) >> SHIFT
+            order = np.argsort(keys := np.concatenate([keys, nodes]))
+            keys, left = keys[order], np.concatenate([left, now])[order]
+            follows = (keys >> 32) + 1 << 32 | left
+            goes_on = is_free[(keys >> 32) + 1]
+            at = np.searchsorted(keys, follows)
+            known = goes_on & (keys[np.minimum(at, len(keys) - 1)] == follows)
+            rounds += 1
+            reached = goes_on & ~known
+            if rounds >= GUESSES or not reached.any():
+                met = self.met(np.where(known, at, len(keys)), np.searchsorted(keys, true), len(free))
+                reached &= met
+            nodes = np.unique(follows[reached])
+        return left[met]
+
+    @staticmethod
+    def met(jump: np.ndarray, starts: np.ndarray, longest: int) -> np.ndarray:
+        """The nodes on the ways from ``starts``; ``jump`` is the next node or their number."""
+        end = len(jump)
+        jump = np.append(jump, end)
+        met = np.zeros(end + 1, bool)
+        met[starts] = True
+        hops = 1
+        while hops <= longest:
+            met[jump[met]] = True
+            jump = jump[jump]  # composed with itself: twice as many chunks
+            hops *= 2
+        return met[:end]
+
     def count(self, data: np.ndarray, border: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of the texts that end at ``ends`` in ``data``; ``border`` marks the
         bytes that start a pre-token."""
@@ -140,19 +190,17 @@ class Transducer:
             state = moves >> SHIFT
 
         head = np.where(goes_on.all(axis=0), CHUNK, goes_on.argmin(axis=0))
+        free = np.flatnonzero(head == CHUNK)
+        if len(free):
+            state[free] = self.scan(free, state, symbol)
         waiting = np.flatnonzero(head)
-        while len(waiting):
-            ready = waiting[state[waiting - 1] != HELD]
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
-            now = state[ready - 1]
-            for t in range(int(head[ready].max())):
-                on = head[ready] > t
-                lane = ready[on]
-                moves = self.advance(now[on], symbol[t, lane])
-                changes[t, lane] = (moves & (1 << SHIFT) - 1) - BIAS
-                now[on] = moves >> SHIFT
-            whole = head[ready] == CHUNK
-            state[ready[whole]] = now[whole]
+        now = state[waiting - 1]
+        for t in range(int(head.max())):
+            on = head[waiting] > t
+            lane = waiting[on]
+            moves = self.advance(now[on], symbol[t, lane])
+            changes[t, lane] = (moves & (1 << SHIFT) - 1) - BIAS
+            now[on] = moves >> SHIFT
 
         sums = np.concatenate([[0], np.cumsum(changes.T.ravel()[: len(data)], dtype=np.int64)])
         return np.diff(sums[np.concatenate([[0], ends])])
@@ -187,19 +235,35 @@ def count_texts(texts: list[str], machine: Transducer) -> np.ndarray:
     return np.bincount(owner, counts, minlength=len(texts)).astype(np.int64) + extra
 
 
+def count_long(text: str, machine: Transducer) -> int:
+    """Tokens of a text of any length, in parts that end at pre-token borders."""
+    pieces = text.split(SPECIAL)
+    total, held, size = len(pieces) - 1, [], 0
+    for piece in pieces:
+        for part, _ in windows(piece, PART):
+            held.append(part)
+            size += len(part)
+            if size >= PART:
+                total += int(count_texts(held, machine).sum())
+                held, size = [], 0
+    return total + int(count_texts(held, machine).sum())
+
+
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512
 ) -> DataFrame:
     """Tokens of every whole text: id, n_bytes, n_tokens, over_limit (more than ``limit``).
 
     ``path`` names a byte-level vocabulary file.  Null and empty texts have no bytes and
-    no tokens.  Rows stay as they are: repeated ids give repeated rows, null ids stay null,
+    no tokens.  Long texts are counted in parts; only a stretch without any pre-token border,
+    as of letters, is held whole.  Rows stay as they are: repeated ids give repeated rows, null ids stay null,
     other columns are not read.  No shuffle.
     """
     def run(batches):
         machine = transducer(path)
         for batch, texts in text_slices(batches, "text"):
-            counts = pa.array(count_texts(texts, machine), pa.int64())
+            whole = len(texts) > 1 or len(texts[0]) <= 2 * PART
+            counts = pa.array(count_texts(texts, machine) if whole else [count_long(texts[0], machine)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts],
                                              ["id", "n_bytes", "n_tokens"])
 

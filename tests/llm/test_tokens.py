@@ -9,7 +9,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tabular_audit.llm.packing import best_fill, pack, plan_windows
-from tabular_audit.llm.token_counts import Transducer, count_texts, token_counts
+from tabular_audit.llm import token_counts as counting
+from tabular_audit.llm.token_counts import Transducer, count_long, count_texts, token_counts
 from tabular_audit.llm.vocabulary import encoder, vocabulary
 
 from .conftest import ODD, by_id
@@ -48,6 +49,34 @@ def test_transducer_compiled_afresh_counts_the_same():
     assert (count_texts(texts, machine) == first).all()
 
 
+def border_free_texts():
+    draw = random.Random(3)
+    letters = ["".join(draw.choice("etaoinshr") for _ in range(200_000)), "a" * 150_000, "ab" * 70_000,
+               "".join("lorem" if draw.random() < 0.9 else draw.choice("xyz") for _ in range(40_000))]
+    return [*letters, "=" * 90_000, " " * 300_000, "\n" * 300_000 + "x", "é" * 50_000,
+            "word " + letters[0][:5000] + " and " + "7" * 6000 + " end"]
+
+
+def test_chunks_without_borders_equal_the_library():
+    texts = border_free_texts()
+    machine = Transducer(vocabulary(PATH))
+    assert count_texts(texts, machine).tolist() == [len(i) for i in library_ids(texts)]
+
+
+def test_chunks_from_true_entries_only(monkeypatch):
+    monkeypatch.setattr(counting, "GUESSES", 1)
+    texts = [t[:9000] for t in border_free_texts()]
+    assert count_texts(texts, Transducer(vocabulary(PATH))).tolist() == [len(i) for i in library_ids(texts)]
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(counting, "PART", 1000)
+    machine = Transducer(vocabulary(PATH))
+    texts = [" ".join(t[:700] for t in border_free_texts()) * 3, "x<|endoftext|>" * 500,
+             "".join(random_texts(300))]
+    assert [count_long(t, machine) for t in texts] == [len(i) for i in library_ids(texts)]
+
+
 def test_counts_of_documents(docs):
     found = by_id(token_counts(docs, PATH, limit=512))
     rows = docs.collect()

@@ -5,8 +5,8 @@ values get equal pseudonyms in all documents, different ones different pseudonym
 number or date that passed its check passes it again.  A string is cut into two halves of
 characters; a round shifts every letter and digit of one half within its class (a-z, A-Z,
 0-9; a-f in hexadecimal values) by the keyed hash of the other half.  Dates and addresses
-are permuted as pairs of whole numbers in the same manner.  Cards and phones are permuted
-as bare digits, whose separators are put back, and dates as days, so that all spellings of
+are permuted as pairs of whole numbers in the same manner.  Cards, phones and social
+security numbers are permuted as bare digits, whose separators are put back, and dates as days, so that all spellings of
 one value get one pseudonym.
 
 value            check                                  permuted
@@ -19,7 +19,8 @@ IPv4 address     four numbers up to 255                 as a 32-bit number
 phone            separated groups of 3, 3 and 4         all but a country code
 email            local part, labels, top level          all but the top level
 secret           after token, password, secret, api     the value; AKIA stays
-                 key; access key ids
+                 key, up to a blank, quote, bracket
+                 or a sentence's end; access key ids
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ FIRST_DAY = "1900-01-01"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"
-              r"[\"']?[A-Za-z0-9_/+-]{8,}[\"']?|(?<![A-Za-z0-9])(?i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])",
+              r"[\"']?[A-Za-z0-9_/+.=~!@#$%^&*-]{7,}[A-Za-z0-9_/+=-][\"']?|(?<![A-Za-z0-9])(?i:AKIA)[0-9A-Za-z]{16}(?![A-Za-z0-9])",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2})|(?![\w/-]))|\d{1,2}/\d{1,2}/\d{4}(?![\w/-])"
             r"|\d{4}/\d{1,2}/\d{1,2}(?![\w/-])|\d{1,2}\.\d{1,2}\.\d{4}(?![\w/-]|\.\d))",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
-    "card": r"(?<!\w)(?:\d{13,19}|6\d{3}(?:[ -]\d{4}){3}[ -]\d{3}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}"
-            r"|\d{4}(?:[ -]\d{3}){3}|\d{4}[ -]\d{4}[ -]\d{5}|\d{6}[ -]\d{13})(?!\w)",
+    "card": r"(?<!\w)(?:\d{13,19}|6\d{3}(?:[ .-]\d{4}){3}[ .-]\d{3}|\d{4}(?:[ .-]\d{4}){3}|\d{4}[ .-]\d{6}[ .-]\d{4,5}"
+            r"|\d{4}(?:[ .-]\d{3}){3}|\d{4}[ .-]\d{4}[ .-]\d{5}|\d{6}[ .-]\d{13})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|(?i:AKIA|token|passw|secret|api)"  # no value lacks all of these
@@ -144,7 +145,7 @@ def card(value: Column, key: str) -> Column:
         return spread(whole, v)
 
     # Three digits behind 16 can be the end of a card of 19 or a number of their own.
-    card_of_16 = F.regexp_extract(value, r"^(\d{4}(?:[ -]\d{4}){3})[ -]\d{3}$", 1)
+    card_of_16 = F.regexp_extract(value, r"^(\d{4}(?:[ .-]\d{4}){3})[ .-]\d{3}$", 1)
     return (F.when(passes(value), new(value))
             .when((card_of_16 != "") & passes(card_of_16), F.concat(
                 new(card_of_16), F.substring(value, F.length(card_of_16) + 1, F.length(value))))
@@ -160,11 +161,12 @@ def phone(value: Column, key: str) -> Column:
 
 def ssn(value: Column, key: str) -> Column:
     def valid(v: Column) -> Column:
-        return ~v.rlike(r"^(?:000|666|9)|-00-|-0000$")
+        return ~v.rlike(r"^(?:000|666|9|\d{3}00)|0000$")
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), permuted(value, key, "ssn"),
+    digits = digits_of(value)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), permuted(digits, key, "ssn"),
                          lambda v, _: F.when(valid(v), v).otherwise(permuted(v, key, "ssn")))
-    return F.when(valid(value), walked).otherwise(value)
+    return F.when(valid(digits), spread(walked, value)).otherwise(value)
 
 
 def date(value: Column, key: str) -> Column:

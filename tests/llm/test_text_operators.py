@@ -501,3 +501,19 @@ def test_a_row_without_id_links_others(spark):
     finally:
         module.fingerprints = original
     assert {(r["doc_id"], r["component_id"]) for r in rows} == {(4, 4), (None, 4), (9, 4), (5, 5)}
+
+
+def test_whole_secrets_and_more_spellings(spark):
+    rows = ["token=a1b2.c3d4.e5f6", "password: p@ssw0rd!x", "the password: hunter2233.", "secret='dGhlIGtleQ=='",
+            "123 45 6789", "123-45-6789", "4111.1111.1111.1111", "4111111111111111", "1 123 45 6789 0"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r["text"] for r in pseudonymize(frame, "k").orderBy("doc_id").collect()]
+    assert [len(f) for f in found] == [len(r) for r in rows]
+    for i, clear in ((0, "a1b2"), (0, "c3d4"), (0, "e5f6"), (1, "p@ssw0rd"), (1, "!x"), (3, "dGhl"), (3, "GtleQ")):
+        assert clear not in found[i]
+    assert found[0][:6] == "token=" and found[0].count(".") == 2 and found[3].endswith("=='")
+    plain = spark.createDataFrame([(1, "token=hunter2233")], "doc_id long, text string")
+    assert found[2] == "the password: " + by_id(pseudonymize(plain, "k"))[1]["text"][6:] + "."
+    assert found[4].replace(" ", "-") == found[5] != rows[5]
+    assert found[6].replace(".", "") == found[7] != rows[7]
+    assert found[8] == rows[8]

@@ -17,6 +17,11 @@ it, so that the inner join keeps every base row.  Hot keys are sought when
 anything is shuffled; only the few keys it names are counted, exactly.  If it
 finds nothing, plain left joins are planned.  ``unique=True`` skips the check
 for tables known to have one row per key, and ``hot=`` hands in an earlier one.
+
+Leading keys.  Tables that were just joined by the first of several key columns lie dealt by
+it, and a join on all of them deals every row once more.  Where ``leads`` finds that the first
+column nearly tells the others and no value of it is hot, ``enrich(..., led=True)`` joins on that
+column and compares the others row by row, so that such tables stay where they are.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ COUNTERS = 16
 MOST_COUNTERS = 1_000_000
 # Sketches of tasks are merged in so many groups before they meet in one.
 SKETCH_GROUPS = 64
+# Keys per value of the first key column, on average, up to which a join on that column will do.
+MOST_PER_LEAD = 1.5
+# A table of no more rows is not worth a look: its largest group is no burden for a task.
+FEW_ROWS = 1_000
 
 Keys = Mapping[str, str] | Iterable[str] | str
 
@@ -127,6 +136,29 @@ def frequent_keys(tables: list[tuple[DataFrame, list[str]]], share: int) -> list
             if t in rows else (0, []) for t in range(len(tables))]
 
 
+def leads(tables: list[tuple[DataFrame, list[str]]], share: int | None = None) -> bool:
+    """Does the first key column of each table nearly tell the others, that is, are there at most
+    ``MOST_PER_LEAD`` keys for each of its values on average, and holds none of these, null aside, more
+    than 1/share of the rows?  Then no whole key is hot either.  One read by sketches; what it says of
+    the average is off by a few percent."""
+    share = min(share or partitions(tables[0][0]), MOST_COUNTERS // COUNTERS)
+    counters = max(64, COUNTERS * share)
+    sketches = reduce(DataFrame.union, [
+        df.where(F.col(quoted(cols[0])).isNotNull())
+        .select(F.xxhash64(quoted(cols[0])).alias("h"), F.xxhash64(key_struct(cols)).alias("key"),
+                (F.spark_partition_id() % SKETCH_GROUPS).alias("part"))
+        .groupBy(F.lit(t).alias("t"), "part")
+        .agg(F.expr(f"approx_top_k_accumulate(h, {counters})").alias("sketch"), F.count("*").alias("n"),
+             F.hll_sketch_agg("h").alias("leads"), F.hll_sketch_agg("key").alias("keys"))
+        for t, (df, cols) in enumerate(tables)])
+    merged = sketches.groupBy("t").agg(
+        F.expr("coalesce(get(approx_top_k_estimate(approx_top_k_combine(sketch), 1), 0).count, 0)").alias("most"),
+        F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("leads")).alias("leads"),
+        F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"))
+    return all(r["n"] <= FEW_ROWS or r["most"] * share <= r["n"] and r["keys"] <= MOST_PER_LEAD * r["leads"]
+               for r in merged.collect())
+
+
 def settled(hot: DataFrame) -> DataFrame:
     """Hot keys found now and held as a small local table, at most as many rows
     as ``hot_keys`` can give, so that no plan that uses them repeats the search."""
@@ -138,6 +170,13 @@ def _match(left_cols: Iterable[str], right_cols: Iterable[str], match_nulls: boo
     return reduce(and_, [l.eqNullSafe(r) if match_nulls else l == r for l, r in pairs])
 
 
+def led_match(left_cols: Iterable[str], right_cols: Iterable[str]) -> Column:
+    """Match on the first column, which null never does; the others, null-safe, are written such that
+    Spark does not take them for join keys, by which it would have to deal the rows."""
+    (l0, r0), *rest = [(F.col(quoted(l)), F.col(quoted(r))) for l, r in zip(left_cols, right_cols)]
+    return reduce(and_, [F.coalesce(l == r, l.isNull() & r.isNull()) for l, r in rest], l0 == r0)
+
+
 @dataclass(frozen=True)
 class Tab:
     """A table to widen a base table with.
@@ -181,13 +220,16 @@ def enrich(
     *tabs: Tab,
     match_nulls: bool = True,
     hot_share: int | None = None,
+    led: bool = False,
 ) -> DataFrame:
     """Left-join tabs to a base table, keeping the base keys and dropping the
     tabs' keys.  A base row with several matches fans out.  Consecutive tabs on
-    the same base keys share one split of hot keys and shuffle the base once."""
+    the same base keys share one split of hot keys and shuffle the base once.
+    ``led`` joins on the first key column as ``led_match`` does, without a search for hot
+    keys: for base tables without null there and tabs that ``leads`` finds fit."""
     out = base
     for keys, run in groupby(tabs, key=lambda tab: tuple(key_pairs(tab.on))):
-        out = _widen(out, list(keys), list(run), match_nulls, hot_share)
+        out = _widen(out, list(keys), list(run), match_nulls, hot_share, led)
     return out
 
 
@@ -204,7 +246,7 @@ def left_join(
 
 
 def _widen(
-    base: DataFrame, keys: list[str], tabs: list[Tab], match_nulls: bool, share: int | None
+    base: DataFrame, keys: list[str], tabs: list[Tab], match_nulls: bool, share: int | None, led: bool
 ) -> DataFrame:
     key_names = {k.lower() for k in keys}
     names = [(c, c) for c in base.columns]  # internal and final column names
@@ -231,9 +273,14 @@ def _widen(
     def chain(start: DataFrame, parts: Iterable[tuple[_Side, DataFrame, str]]) -> DataFrame:
         joined = start
         for side, df, how in parts:
-            joined = joined.join(df, _match(keys, side.keys, match_nulls), how)
+            joined = joined.join(df, match(keys, side.keys), how)
         return joined.select(*out)
 
+    def match(left: list[str], right: list[str]) -> Column:
+        return led_match(left, right) if led else _match(left, right, match_nulls)
+
+    if led:
+        return chain(base, [(s, s.df, "left") for s in sides])
     checked = [s for s in sides if not s.unique]
     sought = [(s.df, s.keys) for s in checked if s.hot is None]
     found = [s.hot for s in checked if s.hot is not None]

@@ -11,7 +11,7 @@ times rather than once per field.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -65,7 +65,7 @@ from ..operators import (
     within_budget,
     zero_rate,
 )
-from ..operators.joins import at_key, named_keys
+from ..operators.joins import at_key, key_pairs, leads, led_match, named_keys
 from ..sources.schemas import (
     BARRIERS,
     CONTACT,
@@ -125,6 +125,42 @@ def wide_tabs(p: Portfolio) -> list[Tab]:
     ]
 
 
+_CODE, _FLAG = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
+_KEYS = ["Id", "ProjectNo"]
+
+
+def _by_id(tabs: Sequence[Tab]) -> bool:
+    """Can these tabs be joined on the project's id, its number compared row by row?"""
+    return leads([(tab.df, list(key_pairs(tab.on).values())) for tab in tabs])
+
+
+def _widened(p: Portfolio, base: DataFrame, keys: DataFrame, tabs: Sequence[Tab], by_id: bool) -> DataFrame:
+    """The wide report of the base rows with the given keys.  The flag depends on the number
+    alone, so it is set on the keys: base rows are not dealt by number for it."""
+    flags = membership_flag(keys, p.market_facilitation, {"ProjectNo": "Agreement Number"}, _FLAG)
+    flags = flags.select(*named_keys(_KEYS), _FLAG)
+    names = flags.columns[:-1]
+    match = led_match(_KEYS, names) if by_id else at_key(_KEYS)
+    wide = enrich(base.join(flags, match).drop(*names), *tabs, led=by_id)
+    rest = [c for c in wide.columns if c not in (_CODE, _FLAG)]
+    return wide.select(*rest, _FLAG, label_codes(_CODE).alias(_CODE))
+
+
+def _in_parts(
+    base: DataFrame, tabs: Sequence[Tab], build: Callable[[DataFrame, Sequence[Tab], bool], DataFrame]
+) -> DataFrame:
+    """``build`` by id where the tabs allow it; base rows without an id are built apart then,
+    with the tabs' rows without one, if there are any."""
+    if not _by_id(tabs):
+        return build(base, tabs, False)
+    out = build(base.where(F.col("Id").isNotNull()), tabs, True)
+    nameless = base.where(F.col("Id").isNull())
+    if nameless.isEmpty():
+        return out
+    rests = [replace(tab, df=tab.df.where(F.col(key_pairs(tab.on)["Id"]).isNull())) for tab in tabs]
+    return out.unionByName(build(nameless, rests, False))
+
+
 def wide_report(
     p: Portfolio, projects: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
@@ -147,12 +183,11 @@ def wide_report(
 def wide_report_duplicates(p: Portfolio) -> DataFrame:
     """Rows of the wide report whose project has several.  Which do is found on the
     keys alone; only these projects are then widened."""
-    keys = ["Id", "ProjectNo"]
-    tabs = [Tab(t, _TAB_KEY, columns=()) for t in (p.projects_detail, p.projects_metric, p.finance_detail)]
-    narrow = enrich(distinct_without(p.projects, *COORDINATES).select(*keys), *tabs,
-                    Tab(p.project_type, _TYPE_KEY, columns=()))
-    repeated = duplicate_keys(narrow, keys).select(*named_keys(keys))
-    return wide_report(p, p.projects.join(repeated, at_key(keys), "left_semi"))
+    def build(base: DataFrame, tabs: Sequence[Tab], by_id: bool) -> DataFrame:
+        narrow = enrich(base.select(*_KEYS), *[replace(tab, columns=()) for tab in tabs], led=by_id)
+        return _widened(p, base, duplicate_keys(narrow, _KEYS).select(*_KEYS), tabs, by_id)
+
+    return _in_parts(distinct_without(p.projects, *COORDINATES), wide_tabs(p), build)
 
 
 def detail_view(detail: DataFrame, ov: DataFrame, hot: DataFrame | None = None) -> DataFrame:

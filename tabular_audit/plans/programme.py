@@ -167,17 +167,12 @@ def wide_report(
     """All tabs side by side, lead names as entered; a project with several rows
     in a tab fans out.  ``projects`` replaces the project table.  With ``limit`` the
     number of rows is worked out first, and more than that raises."""
-    code, flag = "PROJECT_TYPE_PROJECT_TYPE_ID", "market_facilitation_indicator"
-    # The flag depends on the number alone, so it is set before tabs multiply the rows.
-    flagged = membership_flag(
-        distinct_without(p.projects if projects is None else projects, *COORDINATES),
-        p.market_facilitation, {"ProjectNo": "Agreement Number"}, flag,
-    )
+    distinct = distinct_without(p.projects if projects is None else projects, *COORDINATES)
+    tabs = wide_tabs(p)
     if limit is not None:
-        check_fan_out(flagged, *wide_tabs(p), limit=limit)
-    tabs = enrich(flagged, *wide_tabs(p))
-    rest = [c for c in tabs.columns if c not in (code, flag)]
-    return tabs.select(*rest, flag, label_codes(code).alias(code))
+        check_fan_out(distinct, *tabs, limit=limit)
+    return _in_parts(distinct, tabs, lambda base, tabs, by_id: _widened(
+        p, base, base.select(*_KEYS).distinct(), tabs, by_id))
 
 
 def wide_report_duplicates(p: Portfolio) -> DataFrame:

@@ -99,7 +99,7 @@ def dealt_rows(df):
 
 
 @pytest.mark.parametrize("name", [
-    "portfolio_wide_duplicates", "portfolio_wide_report_duplicates_kept"])
+    "portfolio_wide", "portfolio_wide_duplicates", "portfolio_wide_report_duplicates_kept"])
 def test_tables_dealt_by_id_stay(spark, name):
     """No rows are dealt by id and number together, null-safe, as a join on the whole key deals them."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
